@@ -102,7 +102,8 @@ def _group(codes: list[int], corrected: bool):
         for term in terms[1:]:
             total = total - term
     # Without a declaration every term is null, and the group is 0.
-    return F.coalesce(as_money(total), F.lit(0).cast("decimal(16,2)"))
+    exact = T.DecimalType(20, 4)
+    return F.coalesce(total.cast(exact), F.lit(0).cast(exact))
 
 
 def deduction_group(p: RunParams):

@@ -13,11 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from payproof.schemas import money
+
 
 def sums_by_employee(lines: DataFrame, measures: dict[str, Column]) -> DataFrame:
     return lines.groupBy("employee_id").agg(*(col.alias(name) for name, col in measures.items()))
 
 
 def resum(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Add up the rows that the joins gave a key. Keys that contain the employee need no new shuffle."""
-    return df.groupBy(*keys).agg(*(F.sum(name).alias(name) for name in measures))
+    """Add up the rows that the joins gave a key. Keys that contain the employee need no new shuffle.
+
+    The cast keeps room for the decimals of later steps, which a 38-digit sum would have to give up.
+    """
+    return df.groupBy(*keys).agg(*(F.sum(name).cast(money(24)).alias(name) for name in measures))
