@@ -1,8 +1,8 @@
 """Employee tax declarations (XML): dependants and general deductions.
 
-A declaration is parsed where it lies, one row per document, so nothing is shuffled. Elements are found at
-any depth. ``xpath`` lists carry no gaps: a list shorter than the number of its parents means a required
-child is missing or empty, and the run fails.
+A declaration is read where it lies, one row per document, in one pass and without a shuffle. Elements are
+cut out at any depth of the whole text and each is parsed as XML. A required child that is missing or empty
+fails the run.
 """
 
 from __future__ import annotations
@@ -13,44 +13,47 @@ from pyspark.sql import functions as F
 from payproof.schemas import money
 
 
-def _tax_id(xml: str = "xml") -> Column:
-    found = F.trim(F.xpath_string(F.col(xml), F.lit("(//empleado)[1]/descendant::cuit[1]")))
-    return F.when(found == "", F.raise_error(F.lit("declaration without a tax id"))).otherwise(found)
+def _uncommented(xml: str) -> Column:
+    return F.regexp_replace(xml, r"(?s)<!--.*?-->", "")
 
 
-def _elements(parent: str, children: dict[str, str], xml: str = "xml") -> Column:
-    """Array of structs, one per ``parent`` element; ``children`` maps a name to its path below the parent."""
-    lists = [F.xpath(F.col(xml), F.lit(f"//{parent}/{path}")) for path in children.values()]
-    parents = F.xpath_int(F.col(xml), F.lit(f"count(//{parent})"))
-    complete = F.lit(True)
-    for values in lists:
-        complete = complete & (F.size(values) == parents)
-    rows = F.arrays_zip(*(values.alias(name) for name, values in zip(children, lists)))
-    return F.when(complete, rows).otherwise(F.raise_error(F.lit(f"declaration with an incomplete {parent}")))
+def _elements(tag: str, xml: str) -> Column:
+    """The text of every ``tag`` element of the document."""
+    return F.regexp_extract_all(_uncommented(xml), F.lit(rf"(?s)<{tag}(?=[\s/>]).*?</{tag}\s*>"), F.lit(0))
 
 
-def _text(tag: str) -> str:
-    return f"descendant::{tag}[1]/text()"
+def _required(value: Column, what: str) -> Column:
+    text = F.trim(value)
+    missing = F.raise_error(F.lit(f"declaration without {what}"))
+    return F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(missing)
+
+
+def _records(declarations: DataFrame, tag: str, fields: tuple[str, ...]) -> DataFrame:
+    """One row per ``tag`` element: the employee's tax id and the parsed ``fields``."""
+    owner = F.from_xml(F.get(_elements("empleado", "xml"), F.lit(0)), "cuit string")
+    schema = ", ".join(f"{field} string" for field in fields)
+    elements = declarations.select(owner["cuit"].alias("tax_id"), F.explode(_elements(tag, "xml")).alias("element"))
+    return elements.select(
+        _required(F.col("tax_id"), "a tax id").alias("tax_id"), F.from_xml("element", schema).alias("record")
+    )
+
+
+def _field(name: str, dtype, alias: str) -> Column:
+    return _required(F.col(f"record.{name}"), name).cast(dtype).alias(alias)
 
 
 def f572_dependants(declarations: DataFrame) -> DataFrame:
-    fields = {
-        "kinship": _text("parentesco"),
-        "pct": _text("porcentajeDeduccion"),
-        "month_from": _text("mesDesde"),
-        "month_to": _text("mesHasta"),
-    }
-    rows = declarations.select(_tax_id().alias("tax_id"), F.inline(_elements("cargaFamilia", fields)))
-    return rows.toDF("tax_id", *fields).select(
-        "tax_id", *(F.trim(name).cast("int").alias(name) for name in fields)
+    fields = ("parentesco", "porcentajeDeduccion", "mesDesde", "mesHasta")
+    return _records(declarations, "cargaFamilia", fields).select(
+        "tax_id",
+        _field("parentesco", "int", "kinship"),
+        _field("porcentajeDeduccion", "int", "pct"),
+        _field("mesDesde", "int", "month_from"),
+        _field("mesHasta", "int", "month_to"),
     )
 
 
 def f572_deductions(declarations: DataFrame) -> DataFrame:
-    fields = {"code": "@tipo", "amount": _text("montoTotal")}
-    rows = declarations.select(_tax_id().alias("tax_id"), F.inline(_elements("deduccion", fields)))
-    return rows.toDF("tax_id", *fields).select(
-        "tax_id",
-        F.trim("code").cast("int").alias("code"),
-        F.trim("amount").cast(money(14)).alias("amount"),
+    return _records(declarations, "deduccion", ("_tipo", "montoTotal")).select(
+        "tax_id", _field("_tipo", "int", "code"), _field("montoTotal", money(14), "amount")
     )
