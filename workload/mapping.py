@@ -9,181 +9,148 @@ from __future__ import annotations
 import datetime
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from payproof import PayrollAudit, RunParams
 from payproof.params import DEDUCTION_CODES
-from payproof.schemas import money
 
 JULY = RunParams(year=1998, month=7)
 APRIL = RunParams(year=1998, month=4)
 
 
-def _dec(value: str) -> Column:
-    whole, _, cents = value.partition(".")
-    return F.lit(value).cast(T.DecimalType(len(whole) + len(cents), len(cents)))
-
-
 def settlements(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = F.when(F.col("o_orderstatus") == "F", "Emb").when(F.col("o_orderstatus") == "O", "Jor").otherwise("Men")
-    return spark.read.parquet(f"{sf}/orders.parquet").select(
-        F.col("o_orderkey").alias("settlement_id"),
-        F.col("o_custkey").alias("employee_id"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("kind"),
-        kinds.alias("settlement_type"),
-        F.year("o_orderdate").alias("year"),
-        F.month("o_orderdate").alias("month"),
+    return spark.read.parquet(f"{sf}/orders.parquet").selectExpr(
+        "o_orderkey AS settlement_id",
+        "o_custkey AS employee_id",
+        "CAST(left(o_orderpriority, 1) AS INT) AS kind",
+        "CASE o_orderstatus WHEN 'F' THEN 'Emb' WHEN 'O' THEN 'Jor' ELSE 'Men' END AS settlement_type",
+        "year(o_orderdate) AS year",
+        "month(o_orderdate) AS month",
         "o_orderdate",
     )
 
 
 def _of_year(df: DataFrame, p: RunParams) -> DataFrame:
     """The year as a date range too, which the Parquet scan can skip row groups by."""
-    start = datetime.datetime(p.year, 1, 1)
-    end = datetime.datetime(p.year + 1, 1, 1)
-    day = F.col("o_orderdate")
-    return df.where((day >= F.lit(start).cast("timestamp_ntz")) & (day < F.lit(end).cast("timestamp_ntz")))
+    return df.where(
+        f"o_orderdate >= TIMESTAMP_NTZ '{p.year}-01-01' AND o_orderdate < TIMESTAMP_NTZ '{p.year + 1}-01-01'"
+    )
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    slot = F.col("l_partkey") % 20
-    amount = F.col("l_extendedprice").cast(money(14))
-    return spark.read.parquet(f"{sf}/lineitem.parquet").select(
-        F.col("l_orderkey").alias("settlement_id"),
-        F.col("l_partkey").alias("item_id"),
-        F.col("l_quantity").cast(money(14)).alias("quantity"),
-        F.when((slot <= 11) | (slot == 19), amount).alias("earning"),
-        F.when(slot.between(12, 18), (amount * _dec("0.10")).cast(money(14))).alias("deduction"),
-        F.concat(F.lit("Item "), F.col("l_partkey").cast("string")).alias("item_name"),
+    amount = "CAST(l_extendedprice AS DECIMAL(14,2))"
+    return spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(
+        "l_orderkey AS settlement_id",
+        "l_partkey AS item_id",
+        "CAST(l_quantity AS DECIMAL(14,2)) AS quantity",
+        f"CASE WHEN l_partkey % 20 NOT BETWEEN 12 AND 18 THEN {amount} END AS earning",
+        f"CASE WHEN l_partkey % 20 BETWEEN 12 AND 18 THEN CAST({amount} * 0.10 AS DECIMAL(14,2)) END AS deduction",
+        "'Item ' || l_partkey AS item_name",
     )
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/part.parquet").select(
-        F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name")
-    )
+    return spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS item_id", "p_name AS name")
 
 
 def item_sheet(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as catalogue parameters; the last of every twenty has none."""
-    slot = F.col("p_partkey") % 20
-    text = T.StringType()
-    parameters = {
-        "item_id": F.col("p_partkey").cast(text),
-        "name": F.col("p_name"),
-        "category": F.when(slot <= 8, "remunerativo")
-        .when(slot <= 11, "no remunerativo")
-        .when(slot <= 17, "descuento")
-        .otherwise("ganancias"),
-        "subcategory": F.when(slot == 8, "sac")
-        .when(slot == 12, "previsional")
-        .when(slot == 13, "obra social")
-        .when(slot == 14, "sindical")
-        .when(slot == 15, "anticipo")
-        .when(slot == 16, "embargo")
-        .when(slot == 17, "descuento"),
-        "tax_class": F.when(slot <= 5, "habitual")
-        .when(slot.isin(6, 7, 11), "no habitual")
-        .when(slot == 8, "sac")
-        .when(slot.isin(9, 10), "exento")
-        .when(slot == 12, "previsional")
-        .when(slot == 13, "obra social")
-        .when(slot == 14, "sindical")
-        .when(slot == 18, "impuesto"),
-        "r4r8": F.when(slot <= 8, "1").otherwise("0"),
-        "r9": F.when(slot <= 8, "true").otherwise("false"),
-    }
+    slot = "p_partkey % 20"
     return (
         spark.read.parquet(f"{sf}/part.parquet")
-        .where(slot != 19)
-        .select(*(col.alias(name) for name, col in parameters.items()))
+        .where(f"{slot} != 19")
+        .selectExpr(
+            "CAST(p_partkey AS STRING) AS item_id",
+            "p_name AS name",
+            f"CASE WHEN {slot} <= 8 THEN 'remunerativo' WHEN {slot} <= 11 THEN 'no remunerativo' "
+            f"WHEN {slot} <= 17 THEN 'descuento' ELSE 'ganancias' END AS category",
+            f"CASE {slot} WHEN 8 THEN 'sac' WHEN 12 THEN 'previsional' WHEN 13 THEN 'obra social' "
+            "WHEN 14 THEN 'sindical' WHEN 15 THEN 'anticipo' WHEN 16 THEN 'embargo' WHEN 17 THEN 'descuento' "
+            "END AS subcategory",
+            f"CASE WHEN {slot} <= 5 THEN 'habitual' WHEN {slot} IN (6, 7, 11) THEN 'no habitual' "
+            f"WHEN {slot} = 8 THEN 'sac' WHEN {slot} IN (9, 10) THEN 'exento' WHEN {slot} = 12 THEN 'previsional' "
+            f"WHEN {slot} = 13 THEN 'obra social' WHEN {slot} = 14 THEN 'sindical' WHEN {slot} = 18 THEN 'impuesto' "
+            "END AS tax_class",
+            f"IF({slot} <= 8, '1', '0') AS r4r8",
+            f"IF({slot} <= 8, 'true', 'false') AS r9",
+        )
     )
 
 
 def persons(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.col("c_custkey")
-    ends = F.make_date(F.lit(1998), (F.lit(1) + key % 12).cast("int"), F.lit(15))
-    return spark.read.parquet(f"{sf}/customer.parquet").select(
-        key.alias("employee_id"),
-        F.col("c_mktsegment").alias("surname"),
-        F.col("c_name").alias("name"),
-        F.when(key % 3 == 0, ends).alias("end_date"),
+    return spark.read.parquet(f"{sf}/customer.parquet").selectExpr(
+        "c_custkey AS employee_id",
+        "c_mktsegment AS surname",
+        "c_name AS name",
+        "CASE WHEN c_custkey % 3 = 0 THEN make_date(1998, CAST(1 + c_custkey % 12 AS INT), 15) END AS end_date",
     )
 
 
-def plain_id(key: Column) -> Column:
-    return F.concat(F.lit("20"), F.lpad(key.cast("string"), 12, "0"), (key % 10).cast("string"))
-
-
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """A tax id and an identity card per employee."""
-    key = F.col("c_custkey")
-    padded = F.lpad(key.cast("string"), 12, "0")
-    tax_id = F.concat(F.lit("20-"), padded, F.lit("-"), (key % 10).cast("string"))
-    both = F.array(
-        F.struct(F.lit(33).alias("document_type"), tax_id.alias("number")),
-        F.struct(F.lit(1).alias("document_type"), padded.alias("number")),
+    padded = "lpad(CAST(c_custkey AS STRING), 12, '0')"
+    return spark.read.parquet(f"{sf}/customer.parquet").selectExpr(
+        "c_custkey AS employee_id",
+        f"inline(array(struct(33 AS document_type, '20-' || {padded} || '-' || c_custkey % 10 AS number), "
+        f"struct(1 AS document_type, {padded} AS number)))",
     )
-    return spark.read.parquet(f"{sf}/customer.parquet").select(key.alias("employee_id"), F.inline(both))
 
 
 def labour(spark: SparkSession, sf: str) -> DataFrame:
     """One row per employee, and a second agreement for those with a high balance."""
-    key, nation = F.col("c_custkey"), F.col("c_nationkey")
-    second = F.when(F.col("c_acctbal") > 9000, F.array(nation, (nation + 1) % 25))
-    return spark.read.parquet(f"{sf}/customer.parquet").select(
-        key.alias("employee_id"),
-        F.when(key % 4 == 1, 2).otherwise(1).alias("condition"),
-        (key % 200).alias("health_item_id"),
-        F.when(key % 4 != 0, (key * 7) % 200).alias("union_item_id"),
-        F.explode(F.coalesce(second, F.array(nation))).alias("agreement_id"),
-        (key % 2 == 0).alias("union_member"),
+    return spark.read.parquet(f"{sf}/customer.parquet").selectExpr(
+        "c_custkey AS employee_id",
+        "IF(c_custkey % 4 = 1, 2, 1) AS condition",
+        "c_custkey % 200 AS health_item_id",
+        "CASE WHEN c_custkey % 4 != 0 THEN (c_custkey * 7) % 200 END AS union_item_id",
+        "explode(IF(c_acctbal > 9000, array(c_nationkey, (c_nationkey + 1) % 25), array(c_nationkey))) AS agreement_id",
+        "c_custkey % 2 = 0 AS union_member",
     )
 
 
 def agreements(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/nation.parquet").select(
-        F.col("n_nationkey").alias("agreement_id"), F.col("n_name").alias("name")
-    )
+    return spark.read.parquet(f"{sf}/nation.parquet").selectExpr("n_nationkey AS agreement_id", "n_name AS name")
 
 
 def month_units(spark: SparkSession, sf: str, p: RunParams) -> DataFrame:
     """The largest order total of each month of the year."""
     orders = _of_year(spark.read.parquet(f"{sf}/orders.parquet"), p)
-    total = F.max("o_totalprice").cast(money(14))
-    return orders.groupBy(F.trunc("o_orderdate", "month").alias("period")).agg(total.alias("unit"))
+    return orders.groupBy(F.expr("trunc(o_orderdate, 'month')").alias("period")).agg(
+        F.expr("CAST(max(o_totalprice) AS DECIMAL(14,2))").alias("unit")
+    )
+
 
+def _share(rate: str, precision: int = 10, times: str = "1") -> str:
+    """An amount of a sheet, as text like in the files users keep."""
+    return f"CAST(CAST(unit * {rate} * CAST({times} AS DECIMAL(2,0)) AS DECIMAL({precision},2)) AS STRING)"
 
-def _share(rate: str, precision: int = 10) -> Column:
-    return (F.col("unit") * _dec(rate)).cast(money(precision)).cast("string")
+
+def _structs(rows: list[dict[str, str]]) -> str:
+    return ", ".join("struct(" + ", ".join(f"{v} AS {k}" for k, v in row.items()) + ")" for row in rows)
 
 
 def cap_sheet(spark: SparkSession, sf: str, p: RunParams) -> DataFrame:
-    return month_units(spark, sf, p).select("period", _share("0.25", 14).alias("cap"), _share("0.04").alias("floor"))
+    return month_units(spark, sf, p).selectExpr("period", f"{_share('0.25', 14)} AS cap", f"{_share('0.04')} AS floor")
 
 
 def personal_sheet(spark: SparkSession, sf: str, p: RunParams) -> DataFrame:
     """Monthly rows grow with the month; December has two more rows, for leavers of each semester."""
-    month = F.month("period")
+    names = ("gni", "special", "spouse", "child", "disabled_child")
 
-    def row(kind: int, gni: str, special: str, spouse: str, child: str, disabled: str, times: Column) -> Column:
-        rates = {"gni": gni, "special": special, "spouse": spouse, "child": child, "disabled_child": disabled}
-        amounts = [
-            (F.col("unit") * _dec(rate) * times.cast("decimal(2,0)")).cast(money(10)).cast("string").alias(name)
-            for name, rate in rates.items()
-        ]
-        return F.struct(*amounts, F.lit(str(kind)).alias("type"))
+    def row(kind: int, rates: tuple[str, ...], times: str) -> dict[str, str]:
+        return {**{n: _share(r, times=times) for n, r in zip(names, rates)}, "type": f"'{kind}'"}
 
-    once = F.lit(1)
-    monthly = row(0, "0.0014", "0.0150", "0.0008", "0.0004", "0.0008", month)
-    final = [
-        row(1, "0.0080", "0.0900", "0.0048", "0.0024", "0.0048", once),
-        row(2, "0.0170", "0.1840", "0.0096", "0.0048", "0.0096", once),
-    ]
-    rows = F.when(month == 12, F.array(monthly, *final)).otherwise(F.array(monthly))
-    return month_units(spark, sf, p).select("period", F.inline(rows))
+    monthly = _structs([row(0, ("0.0014", "0.0150", "0.0008", "0.0004", "0.0008"), "month(period)")])
+    final = _structs(
+        [
+            row(1, ("0.0080", "0.0900", "0.0048", "0.0024", "0.0048"), "1"),
+            row(2, ("0.0170", "0.1840", "0.0096", "0.0048", "0.0096"), "1"),
+        ]
+    )
+    return month_units(spark, sf, p).selectExpr(
+        "period", f"inline(IF(month(period) = 12, array({monthly}, {final}), array({monthly})))"
+    )
 
 
 # Scale of the derived sheet per unit and month: lower edge, fixed amount, rate.
@@ -193,30 +160,29 @@ TOP = "999999999.99"
 
 def bracket_sheet(spark: SparkSession, sf: str, p: RunParams) -> DataFrame:
     """Four brackets a month; December repeats them for leavers, with the June scale for the first semester."""
-    month = F.month("period")
-
-    def rows(kind: int, times: Column) -> list[Column]:
-        def amount(rate: str) -> Column:
-            return (F.col("unit") * _dec(rate) * times.cast("decimal(2,0)")).cast(money(10)).cast("string")
-
-        edges = [amount(lower) for lower, _, _ in SCALE] + [F.lit(TOP)]
-        return [
-            F.struct(
-                edges[i].alias("lower"),
-                edges[i + 1].alias("upper"),
-                amount(fixed).alias("fixed"),
-                F.lit(str(rate)).alias("rate"),
-                edges[i].alias("excess"),
-                F.lit(str(i + 1)).alias("pct_code"),
-                F.lit(str(kind)).alias("type"),
-            )
-            for i, (_, fixed, rate) in enumerate(SCALE)
-        ]
 
-    monthly = rows(0, month)
-    final = rows(1, F.lit(6)) + rows(2, F.lit(12))
-    table = F.when(month == 12, F.array(*monthly, *final)).otherwise(F.array(*monthly))
-    return month_units(spark, sf, p).select("period", F.inline(table))
+    def rows(kind: int, times: str) -> str:
+        edges = [_share(lower, times=times) for lower, _, _ in SCALE] + [f"'{TOP}'"]
+        return _structs(
+            [
+                {
+                    "lower": edges[i],
+                    "upper": edges[i + 1],
+                    "fixed": _share(fixed, times=times),
+                    "rate": f"'{rate}'",
+                    "excess": edges[i],
+                    "pct_code": f"'{i + 1}'",
+                    "type": f"'{kind}'",
+                }
+                for i, (_, fixed, rate) in enumerate(SCALE)
+            ]
+        )
+
+    monthly = rows(0, "month(period)")
+    final = f"{rows(1, '6')}, {rows(2, '12')}"
+    return month_units(spark, sf, p).selectExpr(
+        "period", f"inline(IF(month(period) = 12, array({monthly}, {final}), array({monthly})))"
+    )
 
 
 # Yearly limits of the derived sheet per unit of the year, and the codes limited by a percentage.
@@ -225,69 +191,65 @@ PERCENTAGES = {1: 5, 3: 5, 7: 5, 8: 40, 22: 40, 32: 40}
 
 
 def general_sheet(spark: SparkSession, sf: str, p: RunParams) -> DataFrame:
-    null = F.lit(None).cast("string")
+    null = "CAST(NULL AS STRING)"
     rows = [
-        F.struct(
-            F.lit(DEDUCTION_CODES[code]).alias("deduction"),
-            F.lit(str(code)).alias("code"),
-            F.lit("A" if code in AMOUNT_RATES else "P").alias("type"),
-            (_share(AMOUNT_RATES[code], 12) if code in AMOUNT_RATES else null).alias("cap"),
-            (F.lit(str(PERCENTAGES[code])) if code in PERCENTAGES else null).alias("pct"),
-        )
+        {
+            "deduction": f"'{DEDUCTION_CODES[code]}'",
+            "code": f"'{code}'",
+            "type": "'A'" if code in AMOUNT_RATES else "'P'",
+            "cap": _share(AMOUNT_RATES[code], 12) if code in AMOUNT_RATES else null,
+            "pct": f"'{PERCENTAGES[code]}'" if code in PERCENTAGES else null,
+        }
         for code in sorted({**AMOUNT_RATES, **PERCENTAGES})
     ]
-    year = month_units(spark, sf, p).agg(F.max("unit").alias("unit"), F.min(F.trunc("period", "year")).alias("period"))
-    return year.select("period", F.inline(F.array(*rows)))
+    year = month_units(spark, sf, p).agg(
+        F.max("unit").alias("unit"), F.expr("trunc(min(period), 'year')").alias("period")
+    )
+    return year.selectExpr("period", f"inline(array({_structs(rows)}))")
 
 
 # Dependants of the derived declarations: kinship, percentage, one employee in so many.
 DEPENDANTS = ((1, 100, 2), (3, 100, 3), (30, 50, 5), (31, 100, 7), (32, 100, 11), (5, 100, 13))
 
 
-def declared_cents(key: Column, code: int) -> Column:
-    """Amount an employee declares under a code, in cents; declared when positive."""
-    return (key * 3701 + code * 10103) % 1000000 - 510000
+def declarations(spark: SparkSession, sf: str) -> DataFrame:
+    """One XML document per employee whose account balance is positive.
 
+    A document is some fifty times larger than the row it is written from, so the rows are spread over all
+    cores first, as a folder of files would be.
+    """
 
-def declarations(spark: SparkSession, sf: str) -> DataFrame:
-    """One XML document per employee whose account balance is positive."""
-    key = F.col("c_custkey")
-
-    def tag(name: str, value: Column | str) -> Column:
-        value = F.lit(value) if isinstance(value, str) else value
-        return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
-
-    family = [
-        F.when(
-            key % every == 0,
-            tag(
-                "cargaFamilia",
-                F.concat(
-                    tag("parentesco", str(kinship)),
-                    tag("mesDesde", (F.lit(1) + key % 6).cast("string")),
-                    tag("mesHasta", (F.lit(6) + (key + 3) % 7).cast("string")),
-                    tag("porcentajeDeduccion", str(pct)),
-                ),
-            ),
-        )
+    def tag(name: str, value: str) -> str:
+        return f"'<{name}>' || {value} || '</{name}>'"
+
+    family = ", ".join(
+        f"IF(c_custkey % {every} = 0, '<cargaFamilia><parentesco>{kinship}</parentesco>' || "
+        + tag("mesDesde", "(1 + c_custkey % 6)")
+        + " || "
+        + tag("mesHasta", "(6 + (c_custkey + 3) % 7)")
+        + f" || '<porcentajeDeduccion>{pct}</porcentajeDeduccion></cargaFamilia>', '')"
         for kinship, pct, every in DEPENDANTS
-    ]
-    general = []
-    for code in DEDUCTION_CODES:
-        cents = declared_cents(key, code)
-        amount = (cents.cast("decimal(18,0)") * _dec("0.01")).cast(money(14)).cast("string")
-        opening, closing = F.lit(f'<deduccion tipo="{code}">'), F.lit("</deduccion>")
-        general.append(F.when(cents > 0, F.concat(opening, tag("montoTotal", amount), closing)))
-
-    xml = F.concat(
-        F.lit("<declaration>"),
-        tag("empleado", tag("cuit", plain_id(key))),
-        tag("dependants", F.concat_ws("", *family)),
-        tag("deductions", F.concat_ws("", *general)),
-        F.lit("</declaration>"),
     )
-    filed = spark.read.parquet(f"{sf}/customer.parquet").where(F.col("c_acctbal") > 0)
-    return filed.select(F.concat(F.lit("declaration-"), key.cast("string")).alias("file_path"), xml.alias("xml"))
+    codes = ", ".join(str(code) for code in DEDUCTION_CODES)
+    # What an employee declares under a code, in cents; nothing unless positive.
+    cents = "(c_custkey * 3701 + code * 10103) % 1000000 - 510000"
+    amount = f"CAST(CAST(CAST({cents} AS DECIMAL(18,0)) * 0.01 AS DECIMAL(14,2)) AS STRING)"
+    deduction = f"""'<deduccion tipo="' || code || '">' || {tag("montoTotal", amount)} || '</deduccion>'"""
+    general = f"transform(array({codes}), code -> IF({cents} > 0, {deduction}, ''))"
+    plain_id = "'20' || lpad(CAST(c_custkey AS STRING), 12, '0') || c_custkey % 10"
+    xml = " || ".join(
+        [
+            "'<declaration><empleado>'",
+            tag("cuit", plain_id),
+            f"'</empleado><dependants>' || concat({family})",
+            f"'</dependants><deductions>' || array_join({general}, '')",
+            "'</deductions></declaration>'",
+        ]
+    )
+    filed = spark.read.parquet(f"{sf}/customer.parquet").where("c_acctbal > 0").select("c_custkey")
+    return filed.repartition(spark.sparkContext.defaultParallelism, "c_custkey").selectExpr(
+        "'declaration-' || c_custkey AS file_path", f"{xml} AS xml"
+    )
 
 
 class DerivedTables:
