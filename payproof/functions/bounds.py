@@ -1,8 +1,8 @@
-"""Size checks for what a join may broadcast."""
+"""Small inputs: values of one row, and size checks for what a join may broadcast."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A year of a parameter sheet has a few hundred rows at most.
@@ -16,7 +16,16 @@ def small_sheet(df: DataFrame, max_rows: int = SHEET_ROWS) -> DataFrame:
     return df
 
 
-def only_value(column, what: str):
+def with_row(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
+    """``df`` with a struct column ``name`` holding the single row of ``one_row``.
+
+    A scalar subquery: it runs once and its value becomes a constant of the plan, so no join is planned.
+    Spark fails the query if there is more than one row.
+    """
+    return df.withColumn(name, one_row.select(F.struct(*one_row.columns)).scalar())
+
+
+def only_value(column: Column, what: str) -> Column:
     """Aggregate: the one distinct value of ``column``; raises when there is none or several."""
     low, high, n = F.min(column), F.max(column), F.count(column)
     return (

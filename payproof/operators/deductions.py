@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from payproof.functions.bounds import with_row
 from payproof.functions.money import as_money, limited, sum_when
 from payproof.operators.limits import limit_name
 from payproof.params import (
@@ -18,6 +19,7 @@ from payproof.params import (
     DISABLED_CHILD_CODES,
     LEAVER,
     LEAVER_ONLY,
+    PERCENT,
     NET_GAIN_LIMITED,
     NET_GAIN_LIMIT_RATE,
     SPOUSE,
@@ -27,10 +29,7 @@ from payproof.params import (
 
 
 def dependant_deductions(dependants: DataFrame, allowances: DataFrame, p: RunParams) -> DataFrame:
-    """Each dependant classified, tested against the month and priced; no class, no amount.
-
-    ``allowances`` is one row by construction (an aggregate without keys).
-    """
+    """Each dependant classified, tested against the month and priced; no class, no amount."""
     kinship = F.col("kinship")
     kind = (
         F.when(kinship.isin(*SPOUSE_CODES), SPOUSE)
@@ -38,21 +37,22 @@ def dependant_deductions(dependants: DataFrame, allowances: DataFrame, p: RunPar
         .when(kinship.isin(*DISABLED_CHILD_CODES), DISABLED_CHILD)
     )
     allowance = (
-        F.when(F.col("kind") == SPOUSE, F.col("spouse"))
-        .when(F.col("kind") == CHILD, F.col("child"))
-        .when(F.col("kind") == DISABLED_CHILD, F.col("disabled_child"))
+        F.when(F.col("kind") == SPOUSE, F.col("allowance.spouse"))
+        .when(F.col("kind") == CHILD, F.col("allowance.child"))
+        .when(F.col("kind") == DISABLED_CHILD, F.col("allowance.disabled_child"))
     )
     outside = ~F.lit(p.month).between(F.col("month_from"), F.col("month_to"))
-    return (
-        dependants.withColumns({"kind": kind, "applies": F.when(outside, 0).otherwise(1)})
-        .crossJoin(F.broadcast(allowances.select("spouse", "child", "disabled_child")))
-        .withColumn(
-            "amount",
-            (allowance * F.col("pct") * F.lit(0.01).cast(T.DecimalType(3, 2)) * F.col("applies")).cast(
-                T.DecimalType(18, 4)
-            ),
-        )
-        .select("tax_id", "kinship", "kind", "applies", "pct", "month_from", "month_to", "amount")
+    classified = dependants.withColumns({"kind": kind, "applies": F.when(outside, 0).otherwise(1)})
+    amount = allowance * F.col("pct") * F.lit(PERCENT) * F.col("applies")
+    return with_row(classified, "allowance", allowances.select("spouse", "child", "disabled_child")).select(
+        "tax_id",
+        "kinship",
+        "kind",
+        "applies",
+        "pct",
+        "month_from",
+        "month_to",
+        amount.cast(T.DecimalType(18, 4)).alias("amount"),
     )
 
 
@@ -113,8 +113,8 @@ def deduction_group(p: RunParams):
 def capped_deductions(base: DataFrame, limits: DataFrame, p: RunParams) -> DataFrame:
     """The declared deductions after their limits, and the net-gain limit itself.
 
-    Needs ``pay_total``, ``social_deductions``, ``status`` and the ``declared_*`` columns. ``limits`` is one
-    row by construction. Deductions under the net-gain limit come last, as it depends on the others.
+    Needs ``pay_total``, ``social_deductions``, ``status`` and the ``declared_*`` columns. Deductions under
+    the net-gain limit come last, as it depends on the others.
     """
 
     def granted(code, amount):
@@ -129,18 +129,18 @@ def capped_deductions(base: DataFrame, limits: DataFrame, p: RunParams) -> DataF
         if code in NET_GAIN_LIMITED:
             last[name] = as_money(granted(code, limited(amount, F.col("net_gain_limit"))))
         elif code in ALLOWANCE_LIMITED:
-            first[name] = limited(amount, F.col(limit_name(code))).cast(T.DecimalType(16, 4))
+            first[name] = limited(amount, F.col(f"limits.{limit_name(code)}")).cast(T.DecimalType(16, 4))
         elif code in AMOUNT_LIMITED:
-            first[name] = as_money(granted(code, limited(amount, F.col(limit_name(code)))))
+            first[name] = as_money(granted(code, limited(amount, F.col(f"limits.{limit_name(code)}"))))
         else:
             first[name] = as_money(granted(code, F.coalesce(amount, F.lit(0).cast("decimal(14,2)"))))
 
     net_gain = F.col("pay_total") - F.col("social_deductions") - _group(_GROUP_BEFORE_NET_GAIN, p.corrected)
     net_gain_limit = as_money(net_gain * F.lit(NET_GAIN_LIMIT_RATE), 10)
     return (
-        base.crossJoin(F.broadcast(limits.select(*(limit_name(code) for code in limited_codes))))
+        with_row(base, "limits", limits.select(*(limit_name(code) for code in limited_codes)))
         .withColumns(first)
         .withColumn("net_gain_limit", net_gain_limit)
         .withColumns(last)
-        .drop(*(limit_name(code) for code in limited_codes))
+        .drop("limits")
     )

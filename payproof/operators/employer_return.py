@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from payproof.functions.bounds import with_row
 from payproof.functions.money import as_money, at_most, sum_when
 from payproof.operators.employees import resum, sums_by_employee
 from payproof.operators.limits import single_cap
@@ -35,10 +36,11 @@ def f931_bases(classified: DataFrame, identities: DataFrame, caps: DataFrame, p:
         ("tax_id", "surname", "name"),
         ("pay", "sac", "flagged", "non_taxable", "total"),
     )
-    capped = as_money(at_most(F.col("pay"), F.col("cap")) + at_most(F.col("sac"), half(F.col("cap"))))
+    cap = F.col("limits.cap")
+    capped = as_money(at_most(F.col("pay"), cap) + at_most(F.col("sac"), half(cap)))
     uncapped = as_money(F.col("pay") + F.col("sac"))
     none = F.lit(Decimal("0")).cast(T.DecimalType(2, 2))
-    return whole.crossJoin(F.broadcast(single_cap(caps))).select(
+    return with_row(whole, "limits", single_cap(caps)).select(
         "tax_id",
         "surname",
         "name",

@@ -15,6 +15,7 @@ from payproof.params import (
     EXEMPT,
     IRREGULAR,
     LEAVER,
+    PERCENT,
     REGULAR,
     SAC,
     SOCIAL_CLASSES,
@@ -195,7 +196,7 @@ def match_bracket(net_gain: DataFrame, brackets: DataFrame, p: RunParams) -> Dat
 def income_tax_control(net_gain: DataFrame, brackets: DataFrame, p: RunParams) -> DataFrame:
     """Tax due on the net gain minus tax withheld; no scale row, no tax."""
     matched = match_bracket(net_gain, brackets, p)
-    rate = F.col("rate").cast("decimal(3,0)") * F.lit(0.01).cast("decimal(3,2)")
+    rate = F.col("rate").cast("decimal(3,0)") * F.lit(PERCENT)
     variable = F.coalesce(as_money((F.col("taxable_gain") - F.col("excess")) * rate, 14), zero(14))
     return (
         matched.withColumn("variable", variable)

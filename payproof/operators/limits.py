@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from payproof.functions.bounds import only_value
+from payproof.functions.bounds import only_value, with_row
 from payproof.params import ALLOWANCE_LIMITED, ALLOWANCE_LIMIT_RATE, AMOUNT_LIMITED, DEDUCTION_CODES, RunParams
 from payproof.schemas import money
 
@@ -37,10 +37,13 @@ def deduction_limits(personal: DataFrame, general: DataFrame, p: RunParams) -> D
         )
     )
     share = (F.col("gni") * F.lit(ALLOWANCE_LIMIT_RATE)).cast(T.DecimalType(16, 4))
-    return (
-        family_allowances(personal, p)
-        .crossJoin(F.broadcast(by_code))
-        .withColumns({limit_name(code): share for code in ALLOWANCE_LIMITED})
+    return with_row(family_allowances(personal, p), "by_code", by_code).select(
+        "gni",
+        "spouse",
+        "child",
+        "disabled_child",
+        "by_code.*",
+        *(share.alias(limit_name(code)) for code in ALLOWANCE_LIMITED),
     )
 
 

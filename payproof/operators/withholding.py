@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from payproof.functions.bounds import with_row
 from payproof.functions.money import as_money, at_most, sum_when
 from payproof.operators.employees import resum, sums_by_employee
 from payproof.operators.limits import single_cap
@@ -60,9 +61,9 @@ def withholding_base(
     )
     joined = sums.join(identities, "employee_id").join(profiles, "employee_id")
     whole = resum(joined, ("employee_id", "tax_id", "surname", "name", *PROFILE), SUMS)
-    pay, cap, floor = F.col("pay"), F.col("cap"), F.col("floor")
+    pay, cap, floor = F.col("pay"), F.col("limits.cap"), F.col("limits.floor")
     clamped = F.when(pay > cap, cap).when(pay < floor, floor).otherwise(pay)
-    return whole.crossJoin(F.broadcast(single_cap(caps))).select(
+    return with_row(whole, "limits", single_cap(caps)).select(
         "tax_id",
         "surname",
         "name",
@@ -76,12 +77,12 @@ def withholding_control(base: DataFrame, caps: DataFrame) -> DataFrame:
     """What should have been withheld minus what was: positive is too little, negative too much."""
     pension_rate = F.when(~F.col("pensioner"), PENSION_RATE).otherwise(PENSIONER_PENSION_RATE)
     health_rate = F.when(~F.col("pensioner"), HEALTH_RATE).otherwise(PENSIONER_HEALTH_RATE)
-    minimum = F.col("floor") * F.lit(2)
+    minimum = F.col("limits.floor") * F.lit(2)
     health_due = F.when(F.col("base") < minimum, minimum * F.lit(HEALTH_RATE)).otherwise(
         F.col("base") * health_rate
     )
     return (
-        base.crossJoin(F.broadcast(single_cap(caps)))
+        with_row(base, "limits", single_cap(caps))
         .withColumn("pension_ctrl", as_money(F.col("base") * pension_rate - F.col("pension"), 10))
         .withColumn("health_ctrl", as_money(health_due - F.col("health"), 10))
         .withColumn("health_plan", F.substring("health_plan", 1, 6))

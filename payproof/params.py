@@ -81,6 +81,7 @@ PENSION_RATE, PENSIONER_PENSION_RATE = Decimal("0.14"), Decimal("0.11")
 HEALTH_RATE, PENSIONER_HEALTH_RATE = Decimal("0.03"), Decimal("0")
 ALLOWANCE_LIMIT_RATE = Decimal("0.40")
 NET_GAIN_LIMIT_RATE = Decimal("0.05")
+PERCENT = Decimal("0.01")
 R10_ALLOWANCE = Decimal("7003.68")
 STATUS_TOLERANCE = Decimal("0.1")
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from payproof.operators import (
     deductions,
@@ -45,14 +46,28 @@ class PayrollTables:
 class PayrollAudit:
     """The controls of one run over one set of tables."""
 
-    def __init__(self, tables: PayrollTables, params: RunParams, pay_lines: DataFrame | None = None):
-        """``pay_lines`` replaces the classified lines, for a table already written from ``compact_lines``."""
+    def __init__(
+        self,
+        tables: PayrollTables,
+        params: RunParams,
+        landed: DataFrame | None = None,
+        pay_lines: DataFrame | None = None,
+    ):
+        """``landed`` is a table written by ``land_lines``, read in place of lines and headers. ``pay_lines`` is
+        one written from ``compact_lines``, read in place of the classified lines."""
         self.tables = tables
         self.params = params
+        self._landed = landed
         self._pay_lines = pay_lines
 
     def with_params(self, **changes) -> PayrollAudit:
-        return PayrollAudit(self.tables, replace(self.params, **changes), self._pay_lines)
+        return PayrollAudit(self.tables, replace(self.params, **changes), self._landed, self._pay_lines)
+
+    def on_landed(self, landed: DataFrame) -> PayrollAudit:
+        return PayrollAudit(self.tables, self.params, landed, self._pay_lines)
+
+    def on_pay_lines(self, pay_lines: DataFrame) -> PayrollAudit:
+        return PayrollAudit(self.tables, self.params, self._landed, pay_lines)
 
     # Sources
 
@@ -88,17 +103,24 @@ class PayrollAudit:
     def item_catalog(self) -> DataFrame:
         return payroll.item_catalog(self.tables.items)
 
+    @cached_property
+    def period_lines(self) -> DataFrame:
+        if self._landed is not None:
+            return self._landed.where(payroll.to_date(self.params))
+        return payroll.period_lines(self.tables.settlements, self.tables.lines, self.params)
+
     @cached_property
     def settlement_lines(self) -> DataFrame:
-        t = self.tables
-        return payroll.settlement_lines(t.settlements, t.lines, t.persons, t.documents, self.params)
+        return payroll.settlement_lines(self.period_lines, self.identities)
 
     @cached_property
     def employee_attributes(self) -> DataFrame:
-        t = self.tables
-        return payroll.employee_attributes(
-            t.settlements, t.lines, t.labour, t.persons, t.items, t.agreements, self.params
-        )
+        if self._landed is not None:
+            of_year = payroll.of_type(self.params) & (F.col("year") == self.params.year)
+            settled = self._landed.where(of_year).select("employee_id").distinct()
+        else:
+            settled = payroll.settled_employees(self.tables.settlements, self.tables.lines, self.params)
+        return payroll.employee_attributes(self.profiles, settled)
 
     @cached_property
     def identities(self) -> DataFrame:
@@ -137,8 +159,7 @@ class PayrollAudit:
         """What the controls read: classified lines without names and tax ids."""
         if self._pay_lines is not None:
             return self._pay_lines
-        period = payroll.period_lines(self.tables.settlements, self.tables.lines, self.params)
-        return lines.classify(period, self.item_parameters)
+        return lines.classify(self.period_lines, self.item_parameters)
 
     @cached_property
     def compact_lines(self) -> DataFrame:
@@ -254,7 +275,7 @@ class PayrollAudit:
     def reports(self) -> dict[str, DataFrame]:
         return {
             "pay_summary": self.pay_summary.orderBy("surname", "name", "tax_id"),
-            "pay_summary_totals": self.totals_running_balance,
+            "totals_running_balance": self.totals_running_balance,
             "withholding_control": withholding.order_control(self.withholding_status),
             "control_reference_values": self.control_reference_values,
             "income_tax_control": self.income_tax_control.orderBy("surname", "name", "tax_id"),
@@ -266,9 +287,13 @@ class PayrollAudit:
         pay_lines = posixpath.join(path, "pay_lines")
         self.compact_lines.write.mode("overwrite").partitionBy("year", "month").parquet(pay_lines)
         spark = self.tables.settlements.sparkSession
-        shared = PayrollAudit(self.tables, self.params, spark.read.parquet(pay_lines))
+        shared = self.on_pay_lines(spark.read.parquet(pay_lines))
         return exports.write_reports(shared.reports(), posixpath.join(path, "reports"))
 
+    def land(self, path: str) -> None:
+        """Write the lines of all periods with their headers, for ``on_landed``."""
+        exports.land_lines(payroll.joined_lines(self.tables.settlements, self.tables.lines), path)
+
     def export(self, path: str) -> None:
         """Write the catalogue, the items without parameters, and the enriched lines."""
         exports.write_items(self.item_catalog, posixpath.join(path, "items"))

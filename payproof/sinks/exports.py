@@ -31,6 +31,19 @@ def write_lines(enriched: DataFrame, path: str, year: int) -> None:
     )
 
 
+def land_lines(joined: DataFrame, path: str) -> None:
+    """Lines with their header, by settlement type and period: written once, read by every later run.
+
+    A run on the landed table skips the files of other periods and needs no join to the headers.
+    """
+    (
+        joined.hint("rebalance", "settlement_type", "year", "month")
+        .write.mode("overwrite")
+        .partitionBy("settlement_type", "year", "month")
+        .parquet(path)
+    )
+
+
 def write_reports(reports: dict[str, DataFrame], path: str) -> dict[str, str]:
     """Each report in its own directory under ``path``; returns the directories."""
     written = {}

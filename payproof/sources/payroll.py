@@ -36,14 +36,10 @@ def item_catalog(items: DataFrame) -> DataFrame:
     return items.select("item_id", "name")
 
 
-def period_lines(settlements: DataFrame, lines: DataFrame, p: RunParams) -> DataFrame:
-    """Lines of the year up to the month of the run, with their header.
-
-    The period filter sits on the header, so only its settlements reach the join. Neither side carries a
-    hint: both grow with the payroll, and Spark picks the join from their sizes.
-    """
-    headers = settlements.where(to_date(p))
-    return headers.join(lines, "settlement_id").select(
+def joined_lines(settlements: DataFrame, lines: DataFrame) -> DataFrame:
+    """Lines with their header. Neither side carries a hint: both grow with the payroll, and Spark picks the
+    join from their sizes and splits a settlement with very many lines at run time."""
+    return settlements.join(lines, "settlement_id").select(
         "employee_id",
         "settlement_id",
         "kind",
@@ -58,6 +54,11 @@ def period_lines(settlements: DataFrame, lines: DataFrame, p: RunParams) -> Data
     )
 
 
+def period_lines(settlements: DataFrame, lines: DataFrame, p: RunParams) -> DataFrame:
+    """Lines of the year up to the month of the run; the filter is applied to the headers before the join."""
+    return joined_lines(settlements.where(to_date(p)), lines)
+
+
 def identities(persons: DataFrame, documents: DataFrame) -> DataFrame:
     """Employees with their tax id; one row per tax-id document."""
     tax_ids = documents.where(F.col("document_type") == TAX_ID_DOCUMENT)
@@ -66,27 +67,21 @@ def identities(persons: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def settlement_lines(
-    settlements: DataFrame, lines: DataFrame, persons: DataFrame, documents: DataFrame, p: RunParams
-) -> DataFrame:
-    """Settlement lines with the employee's name and tax id."""
-    return (
-        period_lines(settlements, lines, p)
-        .join(identities(persons, documents), "employee_id")
-        .select(
-            "employee_id",
-            "surname",
-            "name",
-            "settlement_id",
-            "kind",
-            "item_id",
-            "quantity",
-            "earning",
-            "deduction",
-            "item_name",
-            "month",
-            "tax_id",
-        )
+def settlement_lines(period: DataFrame, people: DataFrame) -> DataFrame:
+    """Period lines with the employee's name and tax id."""
+    return period.join(people, "employee_id").select(
+        "employee_id",
+        "surname",
+        "name",
+        "settlement_id",
+        "kind",
+        "item_id",
+        "quantity",
+        "earning",
+        "deduction",
+        "item_name",
+        "month",
+        "tax_id",
     )
 
 
@@ -118,24 +113,16 @@ def employee_profiles(
     )
 
 
-def employee_attributes(
-    settlements: DataFrame,
-    lines: DataFrame,
-    labour: DataFrame,
-    persons: DataFrame,
-    items: DataFrame,
-    agreements: DataFrame,
-    p: RunParams,
-) -> DataFrame:
-    """Profiles of the employees that have a settlement line in the year.
+def settled_employees(settlements: DataFrame, lines: DataFrame, p: RunParams) -> DataFrame:
+    """Employees with a settlement line in the year.
 
     Lines only prove existence, so their ids are made distinct before they are shuffled.
     """
     with_lines = lines.select("settlement_id").distinct()
-    settled = (
-        settlements.where(of_type(p) & (F.col("year") == p.year))
-        .join(with_lines, "settlement_id", "left_semi")
-        .select("employee_id")
-        .distinct()
-    )
-    return employee_profiles(labour, persons, items, agreements).join(settled, "employee_id", "left_semi")
+    of_year = settlements.where(of_type(p) & (F.col("year") == p.year))
+    return of_year.join(with_lines, "settlement_id", "left_semi").select("employee_id").distinct()
+
+
+def employee_attributes(profiles: DataFrame, settled: DataFrame) -> DataFrame:
+    """Profiles of the employees settled in the year."""
+    return profiles.join(settled, "employee_id", "left_semi")

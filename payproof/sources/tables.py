@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from payproof.schemas import DECLARATIONS
 
+BYTE_ORDER_MARK = "\ufeff"
+
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
@@ -49,10 +51,10 @@ def read_sheet(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 def read_declarations(spark: SparkSession, path: str) -> DataFrame:
     """One row per ``*.xml`` declaration of a folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.xml").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.xml")
     return files.select(
         F.col("_metadata.file_path").alias("file_path"),
-        F.ltrim(F.lit("﻿"), F.col("value")).alias("xml"),
+        F.ltrim(F.col("value"), F.lit(BYTE_ORDER_MARK)).alias("xml"),
     ).to(DECLARATIONS)
 
 

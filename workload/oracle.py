@@ -517,6 +517,7 @@ def oracle_sql() -> dict[str, str]:
   {money("sum(earning_c)", 24)} AS earning, {money("sum(deduction_c)", 24)} AS deduction FROM lines
   GROUP BY ALL"""
     out["pay_summary_from_compact"] = summary_sql(JULY)
+    out["taxable_pay_base_landed"] = base_sql(JULY)
     out["report_exports"] = exports_sql(JULY)
     out["line_exports"] = f"""{july} SELECT year, month, count(*) AS n, {money("sum(earning_c)", 24)} AS earning,
   {money("sum(deduction_c)", 24)} AS deduction FROM pay GROUP BY year, month"""

@@ -97,7 +97,15 @@ def _compact_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pay_summary_from_compact(spark: SparkSession, sf: str) -> DataFrame:
     a = audit(spark, sf)
-    return type(a)(a.tables, a.params, a.compact_lines).pay_summary
+    return a.on_pay_lines(a.compact_lines).pay_summary
+
+
+def _landed_income_tax(spark: SparkSession, sf: str) -> DataFrame:
+    """All lines landed, then the tax base from them: the period is picked by directory."""
+    path = scratch_folder(spark)
+    a = audit(spark, sf)
+    exports.land_lines(payroll.joined_lines(settlements(spark, sf), a.tables.lines), path)
+    return a.on_landed(spark.read.parquet(path)).taxable_pay_base
 
 
 def _report_exports(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["bracket_match"] = _bracket_match
     out["compact_lines"] = _compact_lines
     out["pay_summary_from_compact"] = _pay_summary_from_compact
+    out["taxable_pay_base_landed"] = _landed_income_tax
     out["report_exports"] = _report_exports
     out["line_exports"] = _line_exports
     out["item_exports"] = _item_exports
