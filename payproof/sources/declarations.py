@@ -29,11 +29,14 @@ def _required(value: Column, what: str) -> Column:
 
 
 def _records(declarations: DataFrame, tag: str, fields: tuple[str, ...]) -> DataFrame:
-    """One row per ``tag`` element: the employee's tax id and the parsed ``fields``."""
+    """One row per ``tag`` element: the employee's tax id and the parsed ``fields``.
+
+    The tax id is taken once per document, before its elements are spread, and the text ends there.
+    """
     owner = F.from_xml(F.get(_elements("empleado", "xml"), F.lit(0)), "cuit string")
     schema = ", ".join(f"{field} string" for field in fields)
-    elements = declarations.select(owner["cuit"].alias("tax_id"), F.explode(_elements(tag, "xml")).alias("element"))
-    return elements.select(
+    documents = declarations.select(owner["cuit"].alias("tax_id"), _elements(tag, "xml").alias("elements"))
+    return documents.select("tax_id", F.explode("elements").alias("element")).select(
         _required(F.col("tax_id"), "a tax id").alias("tax_id"), F.from_xml("element", schema).alias("record")
     )
 
