@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from payproof.functions.bounds import with_row
-from payproof.functions.money import as_money, limited, sum_when
+from payproof.functions.money import as_money, limited, sum_when, zero
 from payproof.operators.limits import limit_name
 from payproof.params import (
     ALLOWANCE_LIMITED,
@@ -65,16 +65,40 @@ def dependant_totals(priced: DataFrame) -> DataFrame:
     )
 
 
+# Signed sums of the declared amounts that the income tax takes off, next to the columns by code.
+GROUP, GROUP_BEFORE_NET_GAIN = "group", "group_before_net_gain"
+
+
+def _sum_of(code: int) -> Column:
+    return as_money(sum_when(F.col("code") == code, "amount"), 14).alias(DEDUCTION_CODES[code])
+
+
+def _signed_sum(codes: list[int]) -> Column:
+    """The first code minus the others."""
+    code, amount = F.col("code"), F.col("amount")
+    signed = F.when(code == codes[0], amount).when(code.isin(*codes[1:]), -amount)
+    return as_money(F.coalesce(F.sum(signed), zero(14)))
+
+
 def general_deductions_wide(deductions: DataFrame) -> DataFrame:
     """One column per deduction code; other codes are dropped.
 
     Conditional sums rather than ``pivot``: one aggregation, combined before the shuffle.
     """
+    return deductions.groupBy("tax_id").agg(*(_sum_of(code) for code in DEDUCTION_CODES))
+
+
+def declared_deductions(deductions: DataFrame) -> DataFrame:
+    """The wide deductions with the two groups the net gain subtracts.
+
+    The group is written "first - second - third ...", and the group as a whole is subtracted from the
+    base. So only its first term lowers the base. Kept as the default reading.
+    """
+    before = [code for code in DEDUCTION_CODES if code not in NET_GAIN_LIMITED]
     return deductions.groupBy("tax_id").agg(
-        *(
-            as_money(sum_when(F.col("code") == code, "amount"), 14).alias(name)
-            for code, name in DEDUCTION_CODES.items()
-        )
+        *(_sum_of(code) for code in DEDUCTION_CODES),
+        _signed_sum(list(DEDUCTION_CODES)).alias(GROUP),
+        _signed_sum(before).alias(GROUP_BEFORE_NET_GAIN),
     )
 
 
@@ -83,31 +107,18 @@ def declared(name: str) -> str:
     return f"declared_{name}"
 
 
-# The deduction group is written "first - second - third ...", and the group as a whole is subtracted from
-# the base. So only its first term lowers the base. Kept as the default reading.
-_GROUP = list(DEDUCTION_CODES)
-_GROUP_BEFORE_NET_GAIN = [code for code in DEDUCTION_CODES if code not in NET_GAIN_LIMITED]
-
-
-def _group(codes: list[int], corrected: bool):
-    names = [DEDUCTION_CODES[code] for code in codes]
-    if corrected:
-        terms = [F.col(name) for name in names]
-        total = terms[0]
-        for term in terms[1:]:
-            total = total + term
-    else:
-        terms = [F.col(declared(name)) for name in names]
-        total = terms[0]
-        for term in terms[1:]:
-            total = total - term
-    # Without a declaration every term is null, and the group is 0.
-    exact = T.DecimalType(20, 4)
-    return F.coalesce(total.cast(exact), F.lit(0).cast(exact))
+def _subtracted(group: str, codes: list[int], p: RunParams) -> Column:
+    """What the codes take off the base: the declared group, or in the corrected reading all limited amounts."""
+    if not p.corrected:
+        return F.coalesce(declared(group), zero())
+    total = F.col(DEDUCTION_CODES[codes[0]])
+    for code in codes[1:]:
+        total = total + F.col(DEDUCTION_CODES[code])
+    return total.cast(T.DecimalType(20, 4))
 
 
-def deduction_group(p: RunParams):
-    return _group(_GROUP, p.corrected)
+def deduction_group(p: RunParams) -> Column:
+    return _subtracted(GROUP, list(DEDUCTION_CODES), p)
 
 
 def capped_deductions(base: DataFrame, limits: DataFrame, p: RunParams) -> DataFrame:
@@ -117,9 +128,9 @@ def capped_deductions(base: DataFrame, limits: DataFrame, p: RunParams) -> DataF
     the net-gain limit come last, as it depends on the others.
     """
 
-    def granted(code, amount):
+    def granted(code: int, amount: Column) -> Column:
         if code in LEAVER_ONLY:
-            amount = amount * F.when(F.col("status") == LEAVER, 1).otherwise(0)
+            return F.when(F.col("status") == LEAVER, amount).otherwise(zero())
         return amount
 
     limited_codes = AMOUNT_LIMITED + ALLOWANCE_LIMITED
@@ -133,9 +144,11 @@ def capped_deductions(base: DataFrame, limits: DataFrame, p: RunParams) -> DataF
         elif code in AMOUNT_LIMITED:
             first[name] = as_money(granted(code, limited(amount, F.col(f"limits.{limit_name(code)}"))))
         else:
-            first[name] = as_money(granted(code, F.coalesce(amount, F.lit(0).cast("decimal(14,2)"))))
+            first[name] = as_money(granted(code, F.coalesce(amount, zero())))
 
-    net_gain = F.col("pay_total") - F.col("social_deductions") - _group(_GROUP_BEFORE_NET_GAIN, p.corrected)
+    before = [code for code in DEDUCTION_CODES if code not in NET_GAIN_LIMITED]
+    subtracted = _subtracted(GROUP_BEFORE_NET_GAIN, before, p)
+    net_gain = F.col("pay_total") - F.col("social_deductions") - subtracted
     net_gain_limit = as_money(net_gain * F.lit(NET_GAIN_LIMIT_RATE), 10)
     return (
         with_row(base, "limits", limits.select(*(limit_name(code) for code in limited_codes)))

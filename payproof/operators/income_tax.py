@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from payproof.functions.bounds import small_sheet
 from payproof.functions.money import as_money, from_shares, share_weight, sum_when, twelfth, zero
-from payproof.operators.deductions import capped_deductions, declared, deduction_group
+from payproof.operators.deductions import (
+    GROUP,
+    GROUP_BEFORE_NET_GAIN,
+    capped_deductions,
+    declared,
+    deduction_group,
+)
 from payproof.operators.employees import resum, sums_by_employee
 from payproof.params import (
     ACTIVE,
@@ -113,16 +119,17 @@ def match_personal_deductions(base: DataFrame, personal: DataFrame, p: RunParams
     return base.join(small_sheet(rows), "status", "left")
 
 
-def attach_f572(base: DataFrame, dependant_totals: DataFrame, wide: DataFrame) -> DataFrame:
+def attach_f572(base: DataFrame, dependant_totals: DataFrame, declarations: DataFrame) -> DataFrame:
     """Declared deductions by tax id without dashes; dependants 0 and the others null without a declaration."""
     totals = dependant_totals.select(F.col("tax_id").alias("plain_id"), F.col("amount").alias("dependants"))
-    declarations = wide.select(
-        F.col("tax_id").alias("plain_id"), *(F.col(name).alias(declared(name)) for name in DEDUCTIONS)
+    amounts = declarations.select(
+        F.col("tax_id").alias("plain_id"),
+        *(F.col(name).alias(declared(name)) for name in (*DEDUCTIONS, GROUP, GROUP_BEFORE_NET_GAIN)),
     )
     return (
         base.withColumn("plain_id", F.replace("tax_id", F.lit("-"), F.lit("")))
         .join(totals, "plain_id", "left")
-        .join(declarations, "plain_id", "left")
+        .join(amounts, "plain_id", "left")
         .drop("plain_id")
         .withColumn("dependants", F.coalesce("dependants", zero(12)))
     )
@@ -133,13 +140,13 @@ def deduction_columns(
     personal: DataFrame,
     limits: DataFrame,
     dependant_totals: DataFrame,
-    wide: DataFrame,
+    declarations: DataFrame,
     p: RunParams,
 ) -> DataFrame:
     """The base with allowances, dependants, total pay, the extra twelfth and the limited deductions."""
     pay_total = sum((F.col(name) for name in PAY_PARTS[1:]), F.col(PAY_PARTS[0]))
     allowances = F.col("gni") + F.col("special") + F.col("dependants")
-    attached = attach_f572(match_personal_deductions(base, personal, p), dependant_totals, wide).withColumns(
+    attached = attach_f572(match_personal_deductions(base, personal, p), dependant_totals, declarations).withColumns(
         {"pay_total": as_money(pay_total), "twelfth": twelfth(allowances, 12)}
     )
     return capped_deductions(attached, limits, p)
@@ -150,7 +157,7 @@ def taxable_net_gain(
     personal: DataFrame,
     limits: DataFrame,
     dependant_totals: DataFrame,
-    wide: DataFrame,
+    declarations: DataFrame,
     p: RunParams,
 ) -> DataFrame:
     """Net gain subject to the scale, floored at 0; null where the sheet has no allowances."""
@@ -163,7 +170,7 @@ def taxable_net_gain(
         - F.col("twelfth")
         - deduction_group(p)
     )
-    columns = deduction_columns(base, personal, limits, dependant_totals, wide, p)
+    columns = deduction_columns(base, personal, limits, dependant_totals, declarations, p)
     return (
         columns.withColumn("gain", as_money(gain))
         .withColumn("taxable_gain", F.when(F.col("gain") < 0, zero()).otherwise(F.col("gain")))

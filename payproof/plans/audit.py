@@ -186,6 +186,10 @@ class PayrollAudit:
     def general_deductions_wide(self) -> DataFrame:
         return deductions.general_deductions_wide(self.f572_deductions)
 
+    @cached_property
+    def declared_deductions(self) -> DataFrame:
+        return deductions.declared_deductions(self.f572_deductions)
+
     # Pay summary
 
     @cached_property
@@ -239,7 +243,7 @@ class PayrollAudit:
             self.personal_deduction_params,
             self.deduction_limits,
             self.dependant_totals,
-            self.general_deductions_wide,
+            self.declared_deductions,
             self.params,
         )
 
@@ -250,7 +254,7 @@ class PayrollAudit:
             self.personal_deduction_params,
             self.deduction_limits,
             self.dependant_totals,
-            self.general_deductions_wide,
+            self.declared_deductions,
             self.params,
         )
 

@@ -367,7 +367,10 @@ def gain_cols(m: int) -> str:
 
 
 def capped_sql(run: RunParams) -> str:
+    before = [DEDUCTION_CODES[c] for c in DEDUCTION_CODES if c not in NET_GAIN_LIMITED]
     declared = ", ".join(f"{money(f'{n}_d', 14)} AS declared_{n}" for n in NAMES)
+    for alias, names in (("group", NAMES), ("group_before_net_gain", before)):
+        declared += f", {money(' - '.join(f'{n}_d' for n in names))} AS declared_{alias}"
     return f"{model(run)}{gain_cte(run)} SELECT {gain_cols(run.month)}, {declared} FROM gain"
 
 
