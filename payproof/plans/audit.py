@@ -53,7 +53,7 @@ class PayrollAudit:
         landed: DataFrame | None = None,
         pay_lines: DataFrame | None = None,
     ):
-        """``landed`` is a table written by ``land_lines``, read in place of lines and headers. ``pay_lines`` is
+        """``landed`` is a table written by ``land``, read in place of lines and headers. ``pay_lines`` is
         one written from ``compact_lines``, read in place of the classified lines."""
         self.tables = tables
         self.params = params
@@ -277,29 +277,45 @@ class PayrollAudit:
     # Sinks
 
     def reports(self) -> dict[str, DataFrame]:
+        """The reports of a run in presentation order, but for the totals of the pay summary."""
+        by_name = ("surname", "name", "tax_id")
         return {
-            "pay_summary": self.pay_summary.orderBy("surname", "name", "tax_id"),
-            "totals_running_balance": self.totals_running_balance,
+            "pay_summary": self.pay_summary.orderBy(*by_name),
             "withholding_control": withholding.order_control(self.withholding_status),
             "control_reference_values": self.control_reference_values,
-            "income_tax_control": self.income_tax_control.orderBy("surname", "name", "tax_id"),
+            "income_tax_control": self.income_tax_control.orderBy(*by_name),
             "f931_bases": self.f931_bases,
         }
 
     def run(self, path: str) -> dict[str, str]:
-        """Write all reports under ``path``. The lines are read and summed once, into a table the reports share."""
-        pay_lines = posixpath.join(path, "pay_lines")
-        self.compact_lines.write.mode("overwrite").partitionBy("year", "month").parquet(pay_lines)
+        """Write all reports under ``path`` and return their directories.
+
+        The lines are read and summed once, into a table the reports share; the totals read the written
+        summary. Each step stands on files, so a lost executor costs its tasks only.
+        """
         spark = self.tables.settlements.sparkSession
+        pay_lines = posixpath.join(path, "pay_lines")
+        exports.write_lines(self.compact_lines, pay_lines)
         shared = self.on_pay_lines(spark.read.parquet(pay_lines))
-        return exports.write_reports(shared.reports(), posixpath.join(path, "reports"))
+        folder = posixpath.join(path, "reports")
+        written = exports.write_reports(shared.reports(), folder)
+        totals = summary.pay_summary_totals(spark.read.parquet(written["pay_summary"]))
+        balance = {"totals_running_balance": summary.totals_running_balance(totals)}
+        return written | exports.write_reports(balance, folder)
 
     def land(self, path: str) -> None:
-        """Write the lines of all periods with their headers, for ``on_landed``."""
-        exports.land_lines(payroll.joined_lines(self.tables.settlements, self.tables.lines), path)
+        """Write the lines of all periods with their headers, for ``on_landed``.
+
+        A run on the landed table skips the files of other periods and needs no join to the headers.
+        """
+        exports.write_lines(
+            payroll.joined_lines(self.tables.settlements, self.tables.lines), path, by_type=True
+        )
 
     def export(self, path: str) -> None:
         """Write the catalogue, the items without parameters, and the enriched lines."""
         exports.write_items(self.item_catalog, posixpath.join(path, "items"))
         exports.write_items(self.unparametrized_items, posixpath.join(path, "unparametrized_items"))
-        exports.write_lines(self.enriched_lines, posixpath.join(path, "lines"), self.params.year)
+        exports.write_lines(
+            self.enriched_lines.withColumn("year", F.lit(self.params.year)), posixpath.join(path, "lines")
+        )

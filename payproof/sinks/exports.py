@@ -5,7 +5,6 @@ from __future__ import annotations
 import posixpath
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -17,37 +16,22 @@ def write_items(items: DataFrame, path: str) -> None:
     write_csv(items.select("item_id", "name"), path)
 
 
-def write_lines(enriched: DataFrame, path: str, year: int) -> None:
-    """Enriched lines as Parquet by month.
+def write_lines(lines: DataFrame, path: str, by_type: bool = False) -> None:
+    """Lines as Parquet by period, and by settlement type before that if asked.
 
-    The rebalance keeps a month's files at a readable size and splits a month that is too large for a task.
+    The rebalance gives each period files of a readable size, and splits a period that is too large for a task.
     """
-    (
-        enriched.withColumn("year", F.lit(year))
-        .hint("rebalance", "year", "month")
-        .write.mode("overwrite")
-        .partitionBy("year", "month")
-        .parquet(path)
-    )
+    periods = (["settlement_type"] if by_type else []) + ["year", "month"]
+    lines.hint("rebalance", *periods).write.mode("overwrite").partitionBy(*periods).parquet(path)
 
 
-def land_lines(joined: DataFrame, path: str) -> None:
-    """Lines with their header, by settlement type and period: written once, read by every later run.
-
-    A run on the landed table skips the files of other periods and needs no join to the headers.
-    """
-    (
-        joined.hint("rebalance", "settlement_type", "year", "month")
-        .write.mode("overwrite")
-        .partitionBy("settlement_type", "year", "month")
-        .parquet(path)
-    )
-
-
-def write_reports(reports: dict[str, DataFrame], path: str) -> dict[str, str]:
-    """Each report in its own directory under ``path``; returns the directories."""
+def write_reports(reports: dict[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, str]:
+    """Each report in its own directory under ``path``, as Parquet or CSV; returns the directories."""
     written = {}
     for name, df in reports.items():
         written[name] = posixpath.join(path, name)
-        df.write.mode("overwrite").parquet(written[name])
+        if fmt == "csv":
+            write_csv(df, written[name])
+        else:
+            df.write.mode("overwrite").format(fmt).save(written[name])
     return written

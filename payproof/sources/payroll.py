@@ -36,10 +36,15 @@ def item_catalog(items: DataFrame) -> DataFrame:
     return items.select("item_id", "name")
 
 
+def line_keys(lines: DataFrame) -> list[str]:
+    """What lines and headers share: the number, and the type where each type numbers its own settlements."""
+    return ["settlement_id"] + [name for name in ("settlement_type",) if name in lines.columns]
+
+
 def joined_lines(settlements: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines with their header. Neither side carries a hint: both grow with the payroll, and Spark picks the
     join from their sizes and splits a settlement with very many lines at run time."""
-    return settlements.join(lines, "settlement_id").select(
+    return settlements.join(lines, line_keys(lines)).select(
         "employee_id",
         "settlement_id",
         "kind",
@@ -118,9 +123,10 @@ def settled_employees(settlements: DataFrame, lines: DataFrame, p: RunParams) ->
 
     Lines only prove existence, so their ids are made distinct before they are shuffled.
     """
-    with_lines = lines.select("settlement_id").distinct()
+    keys = line_keys(lines)
+    with_lines = lines.select(*keys).distinct()
     of_year = settlements.where(of_type(p) & (F.col("year") == p.year))
-    return of_year.join(with_lines, "settlement_id", "left_semi").select("employee_id").distinct()
+    return of_year.join(with_lines, keys, "left_semi").select("employee_id").distinct()
 
 
 def employee_attributes(profiles: DataFrame, settled: DataFrame) -> DataFrame:

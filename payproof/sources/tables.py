@@ -20,20 +20,23 @@ def read_jdbc(
     url: str,
     table: str,
     *,
-    partition_column: str | None = None,
+    key: str | None = None,
     bounds: tuple[int, int] | None = None,
     partitions: int = 1,
     properties: dict[str, str] | None = None,
 ) -> DataFrame:
-    """A table of the payroll database, read in ``partitions`` ranges of a numeric key.
+    """A table of the payroll database, read by one task per range of a numeric ``key`` between ``bounds``.
 
-    Filters and column lists of the operators above it are pushed into the database query.
+    Filters and column lists of the operators above it are pushed into the database query. The bounds only
+    shape the ranges: rows outside them are read too, by the first and the last task.
     """
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **(properties or {}))
-    if partition_column:
-        lower, upper = bounds or (0, 0)
+    if key is not None:
+        if bounds is None:
+            raise ValueError("a partitioned read needs the bounds of its key")
+        lower, upper = bounds
         reader = reader.options(
-            partitionColumn=partition_column, lowerBound=lower, upperBound=upper, numPartitions=partitions
+            partitionColumn=key, lowerBound=lower, upperBound=upper, numPartitions=partitions
         )
     return reader.load()
 
@@ -49,6 +52,11 @@ def read_sheet(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     )
 
 
+def read_headed(spark: SparkSession, path: str) -> DataFrame:
+    """A sheet saved as CSV, every column as text under its heading, in the order of the file."""
+    return spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+
+
 def read_declarations(spark: SparkSession, path: str) -> DataFrame:
     """One row per ``*.xml`` declaration of a folder."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.xml")
@@ -56,12 +64,3 @@ def read_declarations(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file_path"),
         F.ltrim(F.col("value"), F.lit(BYTE_ORDER_MARK)).alias("xml"),
     ).to(DECLARATIONS)
-
-
-def settlements_by_type(headers: dict[str, DataFrame]) -> DataFrame:
-    """The per-type tables of the payroll database as one table with a ``settlement_type`` column."""
-    parts = [df.withColumn("settlement_type", F.lit(kind)) for kind, df in headers.items()]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole

@@ -6,6 +6,7 @@ from payroll_rows import FIXTURES, JULY, Payroll
 
 from payproof import RunParams, schemas
 from payproof.sources import declarations, payroll, sheets, tables
+from payproof.sources.database import from_database, from_sheets
 
 
 def rows(df):
@@ -43,11 +44,70 @@ def test_one_settlement_type_or_all(spark):
     assert p.audit(spark, RunParams(2024, 7, settlement_type="Jor")).period_lines.count() == 1
 
 
-def test_types_become_one_table(spark):
-    one = spark.createDataFrame([(1,)], "settlement_id bigint")
-    two = spark.createDataFrame([(2,)], "settlement_id bigint")
-    assert rows(payroll_type := tables.settlements_by_type({"Emb": one, "Men": two})) == [(1, "Emb"), (2, "Men")]
-    assert payroll_type.columns == ["settlement_id", "settlement_type"]
+def database(spark):
+    """A database of two settlement types whose settlements carry the same numbers."""
+    frames = {
+        "LiquidacionItems": ([(1, "Salary")], "idLiquidacionItem int, Nombre string"),
+        "DatosPersonales": (
+            [(7, "Doe", "Jo", None), (8, "Roe", "Al", None)],
+            "idDatoPersonal int, Apellido string, Nombres string, FechaBaja timestamp",
+        ),
+        "DatosPersonalesDocumentos": (
+            [(7, 33, "20-7-1"), (8, 33, "20-8-1")],
+            "idDatoPersonal int, idTipoDocumento int, NumeroDocumento string",
+        ),
+        "DatosPersonalesLaborales": (
+            [(7, 2, 1, None, 5, True)],
+            "idDatoPersonal int, idCodigoCondicion int, idObraSocial int, idSindicato int, idConvenioTipo int, "
+            "SindEsAfiliado boolean",
+        ),
+        "MAE_ConveniosTipos": ([(5, "Deck")], "idConvenioTipo int, ConvenioTipo string"),
+    }
+    for kind, employee, pay in (("Emb", 7, 100.5), ("Men", 8, 20.25)):
+        frames[f"Liquidaciones{kind}"] = (
+            [(1, employee, 3, 2024, 7, "x")],
+            "idLiquidacion int, idDatoPersonal int, idLiquidacionTipo int, PeriodoAnio int, PeriodoMes int, Otro string",
+        )
+        frames[f"Liquidaciones{kind}Detalle"] = (
+            [(1, 1, 1.0, pay, None, "Salary")],
+            "idLiquidacion int, idLiquidacionItem int, Cantidad double, Haber double, Dscto double, NombreItem string",
+        )
+    return from_database(lambda name: spark.createDataFrame(*frames[name]), ("Emb", "Men"))
+
+
+def test_settlement_types_number_their_own_settlements(spark):
+    t = database(spark)
+    both = payroll.period_lines(t["settlements"], t["lines"], RunParams(2024, 7))
+    got = rows(both.select("settlement_type", "employee_id", "earning"))
+    assert got == [("Emb", 7, D("100.50")), ("Men", 8, D("20.25"))]
+    men = RunParams(2024, 7, settlement_type="Men")
+    assert rows(payroll.settled_employees(t["settlements"], t["lines"], men)) == [(8,)]
+
+
+def test_database_tables_take_the_types_of_the_model(spark):
+    t = database(spark)
+    assert dict(t["lines"].dtypes)["earning"] == "decimal(14,2)"
+    assert dict(t["persons"].dtypes)["end_date"] == "date"
+    profile = payroll.employee_profiles(t["labour"], t["persons"], t["items"], t["agreements"])
+    assert rows(profile) == [(7, True, "Deck", "Salary", None, True, None)]
+
+
+def test_sheets_with_their_own_headings(spark, tmp_path):
+    files = {
+        "items_liquidacion": "nombre,idLiquidacionItem,categoria,subcategoria,ganancias,r4r8,r9\nSalary,1,remunerativo,,habitual,,true",
+        "bases_imponibles": "Minima,Periodo,Maxima\n100,2024-07-01,1000.01",
+        "gan_art_94": "periodo,desde,hasta,suma_fija,coeficiente,excedente,codigo_porcentaje,tipo\n2024-07-01,0,10,1,5,0,1,0",
+        "gan_deducciones_personales": "Periodo,GNI,Especial,Conyuge,Hijo,Hijo_Incapacitado,Tipo\n2024-07-01,1,2,3,4,5,0",
+        "gan_deducciones_generales": "PERIODO,Deduccion,Codigo,Tipo,Tope,Porcentaje\n2024-01-01,x,2,A,20.5,",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text + "\n")
+    got = from_sheets(lambda name: tables.read_headed(spark, str(tmp_path / f"{name}.csv")))
+    assert rows(sheets.contribution_caps(got["cap_sheet"], JULY))[0][1:] == (D("1000.01"), D("100.00"))
+    assert sheets.item_parameters(got["item_sheet"]).first().subcategory == "n/a"
+    assert sheets.tax_brackets(got["bracket_sheet"], JULY).first().rate == 5
+    assert sheets.personal_deduction_params(got["personal_sheet"], JULY).first().disabled_child == D("5.00")
+    assert sheets.general_deduction_params(got["general_sheet"], JULY).first().cap == D("20.50")
 
 
 def test_attributes_are_distinct_and_only_of_settled_employees(spark):

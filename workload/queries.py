@@ -104,7 +104,7 @@ def _landed_income_tax(spark: SparkSession, sf: str) -> DataFrame:
     """All lines landed, then the tax base from them: the period is picked by directory."""
     path = scratch_folder(spark)
     a = audit(spark, sf)
-    exports.land_lines(payroll.joined_lines(settlements(spark, sf), a.tables.lines), path)
+    exports.write_lines(payroll.joined_lines(settlements(spark, sf), a.tables.lines), path, by_type=True)
     return a.on_landed(spark.read.parquet(path)).taxable_pay_base
 
 
@@ -135,7 +135,7 @@ def _line_exports(spark: SparkSession, sf: str) -> DataFrame:
     """The line export read back by month."""
     path = scratch_folder(spark)
     a = audit(spark, sf)
-    exports.write_lines(a.enriched_lines, path, a.params.year)
+    exports.write_lines(a.enriched_lines.withColumn("year", F.lit(a.params.year)), path)
     return (
         spark.read.parquet(path)
         .groupBy("year", "month")
