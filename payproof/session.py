@@ -8,6 +8,8 @@ SETTINGS = {
     # Joins carry no hints but for counted sheets; size and skew are decided at run time.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key also where the split costs one more shuffle of the joined rows.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # Sums must raise on overflow rather than turn into null, which would hide a failed control.

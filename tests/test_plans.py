@@ -121,6 +121,31 @@ def test_hot_settlement_and_employee(spark, conf):
     assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_hot_labour_rows_and_documents(spark, conf):
+    """One employee with a third of the labour rows and of the tax ids."""
+    conf(
+        autoBroadcastJoinThreshold="-1",
+        adaptive__autoBroadcastJoinThreshold="-1",
+        adaptive__forceOptimizeSkewedJoin="true",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="4KB",
+        adaptive__skewJoin__skewedPartitionFactor="2",
+        adaptive__advisoryPartitionSizeInBytes="2KB",
+        adaptive__coalescePartitions__enabled="false",
+    )
+    p = Payroll().employee(1, rows=40, tax_ids=30)
+    for key in range(2, 82):
+        p.employee(key)
+    for key in range(1, 82):
+        p.pay(key, 7, (1, "500.00", None))
+    p.labour += p.labour[:40] * 5
+    a = p.audit(spark)
+    # Agreements 3 and up have no name, so the rows differ in two names and one null.
+    control = a.withholding_control.collect()
+    assert len(control) == 30 * 3 + 80 and {r.pay for r in control} == {D("500.00")}
+    base = a.taxable_pay_base.collect()
+    assert sorted(r.regular_h2 for r in base) == [D("500.00")] * 80 + [D("1500.00")] * 30
+
+
 def test_controls_agree_on_compact_lines(spark):
     p, _ = hot_payroll()
     a = p.audit(spark)
