@@ -11,7 +11,7 @@ SHEET_ROWS = 10_000
 
 def small_sheet(df: DataFrame, max_rows: int = SHEET_ROWS) -> DataFrame:
     """Broadcast a parameter sheet after counting it; a larger one is joined the way Spark picks."""
-    if df.limit(max_rows + 1).count() <= max_rows:
+    if df.count() <= max_rows:
         return F.broadcast(df)
     return df
 

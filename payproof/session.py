@@ -8,6 +8,8 @@ SETTINGS = {
     # Joins carry no hints but for counted sheets; size and skew are decided at run time.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Join lines to headers by hash where each part of the headers fits in memory: the lines stay unsorted.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # Split a hot key also where the split costs one more shuffle of the joined rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

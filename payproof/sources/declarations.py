@@ -1,8 +1,8 @@
 """Employee tax declarations (XML): dependants and general deductions.
 
 A declaration is read where it lies, one row per document, in one pass and without a shuffle. Elements are
-cut out at any depth of the whole text and each is parsed as XML. A required child that is missing or empty
-fails the run.
+cut out at any depth of the whole text, gathered under one root and parsed as XML. A required child that is
+missing or empty fails the run.
 """
 
 from __future__ import annotations
@@ -29,15 +29,15 @@ def _required(value: Column, what: str) -> Column:
 
 
 def _records(declarations: DataFrame, tag: str, fields: tuple[str, ...]) -> DataFrame:
-    """One row per ``tag`` element: the employee's tax id and the parsed ``fields``.
-
-    The tax id is taken once per document, before its elements are spread, and the text ends there.
-    """
-    owner = F.from_xml(F.get(_elements("empleado", "xml"), F.lit(0)), "cuit string")
-    schema = ", ".join(f"{field} string" for field in fields)
-    documents = declarations.select(owner["cuit"].alias("tax_id"), _elements(tag, "xml").alias("elements"))
-    return documents.select("tax_id", F.explode("elements").alias("element")).select(
-        _required(F.col("tax_id"), "a tax id").alias("tax_id"), F.from_xml("element", schema).alias("record")
+    """One row per ``tag`` element: the employee's tax id and the ``fields`` as text."""
+    employee = F.coalesce(F.get(_elements("empleado", "xml"), F.lit(0)), F.lit(""))
+    gathered = F.concat(F.lit("<root>"), employee, F.array_join(_elements(tag, "xml"), ""), F.lit("</root>"))
+    record = ", ".join(f"{field}: string" for field in fields)
+    schema = f"empleado struct<cuit: string>, {tag} array<struct<{record}>>"
+    return (
+        declarations.select(F.from_xml(gathered, schema).alias("parsed"))
+        .select(F.col("parsed.empleado.cuit").alias("tax_id"), F.explode(f"parsed.{tag}").alias("record"))
+        .withColumn("tax_id", _required(F.col("tax_id"), "a tax id"))
     )
 
 
