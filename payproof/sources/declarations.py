@@ -23,20 +23,30 @@ def _elements(tag: str, xml: str) -> Column:
 
 
 def _required(value: Column, what: str) -> Column:
-    text = F.trim(value)
+    """The text of a child that must be there.
+
+    Never null, and known as such: a join on a column that may be null gets a filter inferred, which would
+    parse the document a second time below the join.
+    """
+    text = F.coalesce(F.trim(value), F.lit(""))
     missing = F.raise_error(F.lit(f"declaration without {what}"))
-    return F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(missing)
+    return F.coalesce(F.when(text == "", missing).otherwise(text), F.lit(""))
 
 
 def _records(declarations: DataFrame, tag: str, fields: tuple[str, ...]) -> DataFrame:
-    """One row per ``tag`` element: the employee's tax id and the ``fields`` as text."""
+    """One row per ``tag`` element: the employee's tax id and the ``fields`` as text.
+
+    ``explode_outer`` and a filter on its rows: of a plain ``explode`` the optimizer infers a filter on the
+    parsed array, and moves it below, where every document would be parsed a second time.
+    """
     employee = F.coalesce(F.get(_elements("empleado", "xml"), F.lit(0)), F.lit(""))
     gathered = F.concat(F.lit("<root>"), employee, F.array_join(_elements(tag, "xml"), ""), F.lit("</root>"))
     record = ", ".join(f"{field}: string" for field in fields)
     schema = f"empleado struct<cuit: string>, {tag} array<struct<{record}>>"
     return (
         declarations.select(F.from_xml(gathered, schema).alias("parsed"))
-        .select(F.col("parsed.empleado.cuit").alias("tax_id"), F.explode(f"parsed.{tag}").alias("record"))
+        .select(F.col("parsed.empleado.cuit").alias("tax_id"), F.explode_outer(f"parsed.{tag}").alias("record"))
+        .where(F.col("record").isNotNull())
         .withColumn("tax_id", _required(F.col("tax_id"), "a tax id"))
     )
 
