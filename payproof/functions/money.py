@@ -22,8 +22,19 @@ def zero(precision: int = 16) -> Column:
 
 
 def sum_when(condition: Column, amount: Column | str) -> Column:
-    """Conditional sum; 0 when no row qualifies."""
+    """Conditional sum of an amount of two decimals; 0 when no row qualifies.
+
+    Added up as whole cents: a sum of decimals this wide would rewrite every buffer of the aggregate as a big
+    number for every row. Overflow raises, as for decimals.
+    """
     amount = F.col(amount) if isinstance(amount, str) else amount
+    cents = (amount * F.lit(100)).cast("bigint")
+    total = F.coalesce(F.sum(F.when(condition, cents)), F.lit(0))
+    return as_money(total * F.lit(Decimal("0.01")), 24)
+
+
+def weighted_sum_when(condition: Column, amount: Column) -> Column:
+    """Conditional sum of amounts in shares, which would leave the range of whole cents."""
     return F.coalesce(F.sum(F.when(condition, amount)), F.lit(Decimal("0.00")))
 
 

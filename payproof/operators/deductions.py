@@ -76,8 +76,8 @@ def _sum_of(code: int) -> Column:
 def _signed_sum(codes: list[int]) -> Column:
     """The first code minus the others."""
     code, amount = F.col("code"), F.col("amount")
-    signed = F.when(code == codes[0], amount).when(code.isin(*codes[1:]), -amount)
-    return as_money(F.coalesce(F.sum(signed), zero(14)))
+    signed = F.when(code == codes[0], amount).otherwise(-amount)
+    return as_money(sum_when(code.isin(*codes), signed))
 
 
 def general_deductions_wide(deductions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from payproof.functions.bounds import small_sheet
-from payproof.functions.money import as_money, from_shares, share_weight, sum_when, twelfth, zero
+from payproof.functions.money import as_money, from_shares, share_weight, sum_when, twelfth, weighted_sum_when, zero
 from payproof.operators.deductions import (
     GROUP,
     GROUP_BEFORE_NET_GAIN,
@@ -66,17 +66,19 @@ def taxable_pay_base(
     h1, h2 = month.between(1, 6), month.between(7, 12)
 
     irregular = tax_class == IRREGULAR
-    amount = F.col("earning")
     if p.prorate_irregular:
-        amount = amount * share_weight(month, p.month)
+        shares = F.col("earning") * share_weight(month, p.month)
+        irregular_h1, irregular_h2 = (weighted_sum_when(h & irregular, shares) for h in (h1, h2))
+    else:
+        irregular_h1, irregular_h2 = (sum_when(h & irregular, "earning") for h in (h1, h2))
 
     sums = sums_by_employee(
         classified.where(to_date(p)),
         {
             "regular_h1": sum_when(h1 & (tax_class == REGULAR), "earning"),
             "regular_h2": sum_when(h2 & (tax_class == REGULAR), "earning"),
-            "irregular_h1": sum_when(h1 & irregular, amount),
-            "irregular_h2": sum_when(h2 & irregular, amount),
+            "irregular_h1": irregular_h1,
+            "irregular_h2": irregular_h2,
             "exempt": sum_when(tax_class == EXEMPT, "earning"),
             "sac_h1": sum_when(h1 & (tax_class == SAC), "earning"),
             "sac_h2": sum_when(h2 & (tax_class == SAC), "earning"),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from payproof.functions.money import sum_when
 from payproof.params import CATEGORY_ORDER, RunParams
-from payproof.schemas import money
 from payproof.sources.payroll import to_date
 
 # What the controls read of a classified line.
@@ -48,8 +48,8 @@ def compact_lines(classified: DataFrame, p: RunParams) -> DataFrame:
         classified.where(to_date(p))
         .groupBy(*LINE_GROUP)
         .agg(
-            F.sum("earning").cast(money(24)).alias("earning"),
-            F.sum("deduction").cast(money(24)).alias("deduction"),
+            sum_when(F.lit(True), "earning").alias("earning"),
+            sum_when(F.lit(True), "deduction").alias("deduction"),
         )
     )
 

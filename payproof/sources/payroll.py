@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from payproof.params import PENSIONER_CONDITION, TAX_ID_DOCUMENT, RunParams
 from payproof.functions.money import zero
+from payproof.schemas import money
 
 
 def of_type(p: RunParams) -> Column:
@@ -53,8 +54,8 @@ def joined_lines(settlements: DataFrame, lines: DataFrame) -> DataFrame:
         "month",
         "item_id",
         "quantity",
-        F.coalesce("earning", zero(14)).alias("earning"),
-        F.coalesce("deduction", zero(14)).alias("deduction"),
+        F.coalesce(F.col("earning").cast(money(14)), zero(14)).alias("earning"),
+        F.coalesce(F.col("deduction").cast(money(14)), zero(14)).alias("deduction"),
         "item_name",
     )
 
