@@ -405,6 +405,13 @@ def test_report_columns(spark):
     assert df.columns[0] == "balance" and len(df.columns) == 46
 
 
+def test_overflow_fails(spark):
+    # 5 % of this pay does not fit the ten digits of the net-gain limit.
+    p = Payroll().employee(1).pay(1, 7, (1, "9999999999.00", None))
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+        p.audit(spark).income_tax_control.collect()
+
+
 # Employer's return
 
 

@@ -6,7 +6,6 @@ parameter sheets follow the largest order total of each month, so they are read
 
 from __future__ import annotations
 
-import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
