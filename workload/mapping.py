@@ -23,7 +23,7 @@ FILES = {
     "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
     "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
     "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_quantity DOUBLE, l_extendedprice DOUBLE",
-    "part": "p_partkey BIGINT, p_name STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_size INT",
     "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
     "nation": "n_nationkey INT, n_name STRING",
 }
@@ -70,16 +70,16 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def item_sheet(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts as catalogue parameters; the last of every twenty has none."""
+    """Parts as catalogue parameters; those of the largest size have none."""
     slot = "p_partkey % 20"
     return (
         _read(spark, sf, "part")
-        .where(f"{slot} != 19")
+        .where("p_size < 50")
         .selectExpr(
             "CAST(p_partkey AS STRING) AS item_id",
             "p_name AS name",
             f"CASE WHEN {slot} <= 8 THEN 'remunerativo' WHEN {slot} <= 11 THEN 'no remunerativo' "
-            f"WHEN {slot} <= 17 THEN 'descuento' ELSE 'ganancias' END AS category",
+            f"WHEN {slot} <= 17 THEN 'descuento' WHEN {slot} = 18 THEN 'ganancias' ELSE 'plantilla' END AS category",
             f"CASE {slot} WHEN 8 THEN 'sac' WHEN 12 THEN 'previsional' WHEN 13 THEN 'obra social' "
             "WHEN 14 THEN 'sindical' WHEN 15 THEN 'anticipo' WHEN 16 THEN 'embargo' WHEN 17 THEN 'descuento' "
             "END AS subcategory",

@@ -100,7 +100,8 @@ raw_lines AS (
 catalog AS (
   SELECT p_partkey AS catalog_item_id, p_name AS catalog_item_name,
     CASE WHEN p_partkey % 20 < 9 THEN 'remunerativo' WHEN p_partkey % 20 < 12 THEN 'no remunerativo'
-      WHEN p_partkey % 20 < 18 THEN 'descuento' ELSE 'ganancias' END AS category,
+      WHEN p_partkey % 20 < 18 THEN 'descuento' WHEN p_partkey % 20 = 18 THEN 'ganancias'
+      ELSE 'plantilla' END AS category,
     CASE p_partkey % 20 WHEN 8 THEN 'sac' WHEN 12 THEN 'previsional' WHEN 13 THEN 'obra social'
       WHEN 14 THEN 'sindical' WHEN 15 THEN 'anticipo' WHEN 16 THEN 'embargo' WHEN 17 THEN 'descuento'
       ELSE 'n/a' END AS subcategory,
@@ -109,7 +110,7 @@ catalog AS (
       WHEN p_partkey % 20 = 12 THEN 'previsional' WHEN p_partkey % 20 = 13 THEN 'obra social'
       WHEN p_partkey % 20 = 14 THEN 'sindical' WHEN p_partkey % 20 = 18 THEN 'impuesto' END AS tax_class,
     CASE WHEN p_partkey % 20 < 9 THEN '1' ELSE '0' END AS r4r8, p_partkey % 20 < 9 AS r9
-  FROM part WHERE p_partkey % 20 <> 19),
+  FROM part WHERE p_size <> 50),
 people AS (
   SELECT c_custkey AS employee_id, c_mktsegment AS surname, c_name AS name,
     '20-' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') || '-' || (c_custkey % 10) AS tax_id,
