@@ -40,11 +40,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers_of(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, (1 if n <= CHUNK_BYTES + 1 else 2) * CHUNK_BYTES + 1)
         out = np.full(size, base & (2**64 - 1), dtype=np.uint64)
         out[0] = 1
         out = np.cumprod(out)
-        if size > 2 * CHUNK_BYTES:  # one very long text: not worth keeping
+        if size > 2 * CHUNK_BYTES + 1:  # one very long text: not worth keeping
             return out
         _powers[base] = have = out
     return have
