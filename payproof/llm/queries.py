@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payproof.llm import licenses, packing, quality
-from payproof.llm.tables import read
+from payproof.llm import chat, licenses, packing, pii, quality
+from payproof.llm.tables import read, written
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +22,42 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoted = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(quoted).alias("text"),
+    )
+    return chat.read_back(chat.windows(given.unionByName(more))).select(
+        "conv_id",
+        "n_turns",
+        F.sha2("turns", 256).alias("turns_sha256"),
+        F.length("targets").cast("long").alias("loss_chars"),
+        F.sha2("targets", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scanned(docs).select("doc_id", "license.*")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = written(pii.found(docs).select("doc_id", "base", "more"))
+    both = F.concat("base", pii.accepted(pii.fit(spans)))
+    counts = [
+        F.size(F.filter("base", lambda x, kind=kind: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE
+    ]
+    return spans.select(
+        "doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(both).alias("spans")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
