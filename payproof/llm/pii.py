@@ -12,7 +12,7 @@ A null text counts as an empty one. Rows are judged one by one; other columns ar
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -247,6 +247,10 @@ def accepted(weights: list[float]) -> Column:
     return F.filter("more", lambda x: score(x) > 0)
 
 
+def of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda x: x["kind"] == kind
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end, comma-joined in the order of the array."""
     one = F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payproof.llm import chat, licenses, packing, pii, quality
+from payproof.llm import chat, licenses, neardup, packing, pii, quality
 from payproof.llm.tables import read, written
 
 
@@ -46,13 +46,16 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(docs).select("doc_id", "license.*")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     spans = written(pii.found(docs).select("doc_id", "base", "more"))
     both = F.concat("base", pii.accepted(pii.fit(spans)))
-    counts = [
-        F.size(F.filter("base", lambda x, kind=kind: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE
-    ]
+    counts = [F.size(F.filter("base", pii.of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
     return spans.select(
         "doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(both).alias("spans")
     )
