@@ -6,9 +6,10 @@ Logarithms of weights are rounded to a grid, so that the random part of a sample
 taken together first. Samples are banded; texts that share a band are candidates, and a candidate pair is a link if its
 weighted Jaccard similarity, over the whole texts, reaches the threshold. Classes are the connected components of links.
 
-In a band, every text is first compared with the one of the least id. Pairs between members of different components are
-then compared too, so that no link between texts of a common band is lost, while members of one component, however many,
-are never paired with each other.
+In a band, every text is first compared with the one of the least id. Texts that candidates tie together are a family;
+where a family has several components, its members outside the largest are compared with all the others, block by block,
+so that no link between texts of a common band is lost. Members of the largest component are never paired with each other,
+and only links come out of a block.
 
 A text without words, or null, is a class of its own; so is a row without id. Rows of one id belong to one class. Other
 columns are not looked at.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -33,6 +35,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 BUCKETS = 1 << 18
+#: Texts of a block, where members of a family are compared.
+BLOCK = 512
 #: Step and number of the grid for logarithms of weights.
 STEP, LEVELS = 0.05, 160
 POOL, POOL_C = 1 << 12, 1 << 16
@@ -194,6 +198,90 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity, threshold: float) ->
     return pairs.join(two, "v").join(one, "u").where(similarity("text_u", "text_v") >= threshold).select("u", "v")
 
 
+def _crossing(docs: DataFrame, families: DataFrame, parts: DataFrame, shared, threshold: float) -> DataFrame:
+    """Links between texts of one family (candidates, and candidates of those) that are not yet in one component.
+
+    Members outside the largest component of their family are compared with all members, in blocks of at most about
+    BLOCK texts a side; what comes out is one link for each pair of components that a text ties together.
+    """
+    placed = families.withColumnRenamed("component", "family").join(parts, "id", "left")
+    placed = placed.select("id", "family", F.coalesce("component", "id").alias("part"))
+    sizes = (
+        placed.groupBy("family", "part")
+        .agg(F.count("*").alias("n"))
+        .groupBy("family")
+        .agg(F.sum("n").alias("members"), F.max(F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
+        .where("parts > 1 and members > 2")  # of two, both have been compared
+        .select(
+            "family",
+            F.col("main.part").alias("main"),
+            F.ceil(F.col("members") / BLOCK).cast("int").alias("columns"),
+            F.ceil((F.col("members") - F.col("main.n")) / BLOCK).cast("int").alias("rows"),
+        )
+    )
+    members = placed.join(sizes, "family").join(docs, "id")
+    some = F.xxhash64("id")
+    strays = members.where("part <> main").select(
+        "family",
+        F.pmod(some, F.col("rows")).cast("int").alias("row"),
+        F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"),
+        "id",
+        "part",
+        "text",
+    )
+    others = members.select(
+        "family",
+        F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"),
+        F.pmod(some, F.col("columns")).cast("int").alias("column"),
+        "id",
+        "part",
+        "text",
+    )
+    both = strays.withColumn("stray", F.lit(True)).unionByName(others.withColumn("stray", F.lit(False)))
+
+    def compare(block: pa.Table) -> pa.Table:
+        stray = block.column("stray")
+        u, v = _block_links(block.filter(stray), block.filter(pc.invert(stray)), shared.value, threshold)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return both.groupBy("family", "row", "column").applyInArrow(compare, "u bigint, v bigint")
+
+
+def _block_links(one: pa.Table, two: pa.Table, idf_of: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """For each text of one, a text of two at least as similar as the threshold in every other component."""
+    sides = []
+    for table in (one, two):
+        keys, owner, weights = [], [], []
+        for chunk in W.chunks(table.column("text").combine_chunks()) if table.num_rows else ():
+            k, o, times = counted(*shingles(chunk)[:2])
+            keys.append(k)
+            owner.append(o + chunk.first)
+            weights.append(np.exp(levels(k, times, idf_of) * STEP))
+        empty = np.empty(0, np.int64)
+        sides.append([np.concatenate([x.astype(x.dtype), *y]) for x, y in ((empty.astype(np.uint64), keys), (empty, owner))])
+        sides[-1].append(np.concatenate([np.empty(0), *weights]))
+    (ka, oa, wa), (kb, ob, wb) = sides
+    order = np.argsort(kb, kind="stable")
+    kb, ob, wb = kb[order], ob[order], wb[order]
+    total = np.bincount(ob, weights=wb, minlength=two.num_rows)
+    low, high = np.searchsorted(kb, ka, side="left"), np.searchsorted(kb, ka, side="right")
+    begins = np.searchsorted(oa, np.arange(one.num_rows + 1))
+    ids_a, ids_b = one.column("id").to_numpy(), two.column("id").to_numpy()
+    parts_a, parts_b = one.column("part").to_numpy(), two.column("part").to_numpy()
+    u, v = [], []
+    for i in range(one.num_rows):
+        span = slice(begins[i], begins[i + 1])
+        n = high[span] - low[span]
+        at = np.repeat(low[span] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(ob[at], weights=np.minimum(np.repeat(wa[span], n), wb[at]), minlength=two.num_rows)
+        alike = common >= threshold * (wa[span].sum() + total - common) - 1e-9
+        hits = np.flatnonzero(alike & (parts_b != parts_a[i]))
+        _, first = np.unique(parts_b[hits], return_index=True)
+        u += [int(ids_a[i])] * len(first)
+        v += ids_b[hits[first]].tolist()
+    return u, v
+
+
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class, for every row."""
     spark: SparkSession = docs.sparkSession
@@ -220,22 +308,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     pairs = written(pairs)
     links = written(_linked(pairs, docs, similarity, threshold))
     parts = components(links)
-    # Members of a band that are in different components.
-    placed = in_band.join(parts.withColumnRenamed("component", "part"), "id", "left").select(
-        "band", "id", F.coalesce("part", "id").alias("part")
-    )
-    split = placed.groupBy("band").agg(F.min("part").alias("main"), F.max("part").alias("other")).where("main < other")
-    members = placed.join(split.select("band", "main"), "band")
-    apart = members.where("part > main").select("band", F.col("id").alias("x"), F.col("part").alias("part_x"))
-    crossing = (
-        members.select("band", F.col("id").alias("y"), F.col("part").alias("part_y"))
-        .join(apart, "band")
-        .where("part_y < part_x")
-        .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-        .distinct()
-        .join(pairs, ["u", "v"], "left_anti")
-    )
-    more = written(_linked(crossing, docs, similarity, threshold))
+    more = written(_crossing(docs, components(pairs), components(links), shared, threshold))
     equal = full.join(same.select("h1", "h2", F.col("id").alias("v")), ["h1", "h2"]).select(F.col("id").alias("u"), "v")
     final = components(links.unionByName(more).unionByName(equal))
     found = signed.select("id").distinct().join(final, "id", "left")
