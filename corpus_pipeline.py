@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from payproof.llm import quality
+from payproof.llm import neardup, packing, pii, quality, substrings
 from payproof.llm.tables import read, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -14,13 +15,42 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the learned list reject go."""
+    """Documents that the base rules or the learned list reject go; the list is learned from those among docs."""
     rules = quality.fit(docs, read(spark, sf_dir, "labels"))
     return quality.judged(docs, rules).where("kept").select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of the least id stays; documents without id all stay."""
+    others = neardup.classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds are cut out; every document stays."""
+    cut = substrings.without_repeats(docs.select(*COLUMNS))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; every document stays."""
+    weights = pii.fit(written(pii.found(docs).select("base", "more")))
+    found = pii.found(docs)
+    clean = pii.redacted(F.concat("base", pii.accepted(weights)), F.col("text"))
+    return found.withColumn("text", clean).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("personal_data", personal_data),
+    ("pack", pack),
 ]
 
 #: The stages learn from labels, estimate similarities and tokenize: SQL cannot express them.

@@ -145,7 +145,7 @@ def bands(keys: np.ndarray, owner: np.ndarray, level: np.ndarray, n: int) -> tup
     return out, texts
 
 
-def _whole(found: W.Words, seed: np.uint64) -> np.ndarray:
+def whole_hash(found: W.Words, seed: np.uint64) -> np.ndarray:
     """One hash for all the words of each text."""
     place = (np.arange(len(found.starts)) - np.repeat(found.by_text[:-1], found.counts)).astype(np.uint64)
     total = np.concatenate([[np.uint64(0)], np.cumsum(W.mix(found.hashes * seed + W.mix(place + seed)), dtype=np.uint64)])
@@ -163,7 +163,7 @@ def _signature(idf_of: np.ndarray):
             size[rows] = BANDS
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.ravel().view(np.int64)))
-            one, two = (_whole(found, s).view(np.int64) for s in (W.MIX_A, W.MIX_B))
+            one, two = (whole_hash(found, s).view(np.int64) for s in (W.MIX_A, W.MIX_B))
             parts.append(pa.StructArray.from_arrays([pa.array(one), pa.array(two), listed], names=["h1", "h2", "bands"]))
         kind = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))])
         return pa.concat_arrays([p.cast(kind) for p in parts]) if parts else pa.array([], kind)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payproof.llm import chat, html, licenses, neardup, packing, pii, quality, topk
+from payproof.llm import chat, html, licenses, neardup, packing, pii, quality, substrings, topk
+from payproof.llm.oracle import oracle_sql as oracle_sql
 from payproof.llm.tables import read, written
 
 
@@ -61,6 +62,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
@@ -74,6 +79,3 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
