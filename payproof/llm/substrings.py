@@ -31,6 +31,8 @@ WINDOW = 50
 GRAM = 10
 #: Documents that one task streams against one reference.
 STREAMS = 256
+#: Texts of a batch for the workers.
+BATCH_ROWS = 500
 
 
 def least_grams(found: W.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,6 +238,8 @@ def _stream(window: int):
 
 def summaries(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """id, n_words, sha of the words, hashes of all words, least hashes of the windows; as a written table."""
+    # Whole texts go to the workers, some of them long: fewer in a batch keep a worker's memory small.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     given = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return written(given.select("id", _summary_udf(window)("text").alias("s")).select("id", "s.*"))
 
