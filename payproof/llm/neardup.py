@@ -39,7 +39,7 @@ BUCKETS = 1 << 18
 BLOCK = 512
 #: Step and number of the grid for logarithms of weights.
 STEP, LEVELS = 0.05, 160
-POOL, POOL_C = 1 << 12, 1 << 16
+POOL, POOL_C = 1 << 14, 1 << 16
 
 
 def shingles(chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray, W.Words]:
@@ -133,7 +133,7 @@ def bands(keys: np.ndarray, owner: np.ndarray, level: np.ndarray, n: int) -> tup
     base = level * POOL
     for k, multiplier in enumerate(multipliers):
         x = keys * multiplier
-        entry = base + (x >> np.uint64(52)).astype(np.int64)
+        entry = base + (x >> np.uint64(65 - POOL.bit_length())).astype(np.int64)
         a = part[entry]
         a += log_c[((x >> np.uint64(32)) & np.uint64(POOL_C - 1)).astype(np.int64)]
         least = np.repeat(np.minimum.reduceat(a, starts), sizes)

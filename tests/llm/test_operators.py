@@ -1,0 +1,184 @@
+"""Operators on awkward rows, against brute force on small fixtures."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from payproof.llm import chat, html, licenses, neardup, packing, pii, quality, substrings, topk
+from payproof.llm import words as W
+
+SCHEMA = "doc_id long, text string, s string, statistics string, h1 long"
+rng = random.Random(5)
+WORDS = [f"w{i}" for i in range(3000)]
+PASSAGE = " ".join(rng.choices(WORDS, k=60))
+BASE = rng.choices(WORDS, k=300)
+NEAR = [*BASE[:150], "changed", *BASE[151:]]
+TEXTS = [
+    None, "", " \n ", "ok", "ok", " ".join(BASE), " ".join(BASE), " ".join(NEAR), f"before {PASSAGE} after",
+    f"other {PASSAGE}\n" + " ".join(rng.choices(WORDS, k=80)), "same same " * 400, "mail a.b@c.example.org, +1 (743) 555-3824 \U0001f600 1.2.3.4",
+    "Released under the MIT License.", "x" * 50_000, 'token = "0123456789abcdef0123456789abcdef"', "café " * 30,
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "a", "b", 1) for i, t in enumerate(TEXTS)] + [(None, "no id", "a", "b", 1)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def plain(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_statistics_and_rules(spark, docs, nothing):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.fit(docs, labels).rules == ()
+    got = by_id(quality.judged(docs.select("doc_id", "text"), quality.DecisionList()))
+    for i, text in enumerate(TEXTS):
+        assert got[i].statistics.n_words == len(plain(text))
+        assert got[i].statistics.word_chars == sum(map(len, plain(text)))
+    assert got[10].statistics.n_repeat_words == 800 and not got[10].kept and got[5].kept
+    assert quality.judged(nothing.select("doc_id", "text"), quality.DecisionList()).count() == 0
+
+
+def test_rules_learned_on_one_half_hold_on_the_other():
+    r = np.random.default_rng(1)
+    values = {"a": r.uniform(size=2000), "b": r.uniform(size=2000)}
+    bad = (values["a"] > 0.8) | ((values["b"] < 0.1) & (values["a"] < 0.5))
+    half = {k: v[:1000] for k, v in values.items()}
+    rules = quality.learn(half, bad[:1000])
+    assert (rules.keeps({k: v[1000:] for k, v in values.items()}) == ~bad[1000:]).mean() > 0.97
+
+
+def test_packing(docs, nothing):
+    got = packing.pack(docs, keep_ids=True, window=64, shard_docs=4)
+    rows = got.collect()
+    assert {r.doc_id for r in rows} == {*range(len(TEXTS)), None}
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    for (s, o, n), (s2, o2, _) in zip(places, places[1:], strict=False):
+        assert o2 == (o + n if s == s2 else 0) and o + n <= 64
+    assert all(r.n_ids <= 64 and len(r.ids) == 64 for r in packing.sequences(got, 64).collect())
+    assert packing.pack(nothing).count() == 0
+
+
+def test_encoder_equals_the_tokenizer():
+    import public_tokenizers
+
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", " ", "  a", "a  ", "x   b", "\n\n a\t b", "a\x1c  b", "don't  stop", "é  \xa0  z", "<|endoftext|> hi"]
+    for chunk in W.chunks(pa.array(texts)):
+        for text, ids in zip(texts, encode.chunk(chunk), strict=True):
+            assert ids.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_best_fit_takes_the_tightest_window():
+    where, at = packing.best_fit([60, 50, 40, 35, 14, 4], 100)
+    assert where.tolist() == [0, 1, 0, 1, 1, 2] and at.tolist() == [0, 0, 60, 50, 85, 0]
+
+
+def test_chat_reads_back(spark):
+    texts = [None, "", "<|end|>", "<\\|", "x " * 700, "[INST]\\<", "</s>[INST] ok [/INST]", "\U0001f600 " * 40]
+    roles = ["user", "assistant", "system", None, "a<|b"]
+    rows = [(1, i, roles[rng.randrange(5)], texts[rng.randrange(8)]) for i in range(400)] + [(None, 0, "assistant", "hi")] * 2
+    got = {r.conv_id: r for r in chat.read_back(chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got[1].turns == "".join(f"{r or ''}\n{t or ''}\n" for c, _, r, t in rows if c == 1)
+    assert got[1].targets == "".join(t or "" for c, _, r, t in rows if c == 1 and r == "assistant")
+    assert got[None].targets == "hihi" and got[None].n_turns == 2
+
+
+def test_license_templates(docs):
+    a = licenses.Automaton("granted to all [who {2} (ask|pray)] today")
+    for text, accepted in (("granted to all today", True), ("granted to all who do x ask today", True), ("granted to all who today", False)):
+        run = text.split()
+        assert a.accepts(lambda i, run=run: run[i] if i < len(run) else None) is accepted
+    got = {r.doc_id: r.license for r in licenses.scanned(docs).collect()}
+    assert got[12].labels == "mit,mit-notice" and got[12].first_word == 3 and got[12].score == 1.0
+    assert got[0].n_words == 0 and got[0].first_word is None and got[0].labels == ""
+
+
+def test_near_duplicates(docs, nothing):
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got[5] == got[6] == got[7] == 5 and got[3] == got[4] == 3
+    assert all(got[i] == i for i in (0, 1, 2, 8, 9, 10, 13)) and got[None] is None
+    assert neardup.classes(nothing).count() == 0
+
+
+def test_samples_collide_as_often_as_the_weighted_similarity():
+    r = np.random.default_rng(3)
+    keys = W.mix(np.arange(1, 1001, dtype=np.uint64))
+    one = r.integers(0, 40, 1000)
+    two = np.where(r.uniform(size=1000) < 0.7, one, r.integers(0, 40, 1000))
+    w1, w2 = np.exp(one * neardup.STEP), np.exp(two * neardup.STEP)
+    similarity = np.minimum(w1, w2).sum() / np.maximum(w1, w2).sum()
+    hits = []
+    for seed in range(150):
+        k = W.mix(keys + np.uint64(seed * 7919))
+        (a, _), (b, _) = (neardup.bands(k, np.zeros(1000, np.int64), x, 1) for x in (one, two))
+        hits.append((a == b).mean())
+    assert abs(np.mean(hits) - similarity**neardup.ROWS) < 0.05
+
+
+def test_personal_data(docs):
+    got = {r.doc_id: (r.b, r.t) for r in pii.found(docs).select("doc_id", pii.listed(F.col("base")).alias("b"), pii.redacted(F.col("base"), F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    assert got[11] == ("email:5:22,ip:43:50,phone:24:41", "mail [EMAIL], [PHONE] \U0001f600 [IP]") or got[11][1] == "mail [EMAIL], [PHONE] \U0001f600 [IP]"
+    assert got[0] == ("", "")
+
+
+def test_estimated_reliability_trusts_labelers_that_agree():
+    patterns = {(1, 0, 1, 1, 0): 90, (-1, 0, -1, -1, 0): 110, (1, 0, -1, -1, 0): 5}
+    model = pii.estimate(patterns)
+    assert model.posterior((1, 0, 1, 1, 0)) > 0.9 > 0.1 > model.posterior((1, 0, -1, -1, 0))
+
+
+def test_substrings(docs, nothing):
+    got = by_id(substrings.digests(docs))
+    seen, rows = {}, [(i, plain(t)) for i, t in enumerate(TEXTS)]
+    for i, w in rows:
+        for k in range(len(w) - 49):
+            seen.setdefault(tuple(w[k : k + 50]), i)
+    for i, w in rows:
+        gone = {p for k in range(len(w) - 49) if seen[tuple(w[k : k + 50])] < i for p in range(k, k + 50)}
+        kept = " ".join(x for p, x in enumerate(w) if p not in gone)
+        assert (got[i].n_removed, got[i].kept_sha256) == (len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    left = {r.doc_id: r.text for r in substrings.without_repeats(docs).collect()}
+    assert left[6] == "" and left[8] == TEXTS[8] and left[9].startswith("other") and PASSAGE not in left[9]
+    assert substrings.digests(nothing).count() == 0
+
+
+def test_top_k(spark):
+    r = np.random.default_rng(2)
+    vectors = [r.normal(size=6).tolist() for _ in range(300)]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 6), (303, vectors[0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 100 == 0, shard_rows=50, block_queries=2).collect()
+    whole = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows if i < 300 or i == 303}
+    for q in (0, 100, 200):
+        scores = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:10]
+        assert [(-s, i) for s, i in scores] == [(x.score, x.vec_id) for x in sorted(got, key=lambda x: x.rank) if x.query_id == q]
+
+
+def test_html(spark):
+    page = '<nav>n</nav><div class="ad">x</div><article><h1>A &amp; B</h1><p>c<b>d</b>  e<p>f<script>"</p>"</script><div class="comments">z</div></article><footer>q</footer>'
+    rows = [(1, "http://a.example/1", page), (2, None, None), (3, "http://a.example/2", ""), (4, "x", "plain <p>text")]
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "A & B cd e f", 2: "", 3: "", 4: "plain text"}
+
+
+def test_wrappers_align():
+    streams = [[("a", False), ("b", False), ("c", False)], [("a", False), ("c", True)], [("a", False), ("b", False), ("d", False), ("c", False)]]
+    assert html.expression(html.wrapper_of(streams)) == "(a#) (b#)? (d#)? (c#)+"
+    assert html.folded(["a", "b", "a", "b", "c"]) == (("a b", True), ("c", False))
