@@ -85,9 +85,9 @@ def withholding_control(base: DataFrame, caps: DataFrame) -> DataFrame:
         with_row(base, "limits", single_cap(caps))
         .withColumn("pension_ctrl", as_money(F.col("base") * pension_rate - F.col("pension"), 10))
         .withColumn("health_ctrl", as_money(health_due - F.col("health"), 10))
-        .withColumn("health_plan", F.substring("health_plan", 1, 6))
         .select(*REPORT)
         .distinct()
+        .withColumn("health_plan", F.substring("health_plan", 1, 6))  # shown short, but told apart in full
     )
 
 

@@ -88,6 +88,9 @@ STATUS_TOLERANCE = Decimal("0.1")
 SAC_SEMESTER, SAC_ANNUAL = "semester", "annual"
 
 
+SETTLEMENT_TYPES = ("Emb", "Jor", "Men")
+
+
 @dataclass(frozen=True)
 class RunParams:
     """What a run controls: a month, and how the income tax treats irregular pay and the 13th salary.
@@ -107,6 +110,8 @@ class RunParams:
     def __post_init__(self):
         if not 1 <= self.month <= 12:
             raise ValueError(f"month {self.month} is not in 1..12")
+        if self.settlement_type not in (None, *SETTLEMENT_TYPES):
+            raise ValueError(f"unknown settlement type {self.settlement_type!r}")
         if self.sac_mode not in (SAC_SEMESTER, SAC_ANNUAL):
             raise ValueError(f"unknown 13th-salary mode {self.sac_mode!r}")
 

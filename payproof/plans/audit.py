@@ -295,8 +295,9 @@ class PayrollAudit:
         """
         spark = self.tables.settlements.sparkSession
         pay_lines = posixpath.join(path, "pay_lines")
-        exports.write_lines(self.compact_lines, pay_lines)
-        shared = self.on_pay_lines(spark.read.parquet(pay_lines))
+        compact = self.compact_lines
+        exports.write_lines(compact, pay_lines)
+        shared = self.on_pay_lines(spark.read.schema(compact.schema).parquet(pay_lines))
         folder = posixpath.join(path, "reports")
         written = exports.write_reports(shared.reports(), folder)
         totals = summary.pay_summary_totals(spark.read.parquet(written["pay_summary"]))

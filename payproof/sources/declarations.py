@@ -2,7 +2,7 @@
 
 A declaration is read where it lies, one row per document, in one pass and without a shuffle. Elements are
 cut out at any depth of the whole text, gathered under one root and parsed as XML. A required child that is
-missing or empty fails the run.
+missing or empty fails the run, and so does a document that cannot be parsed or that names no employee, unless it is empty.
 """
 
 from __future__ import annotations
@@ -39,12 +39,14 @@ def _records(declarations: DataFrame, tag: str, fields: tuple[str, ...]) -> Data
     ``explode_outer`` and a filter on its rows: of a plain ``explode`` the optimizer infers a filter on the
     parsed array, and moves it below, where every document would be parsed a second time.
     """
-    employee = F.coalesce(F.get(_elements("empleado", "xml"), F.lit(0)), F.lit(""))
+    named = F.get(_elements("empleado", "xml"), F.lit(0))
+    nameless = F.raise_error(F.concat(F.lit("declaration without empleado: "), F.substring("xml", 1, 80)))
+    employee = F.coalesce(named, F.when(F.trim(F.coalesce("xml", F.lit(""))) == "", F.lit("")).otherwise(nameless))
     gathered = F.concat(F.lit("<root>"), employee, F.array_join(_elements(tag, "xml"), ""), F.lit("</root>"))
     record = ", ".join(f"{field}: string" for field in fields)
     schema = f"empleado struct<cuit: string>, {tag} array<struct<{record}>>"
     return (
-        declarations.select(F.from_xml(gathered, schema).alias("parsed"))
+        declarations.select(F.from_xml(gathered, schema, {"mode": "FAILFAST"}).alias("parsed"))
         .select(F.col("parsed.empleado.cuit").alias("tax_id"), F.explode_outer(f"parsed.{tag}").alias("record"))
         .where(F.col("record").isNotNull())
         .withColumn("tax_id", _required(F.col("tax_id"), "a tax id"))

@@ -9,7 +9,7 @@ import pytest
 from payroll_rows import JULY, Payroll, by_employee
 
 import __spark_entry__ as driver
-from payproof import PayrollAudit
+from payproof import PayrollAudit, RunParams
 from workload import mapping
 
 PER_EMPLOYEE = ("pay_summary", "withholding_control", "f931_bases", "taxable_pay_base", "income_tax_control")
@@ -174,3 +174,8 @@ def test_employee_properties(spark, sf):
     tax = a.income_tax_control.where("status = 'Activo'").orderBy("taxable_gain").collect()
     assert all(x.tax_due <= y.tax_due for x, y in zip(tax, tax[1:]))
     assert JULY.month == a.params.month
+
+
+def test_an_unknown_settlement_type_is_refused():
+    with pytest.raises(ValueError, match="settlement type"):
+        RunParams(2024, 7, settlement_type="men")

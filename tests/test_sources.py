@@ -2,6 +2,8 @@ import os
 from decimal import Decimal as D
 
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from payroll_rows import FIXTURES, JULY, Payroll
 
 from payproof import RunParams, schemas
@@ -220,7 +222,7 @@ def test_declared_deductions(folder):
 )
 def test_incomplete_deduction_fails(spark, xml):
     df = spark.createDataFrame([("f", xml)], schemas.DECLARATIONS)
-    with pytest.raises(Exception):
+    with pytest.raises((PySparkException, Py4JJavaError), match="empleado|MALFORMED|alformed"):
         declarations.f572_deductions(df).collect()
 
 
@@ -241,3 +243,21 @@ def test_declarations_round_trip(spark, tmp_path):
     files = tables.read_declarations(spark, str(tmp_path))
     for parse in (declarations.f572_dependants, declarations.f572_deductions):
         assert rows(parse(files)) == rows(parse(derived))
+
+
+@pytest.mark.parametrize(
+    "xml",
+    [
+        "not xml",
+        "<d><empleado><cuit>20-1</cuit></empleado><deduccion tipo='8'><montoTotal>1 & 2</montoTotal></deduccion></d>",
+        "<d><empleado><cuit>20-1</cu",
+    ],
+)
+def test_a_declaration_that_cannot_be_read_fails(spark, xml):
+    df = spark.createDataFrame([(xml,)], "xml string")
+    with pytest.raises((PySparkException, Py4JJavaError), match="empleado|MALFORMED|alformed"):
+        declarations.f572_deductions(df).collect()
+
+
+def test_an_empty_declaration_has_no_records(spark):
+    assert declarations.f572_deductions(spark.createDataFrame([(" ",)], "xml string")).collect() == []

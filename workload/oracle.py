@@ -232,12 +232,11 @@ def withholding_cte(m: int) -> str:
 based AS (
   SELECT *, 10 * greatest(least(pay, cap_c), floor_c) + least(10 * sac, 5 * cap_c) AS base_m FROM month_sums, the_cap),
 control AS (
-  SELECT DISTINCT tax_id, surname, name, base_m,
+  SELECT * REPLACE (substring(health_plan, 1, 6) AS health_plan) FROM (SELECT DISTINCT tax_id, surname, name, base_m,
     {div("(base_m * CASE WHEN pensioner THEN 11 ELSE 14 END - pension * 1000)", 1000)} AS pension_ctrl,
     {div("(CASE WHEN base_m < 20 * floor_c THEN 20 * floor_c * 3 WHEN pensioner THEN 0 ELSE base_m * 3 END - health * 1000)", 1000)} AS health_ctrl,
-    pension, health, union_dues, pay, sac, non_taxable, pensioner, agreement, substring(health_plan, 1, 6) AS health_plan,
-    union_name, union_member
-  FROM based)
+    pension, health, union_dues, pay, sac, non_taxable, pensioner, agreement, health_plan, union_name, union_member
+  FROM based))
 """
 
 

@@ -63,8 +63,10 @@ PLAIN = {
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; a local one only where none is set."""
+    """A new folder below the shared checkpoint folder; only a local session may do without one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='payproof-')}/{uuid.uuid4().hex}"
 
 
