@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payproof.llm import chat, html, licenses, neardup, packing, pii, quality, substrings, topk
+from payproof.llm import chat, html, licenses, neardup, packing, pieces, pii, quality, substrings, topk
 from payproof.llm.oracle import oracle_sql as oracle_sql
 from payproof.llm.tables import read, written
 
@@ -62,6 +62,11 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encoded(docs).select("doc_id", "encoded.n_ids", "encoded.ids_crc32", "encoded.round_trip")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
