@@ -25,8 +25,8 @@ from payproof.llm.words import MIX_A, mix
 
 MARK = 0x2581
 BASE = 0x9E3779B97F4A7C15
-#: Units a worker remembers, and units of one batch.
-MEMORY, BATCH = 300_000, 20_000
+#: Units a worker remembers, units of one batch, texts encoded together.
+MEMORY, BATCH, TEXTS = 300_000, 20_000, 1_000
 
 
 class Pieces:
@@ -144,8 +144,8 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     def encode(texts: pa.Array) -> pa.Array:
         rows = []
         model = pieces(path)
-        for k in range(0, len(texts), 100):
-            some = [t or "" for t in texts.slice(k, 100).to_pylist()]
+        for k in range(0, len(texts), TEXTS):
+            some = [t or "" for t in texts.slice(k, TEXTS).to_pylist()]
             for text, ids in zip(some, model.encode(some), strict=True):
                 crc = zlib.crc32(ids.astype("<u4").tobytes())
                 rows.append({"n_ids": len(ids), "ids_crc32": crc, "round_trip": model.decode(ids) == text, "ids": ids.tolist()})
