@@ -1,18 +1,21 @@
 """Encoding and decoding with the pieces of a SentencePiece model, by batched Viterbi in numpy.
 
-A text is cut into units: a run of spaces with the letters after it, up to the next space. Different units of one length
-advance together, one letter at a time: hashes of all substrings that end there probe the sorted hashes of the pieces, and
-the best score and where its last piece began are kept for every unit. The path of highest total score of pieces is taken;
-for a model of merges this is not the order of merges, but a segmentation into the same pieces that decodes to the same
-text. A letter without a piece, and a literal of the space mark, become byte pieces, so that every text decodes exactly.
-
-A null text counts as an empty one, which has no ids. Rows are taken one by one; other columns are not looked at.
+A text is cut into units: a run of spaces with the letters after it, up to the next space. Each different unit of a chunk
+is segmented once. Units of one length advance together, one letter at a time (long ones with those of a similar length):
+hashes of all substrings probe the sorted hashes of the pieces, and a maximum over the pieces that end at a letter stores
+the size of the best one as the way back. The path of highest total score of pieces is taken; for a model of merges this
+is not the order of merges, but a segmentation into the same pieces that decodes to the same text. A letter without a
+piece, and a literal of the space mark, become byte pieces, so that every text decodes exactly.
+
+A null text counts as an empty one, which has no ids. Bytes that are not UTF-8 count as the replacement letter. Rows are
+taken one by one; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import functools
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -21,12 +24,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from payproof.llm.words import MIX_A, mix
+from payproof.llm import words as W
+
+MARK, LITERAL, PADDING = 0x2581, -1, -2
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of texts taken together, letters of units that advance together, letters up to which lengths are kept apart.
+CHUNK, CELLS, APART = 1 << 22, 1 << 17, 24
+#: Bits of a hash that say whether there may be a piece.
+MAYBE_BITS = 20
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges that begin at starts, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
 
-MARK = 0x2581
-BASE = 0x9E3779B97F4A7C15
-#: Units a worker remembers, units of one batch, texts encoded together.
-MEMORY, BATCH, TEXTS = 300_000, 20_000, 1_000
+def powers(n: int) -> np.ndarray:
+    out = np.full(n, BASE)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def letter_hashes(codes: np.ndarray) -> np.ndarray:
+    return W.mix(codes.astype(np.int64).astype(np.uint64) + W.MIX_A)
 
 
 class Pieces:
@@ -35,121 +55,188 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.bytes_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        self.bytes_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         usable = [
             i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
         ]
         names = [model.id_to_piece(i) for i in usable]
         kept = [k for k, name in enumerate(names) if chr(MARK) not in name.lstrip(chr(MARK))]  # none goes over a unit's end
         self.longest = max(len(names[k]) for k in kept)
-        hashes = np.array([self._hash(np.array([[ord(c) for c in names[k]]]))[0] for k in kept], np.uint64)
+        self.powers = powers(self.longest + 1)
+        hashes = np.array([self._hash(names[k]) for k in kept], np.uint64)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        self.ids = np.array([usable[k] for k in kept])[order]
-        self.scores = np.array([model.get_score(usable[k]) for k in kept])[order]
+        self.maybe = np.zeros(1 << MAYBE_BITS, bool)
+        self.maybe[self.hashes >> np.uint64(64 - MAYBE_BITS)] = True
+        self.ids = np.array([usable[k] for k in kept], np.int32)[order]
+        self.scores = np.array([model.get_score(usable[k]) for k in kept], np.float32)[order]
         self.unknown = float(self.scores.min()) - 10
         self.letters = [b""] * n
         for k, name in zip(usable, names, strict=True):
             self.letters[k] = name.replace(chr(MARK), " ").encode()
         for b, i in enumerate(self.bytes_ids):
             self.letters[i] = bytes([b])
-        self.known: dict[tuple[int, ...], np.ndarray] = {}
-
-    @staticmethod
-    def _hash(codes: np.ndarray) -> np.ndarray:
-        """Hash of each row, letter by letter."""
-        out = np.zeros(len(codes), np.uint64)
-        for j in range(codes.shape[1]):
-            out = out * np.uint64(BASE) + mix(codes[:, j].astype(np.int64).astype(np.uint64) + MIX_A)
-        return out
+        self.sizes = np.array([len(x) for x in self.letters])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.letters), np.uint8)
 
-    def _viterbi(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Ids of units of one length, given as rows of code points; -1 stands for a literal space mark."""
+    def _hash(self, name: str) -> np.uint64:
+        letters = letter_hashes(np.array([ord(c) for c in name]))
+        return (letters * self.powers[: len(name)][::-1]).sum(dtype=np.uint64)
+
+    def _viterbi(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, given as rows of code points that are padded at the end, and how many each has."""
         n, length = codes.shape
-        letters = mix(codes.astype(np.int64).astype(np.uint64) + MIX_A)
+        letters = np.ascontiguousarray(letter_hashes(codes).T)
         prefix = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
-            prefix[j + 1] = prefix[j] * np.uint64(BASE) + letters[:, j]
-        powers = np.cumprod(np.full(self.longest + 1, BASE, np.uint64)) if self.longest else None
-        best = np.full((length + 1, n), -np.inf)
-        best[0] = 0
-        back = np.zeros((length + 1, n), np.int32)
-        piece = np.full((length + 1, n), -1, np.int64)
+            prefix[j + 1] = prefix[j] * BASE + letters[j]
+        sizes, every = min(self.longest, length), np.arange(n)
+        # By last letter, size and unit: score and id of the piece.
+        score = np.full((length + 1, sizes, n), -np.inf, np.float32)
+        piece = np.full((length + 1, sizes, n), -1, np.int32)
+        score[:, 0] = self.unknown
+        for size in range(1, sizes + 1):
+            keys = prefix[size:] - prefix[:-size] * self.powers[size]
+            j, i = np.nonzero(self.maybe[keys >> np.uint64(64 - MAYBE_BITS)])
+            keys = keys[j, i]
+            at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+            hit = self.hashes[at] == keys
+            j, i, at = j[hit] + size, i[hit], at[hit]
+            score[j, size - 1, i] = self.scores[at]
+            piece[j, size - 1, i] = self.ids[at]
+        best = np.full((length + sizes, n), -np.inf)  # row j + sizes - 1 is letter j
+        best[sizes - 1] = 0
+        back, taken = np.zeros((length + 1, n), np.int32), np.zeros((length + 1, n), np.int32)
         for j in range(1, length + 1):
-            best[j], back[j] = best[j - 1] + self.unknown, j - 1
-            for size in range(1, min(self.longest, j) + 1):
-                key = prefix[j] - prefix[j - size] * powers[size - 1]
-                at = np.minimum(np.searchsorted(self.hashes, key), len(self.hashes) - 1)
-                score = np.where(self.hashes[at] == key, best[j - size] + self.scores[at], -np.inf)
-                better = score > best[j]
-                best[j] = np.where(better, score, best[j])
-                back[j] = np.where(better, j - size, back[j])
-                piece[j] = np.where(better, self.ids[at], piece[j])
-        out = []
-        for i in range(n):
-            ids: list[int] = []
-            j = length
-            while j:
-                if piece[j, i] >= 0:
-                    ids.append(int(piece[j, i]))
-                else:
-                    code = int(codes[i, j - 1])
-                    ids += [int(self.bytes_ids[b]) for b in reversed(chr(MARK if code < 0 else code).encode())]
-                j = int(back[j, i])
-            out.append(np.array(ids[::-1], np.int32))
-        return out
+            total = best[j - 1 : j + sizes - 1][::-1] + score[j]
+            k = total.argmax(axis=0)
+            best[j + sizes - 1], back[j], taken[j] = total[k, every], k + 1, piece[j, k, every]
+        ends, at = np.zeros((length + 1, n), bool), lengths.copy()
+        for j in range(length, 0, -1):
+            ends[j] = at == j
+            at -= ends[j] * back[j]
+        unit, last = np.nonzero(ends.T)
+        ids = taken[last, unit]
+        without = ids < 0
+        if without.any():
+            alone = codes[unit[without], last[without] - 1]
+            alone = np.where(alone == LITERAL, MARK, alone)
+            data = np.frombuffer(alone.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+            times = np.ones(len(ids), np.int64)
+            times[without] = 1 + (alone >= 0x80) + (alone >= 0x800) + (alone >= 0x10000)
+            ids, unit = np.repeat(ids, times), np.repeat(unit, times)
+            ids[ids < 0] = self.bytes_ids[data]
+        return ids, np.bincount(unit, minlength=n)
+
+    def _segmented(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given units, in their order, and how many each has."""
+        # Lengths up to APART are kept apart; beyond, those within a quarter go together.
+        beyond = APART + 1 + np.floor(np.log(np.maximum(lengths, APART) / APART) / np.log(1.25))
+        group_of = np.where(lengths <= APART, lengths, beyond)
+        order = np.lexsort((lengths, group_of))
+        sorted_lengths, group = lengths[order], group_of[order]
+        flat, unit, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        a = 0
+        while a < len(order):
+            stop = int(np.searchsorted(group, group[a], side="right"))
+            length = int(sorted_lengths[stop - 1])
+            b = min(stop, a + max(1, CELLS // length))
+            of = order[a:b]
+            rows = np.full((b - a, length), PADDING, np.int64)
+            rows[np.arange(length) < lengths[of, None]] = codes[ranges(starts[of], lengths[of])]
+            ids, n = self._viterbi(rows, lengths[of])
+            flat.append(ids)
+            unit.append(of)
+            counts.append(n)
+            a = b
+        flat, unit, counts = (np.concatenate(x) for x in (flat, unit, counts))
+        back = np.argsort(unit)
+        return flat[ranges((np.cumsum(counts) - counts)[back], counts[back])], counts[back]
+
+    def chunk(self, chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a chunk, and where those of each text begin."""
+        codes = np.frombuffer(chunk.data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+        before = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])[chunk.offsets]
+        full = before[:-1] < before[1:]
+        codes = np.insert(codes, before[:-1][full], 32)
+        texts = before + np.concatenate([[0], np.cumsum(full)])
+        if not len(codes):
+            return np.empty(0, np.int32), np.zeros(chunk.n + 1, np.int64)
+        space = codes == 32
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[texts[:-1][full]] = True
+        starts = np.flatnonzero(begins)
+        lengths = np.diff(np.append(starts, len(codes)))
+        codes = np.where(codes == MARK, LITERAL, np.where(space, MARK, codes))
+        # Equal units once: taken together by hash, then compared letter by letter.
+        place = ranges(np.zeros(len(starts), np.int64), lengths)
+        hashes = np.add.reduceat(letter_hashes(codes) * powers(int(lengths.max()))[place], starts)
+        _, one, which = np.unique(W.mix(hashes + lengths.astype(np.uint64) * W.MIX_B), return_index=True, return_inverse=True)
+        twin = np.minimum(np.repeat(starts[one][which], lengths) + place, len(codes) - 1)
+        alike = np.logical_and.reduceat(codes == codes[twin], starts) & (lengths == lengths[one][which])
+        other = np.flatnonzero(~alike)
+        which[other] = len(one) + np.arange(len(other))
+        one = np.concatenate([one, other])
+        flat, counts = self._segmented(codes, starts[one], lengths[one])
+        ids = flat[ranges((np.cumsum(counts) - counts)[which], counts[which])]
+        by_unit = np.concatenate([[0], np.cumsum(counts[which])])
+        return ids, by_unit[np.searchsorted(starts, texts)]
+
+    def decoded(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Bytes of the texts of a chunk, each after a space, and where each begins."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[ranges(self.starts[ids], sizes)].tobytes(), ends[offsets]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._units(t) for t in texts]
-        new = {u for units in cut for u in units if u not in self.known}
-        if len(self.known) > MEMORY:
-            self.known.clear()
-            new = {u for units in cut for u in units}
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for u in sorted(new):
-            by_length.setdefault(len(u), []).append(u)
-        for units in by_length.values():
-            for k in range(0, len(units), BATCH):
-                part = units[k : k + BATCH]
-                self.known.update(zip(part, self._viterbi(np.array(part, np.int64)), strict=True))
-        return [np.concatenate([np.empty(0, np.int32), *(self.known[u] for u in units)]) for units in cut]
-
-    @staticmethod
-    def _units(text: str) -> list[tuple[int, ...]]:
-        if not text:
-            return []
-        codes = np.frombuffer((" " + text).encode("utf-32-le"), np.uint32).astype(np.int64)
-        space = codes == 32
-        codes = np.where(codes == MARK, -1, np.where(space, MARK, codes))
-        starts = np.flatnonzero(space & ~np.concatenate([[False], space[:-1]]))
-        return [tuple(part.tolist()) for part in np.split(codes, starts[1:])]
+        out = []
+        for chunk in chunks(pa.array(texts, pa.string())):
+            ids, offsets = self.chunk(chunk)
+            out += np.split(ids, offsets[1:-1])
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join([self.letters[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
 
 
+def chunks(texts: pa.Array) -> Iterator[W.Chunk]:
+    """Chunks of whole texts, all of them UTF-8."""
+    for chunk in W.chunks(texts, CHUNK):
+        try:
+            chunk.data.tobytes().decode()
+            yield chunk
+        except UnicodeDecodeError:
+            cleaned = [chunk.text(i).encode() for i in range(chunk.n)]
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in cleaned])])
+            yield W.Chunk(chunk.first, np.frombuffer(b"".join(cleaned), np.uint8), offsets)
+
+
 @functools.cache
 def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-ENCODED = "struct<n_ids: bigint, ids_crc32: bigint, round_trip: boolean, ids: array<int>>"
-
-
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Every row as it is, with its ids, their checksum, and whether they decode to the text."""
+def encoded(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> DataFrame:
+    """Every row as it is, with the number of its ids, their checksum, whether they decode to the text, and the ids."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
+    fields = [("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())]
+    kind = pa.struct(fields + [("ids", pa.list_(pa.int32()))] * keep_ids)
 
-    @arrow_udf(ENCODED)
+    @arrow_udf("struct<n_ids: bigint, ids_crc32: bigint, round_trip: boolean" + ", ids: array<int>" * keep_ids + ">")
     def encode(texts: pa.Array) -> pa.Array:
-        rows = []
-        model = pieces(path)
-        for k in range(0, len(texts), TEXTS):
-            some = [t or "" for t in texts.slice(k, TEXTS).to_pylist()]
-            for text, ids in zip(some, model.encode(some), strict=True):
-                crc = zlib.crc32(ids.astype("<u4").tobytes())
-                rows.append({"n_ids": len(ids), "ids_crc32": crc, "round_trip": model.decode(ids) == text, "ids": ids.tolist()})
-        kind = pa.struct([("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()), ("ids", pa.list_(pa.int32()))])
-        return pa.array(rows, kind)
+        model, parts = pieces(path), []
+        for chunk in chunks(texts):
+            ids, offsets = model.chunk(chunk)
+            data, ends = model.decoded(ids, offsets)
+            raw, whole = ids.astype("<u4").tobytes(), chunk.data.tobytes()
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets, offsets[1:])]
+            same = [data[a + 1 : b] == whole[c:d] for a, b, c, d in zip(ends, ends[1:], chunk.offsets, chunk.offsets[1:])]
+            columns = [pa.array(np.diff(offsets)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+            if keep_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)))
+            parts.append(pa.StructArray.from_arrays(columns, fields=list(kind)))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return docs.withColumn("encoded", encode(F.col("text").cast("string")))

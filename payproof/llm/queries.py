@@ -64,7 +64,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.encoded(docs).select("doc_id", "encoded.n_ids", "encoded.ids_crc32", "encoded.round_trip")
+    return pieces.encoded(docs, keep_ids=False).select("doc_id", "encoded.n_ids", "encoded.ids_crc32", "encoded.round_trip")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
