@@ -1,7 +1,9 @@
-"""Small inputs: values of one row, and size checks for what a join may broadcast."""
+"""Small inputs: values of one row, and rows of a parameter sheet, as constants of the plan."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,6 @@ from pyspark.sql import functions as F
 SHEET_ROWS = 10_000
 
 
-def small_sheet(df: DataFrame, max_rows: int = SHEET_ROWS) -> DataFrame:
-    """Broadcast a parameter sheet after counting it; a larger one is joined the way Spark picks."""
-    if df.count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def with_row(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
     """``df`` with a struct column ``name`` holding the single row of ``one_row``.
 
@@ -25,6 +20,25 @@ def with_row(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
     return df.withColumn(name, one_row.select(F.struct(*one_row.columns)).scalar())
 
 
+def with_sheet(df: DataFrame, name: str, sheet: DataFrame, max_rows: int = SHEET_ROWS) -> DataFrame:
+    """``df`` with an array column ``name`` of the rows of ``sheet``: a scalar subquery, as in ``with_row``.
+
+    More than ``max_rows`` rows fail the query, so the constant stays small.
+    """
+    rows = F.collect_list(F.struct(*sheet.columns))
+    too_many = F.raise_error(F.lit(f"{name}: more than {max_rows} rows"))
+    # The limit leaves one row too many to raise on; no row of a sheet that is in bounds is left out.
+    bounded = sheet.limit(max_rows + 1).agg(F.when(F.count("*") > max_rows, too_many).otherwise(rows).alias(name))
+    return df.withColumn(name, bounded.scalar())
+
+
+def only_match(sheet: Column, condition: Callable[[Column], Column], what: str) -> Column:
+    """The one row of an array that fits, or null; raises when several do."""
+    found = F.filter(sheet, condition)
+    several = F.raise_error(F.lit(f"{what}: several rows of the sheet fit"))
+    return F.when(F.size(found) > 1, several).otherwise(F.get(found, F.lit(0)))
+
+
 def only_value(column: Column, what: str) -> Column:
     """Aggregate: the one distinct value of ``column``; raises when there is none or several."""
     low, high, n = F.min(column), F.max(column), F.count(column)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from payproof.functions.bounds import small_sheet
+from payproof.functions.bounds import only_match, with_sheet
 from payproof.functions.money import as_money, from_shares, share_weight, sum_when, twelfth, weighted_sum_when, zero
 from payproof.operators.deductions import (
     GROUP,
@@ -118,7 +118,9 @@ def _rows_by_status(sheet: DataFrame, p: RunParams) -> DataFrame:
 def match_personal_deductions(base: DataFrame, personal: DataFrame, p: RunParams) -> DataFrame:
     """Allowances of the employee's status; null where the sheet has no row."""
     rows = _rows_by_status(personal, p).select("status", "gni", "special")
-    return base.join(small_sheet(rows), "status", "left")
+    row = only_match(F.col("allowances"), lambda r: r["status"] == F.col("status"), "personal deductions")
+    matched = with_sheet(base, "allowances", rows).withColumn("allowance", row)
+    return matched.select(*base.columns, "allowance.gni", "allowance.special")
 
 
 def attach_f572(base: DataFrame, dependant_totals: DataFrame, declarations: DataFrame) -> DataFrame:
@@ -181,25 +183,15 @@ def taxable_net_gain(
 
 
 def match_bracket(net_gain: DataFrame, brackets: DataFrame, p: RunParams) -> DataFrame:
-    """The scale row with ``lower < gain <= upper`` for the employee's status; a gain of 0 has none.
-
-    Status is the hash key and the range a condition on it, so the few rows of the scale are never crossed
-    with the employees.
-    """
+    """The scale row with ``lower < gain <= upper`` for the employee's status; a gain of 0 has none."""
     rows = _rows_by_status(brackets, p).select("status", "lower", "upper", "fixed", "rate", "excess")
-    scale = small_sheet(rows).alias("scale")
-    gain = F.col("gains.taxable_gain")
-    return (
-        net_gain.alias("gains")
-        .join(
-            scale,
-            (F.col("gains.status") == F.col("scale.status"))
-            & (gain > F.col("scale.lower"))
-            & (gain <= F.col("scale.upper")),
-            "left",
-        )
-        .select("gains.*", "scale.fixed", "scale.rate", "scale.excess")
-    )
+    status, gain = F.col("status"), F.col("taxable_gain")
+
+    def fits(row):
+        return (row["status"] == status) & (gain > row["lower"]) & (gain <= row["upper"])
+
+    matched = with_sheet(net_gain, "scale", rows).withColumn("bracket", only_match(F.col("scale"), fits, "tax scale"))
+    return matched.select(*net_gain.columns, "bracket.fixed", "bracket.rate", "bracket.excess")
 
 
 def income_tax_control(net_gain: DataFrame, brackets: DataFrame, p: RunParams) -> DataFrame:

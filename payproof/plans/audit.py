@@ -55,6 +55,8 @@ class PayrollAudit:
     ):
         """``landed`` is a table written by ``land``, read in place of lines and headers. ``pay_lines`` is
         one written from ``compact_lines``, read in place of the classified lines."""
+        if tables.settlements.sparkSession.conf.get("spark.sql.ansi.enabled") != "true":
+            raise ValueError("sums must raise on overflow: set spark.sql.ansi.enabled, see payproof.session")
         self.tables = tables
         self.params = params
         self._landed = landed
@@ -304,14 +306,18 @@ class PayrollAudit:
         balance = {"totals_running_balance": summary.totals_running_balance(totals)}
         return written | exports.write_reports(balance, folder)
 
-    def land(self, path: str) -> None:
-        """Write the lines of all periods with their headers, for ``on_landed``.
+    def land(self, path: str, year: int | None = None, month: int | None = None) -> None:
+        """Write the lines with their headers, for ``on_landed``: of one month, one year, or all periods.
 
-        A run on the landed table skips the files of other periods and needs no join to the headers.
+        Months that are landed anew are replaced, all others stay as they are. A run on the landed table skips
+        the files of other periods and needs no join to the headers.
         """
-        exports.write_lines(
-            payroll.joined_lines(self.tables.settlements, self.tables.lines), path, by_type=True
-        )
+        headers = self.tables.settlements
+        for column, value in (("year", year), ("month", month)):
+            if value is not None:
+                headers = headers.where(F.col(column) == value)
+        lines_of = payroll.joined_lines(headers, self.tables.lines)
+        exports.write_lines(lines_of, path, by_type=True, keep_others=True)
 
     def export(self, path: str) -> None:
         """Write the catalogue, the items without parameters, and the enriched lines."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 SETTINGS = {
-    # Joins carry no hints but for counted sheets; size and skew are decided at run time.
+    # Joins carry no hints; size and skew are decided at run time.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Join lines to headers by hash where each part of the headers fits in memory: the lines stay unsorted.

@@ -16,13 +16,16 @@ def write_items(items: DataFrame, path: str) -> None:
     write_csv(items.select("item_id", "name"), path)
 
 
-def write_lines(lines: DataFrame, path: str, by_type: bool = False) -> None:
+def write_lines(lines: DataFrame, path: str, by_type: bool = False, keep_others: bool = False) -> None:
     """Lines as Parquet by period, and by settlement type before that if asked.
 
     The rebalance gives each period files of a readable size, and splits a period that is too large for a task.
+    With ``keep_others`` only the periods that have lines are replaced.
     """
     periods = (["settlement_type"] if by_type else []) + ["year", "month"]
-    lines.hint("rebalance", *periods).write.mode("overwrite").partitionBy(*periods).parquet(path)
+    mode = "dynamic" if keep_others else "static"
+    writer = lines.hint("rebalance", *periods).write.mode("overwrite").option("partitionOverwriteMode", mode)
+    writer.partitionBy(*periods).parquet(path)
 
 
 def write_reports(reports: dict[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, str]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from payproof import schemas
+from payproof.functions.money import zero
 from payproof.params import DAILY, MONTHLY, SHIPBOARD
 
 # Tables and columns of the payroll database, by column of the model.
@@ -97,6 +98,12 @@ GENERAL_HEADINGS = {
 
 KINDS = (SHIPBOARD, DAILY, MONTHLY)
 
+#: Columns of lines with their headers.
+PERIOD_COLUMNS = (
+    "employee_id", "settlement_id", "kind", "settlement_type", "year", "month",
+    "item_id", "quantity", "earning", "deduction", "item_name",
+)
+
 
 def renamed(df: DataFrame, columns: dict[str, str], schema: T.StructType) -> DataFrame:
     """``df`` with the model's names and types, taking only the columns of the model."""
@@ -133,6 +140,41 @@ def from_database(table: Callable[[str], DataFrame], kinds: tuple[str, ...] = KI
     }
 
 
+def period_query(kind: str, year: int, months: tuple[int, int] = (1, 12)) -> str:
+    """A query, in parentheses as ``read_jdbc`` takes it for a table, for the lines of a period with their headers.
+
+    The database joins and filters, so lines of other periods never leave it.
+    """
+    headers = ", ".join(f"h.{source} AS {name}" for name, source in SETTLEMENT_COLUMNS.items())
+    details = ", ".join(f"d.{source} AS {name}" for name, source in LINE_COLUMNS.items() if name != "settlement_id")
+    key, in_year, in_month = (SETTLEMENT_COLUMNS[name] for name in ("settlement_id", "year", "month"))
+    first, last = map(int, months)
+    return (
+        f"(SELECT {headers}, {details}"
+        f" FROM {SETTLEMENT_TABLE.format(kind=kind)} h"
+        f" JOIN {LINE_TABLE.format(kind=kind)} d ON d.{LINE_COLUMNS['settlement_id']} = h.{key}"
+        f" WHERE h.{in_year} = {int(year)} AND h.{in_month} BETWEEN {first} AND {last}) period_lines"
+    )
+
+
+def lines_of_period(
+    query: Callable[[str], DataFrame], year: int, months: tuple[int, int] = (1, 12), kinds: tuple[str, ...] = KINDS
+) -> DataFrame:
+    """The lines of a period with their headers, for ``PayrollAudit.on_landed``.
+
+    ``query`` reads a query in parentheses, for example through ``read_jdbc`` in ranges of ``settlement_id``.
+    A run needs the whole year, as the attributes of employees look at all its months.
+    """
+    types = {f.name: f.dataType for schema in (schemas.SETTLEMENTS, schemas.LINES) for f in schema.fields}
+    whole = None
+    for kind in kinds:
+        found = query(period_query(kind, year, months)).withColumn("settlement_type", F.lit(kind))
+        part = found.select(*(F.col(name).cast(types[name]).alias(name) for name in PERIOD_COLUMNS))
+        whole = part if whole is None else whole.unionByName(part)
+    amounts = {name: F.coalesce(F.col(name).cast(schemas.money(14)), zero(14)) for name in ("earning", "deduction")}
+    return whole.withColumns(amounts)
+
+
 def from_sheets(sheet: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
     """The parameter sheets, by field of ``PayrollTables``. ``sheet`` reads one saved sheet by name, with its
     headings in any order, for example through ``read_headed``."""

@@ -11,6 +11,7 @@ from payroll_rows import JULY, Payroll, by_employee
 import __spark_entry__ as driver
 from payproof import PayrollAudit, RunParams
 from workload import mapping
+from workload import queries as workload_queries
 
 PER_EMPLOYEE = ("pay_summary", "withholding_control", "f931_bases", "taxable_pay_base", "income_tax_control")
 WRITING = ("report_exports", "line_exports", "item_exports", "taxable_pay_base_landed")
@@ -40,9 +41,9 @@ def plan(df):
     return df._jdf.queryExecution().explainString(mode)
 
 
-@pytest.mark.parametrize("name", [n for n in driver.queries() if n not in WRITING])
+@pytest.mark.parametrize("name", [n for n in workload_queries.queries() if n not in WRITING])
 def test_no_crossed_rows_and_no_python(spark, sf, name):
-    text = plan(driver.queries()[name](spark, sf))
+    text = plan(workload_queries.queries()[name](spark, sf))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "Scan ExistingRDD"):
         assert operator not in text
 
@@ -155,12 +156,33 @@ def test_controls_agree_on_compact_lines(spark):
         assert sorted(map(str, getattr(compact, name).collect())) == expected
 
 
-def test_a_large_sheet_is_not_broadcast(spark):
-    from payproof.functions.bounds import small_sheet
+def test_a_large_sheet_is_refused(spark):
+    from payproof.functions.bounds import with_sheet
 
     rows = spark.range(50)
-    assert "unresolvedhint broadcast" in small_sheet(rows, 50)._jdf.queryExecution().logical().toString().lower()
-    assert "unresolvedhint broadcast" not in small_sheet(rows, 49)._jdf.queryExecution().logical().toString().lower()
+    assert len(with_sheet(spark.range(1), "rows", rows, 50).first().rows) == 50
+    with pytest.raises(Exception, match="more than 49 rows"):
+        with_sheet(spark.range(1), "rows", rows, 49).collect()
+
+
+def test_reports_are_built_without_a_job(spark):
+    p = Payroll().employee(1)
+    p.pay(1, 7, (1, "500.00", None))
+    a = p.audit(spark)
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        text = plan(a.income_tax_control)
+        assert a.f931_bases and a.withholding_control and a.pay_summary
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "status" not in "".join(re.findall(r"(?:Left|Right) keys[^\n]*", text))
+
+
+def test_sums_need_ansi(spark, conf):
+    conf(ansi__enabled="false")
+    with pytest.raises(ValueError, match="ansi"):
+        Payroll().employee(1).audit(spark)
 
 
 def test_employee_properties(spark, sf):

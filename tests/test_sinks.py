@@ -60,3 +60,15 @@ def test_landed_lines_serve_every_period(spark, audit, tmp_path):
         assert sorted(map(str, getattr(landed, name).collect())) == sorted(map(str, getattr(audit, name).collect()))
     june = landed.with_params(month=6)
     assert [r.taxable for r in june.pay_summary.collect()] == [D("80.00")]
+
+
+def test_landing_a_month_leaves_the_others(spark, tmp_path):
+    p = Payroll().employee(1)
+    p.pay(1, 6, (1, "80.00", None)).pay(1, 7, (1, "500.00", None))
+    first, path = p.audit(spark), str(tmp_path / "landed")
+    first.land(path, 2024, 6)
+    assert {r.month for r in spark.read.parquet(path).collect()} == {6}
+    p.pay(1, 7, (1, "20.00", None)).pay(1, 6, (1, "1.00", None))
+    p.audit(spark).land(path, 2024, 7)
+    landed = spark.read.parquet(path)
+    assert sorted((r.month, r.earning) for r in landed.collect()) == [(6, D("80.00")), (7, D("20.00")), (7, D("500.00"))]

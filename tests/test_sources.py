@@ -8,7 +8,7 @@ from payroll_rows import FIXTURES, JULY, Payroll
 
 from payproof import RunParams, schemas
 from payproof.sources import declarations, payroll, sheets, tables
-from payproof.sources.database import from_database, from_sheets
+from payproof.sources.database import from_database, from_sheets, lines_of_period, period_query
 
 
 def rows(df):
@@ -46,9 +46,9 @@ def test_one_settlement_type_or_all(spark):
     assert p.audit(spark, RunParams(2024, 7, settlement_type="Jor")).period_lines.count() == 1
 
 
-def database(spark):
+def frames():
     """A database of two settlement types whose settlements carry the same numbers."""
-    frames = {
+    out = {
         "LiquidacionItems": ([(1, "Salary")], "idLiquidacionItem int, Nombre string"),
         "DatosPersonales": (
             [(7, "Doe", "Jo", None), (8, "Roe", "Al", None)],
@@ -66,15 +66,44 @@ def database(spark):
         "MAE_ConveniosTipos": ([(5, "Deck")], "idConvenioTipo int, ConvenioTipo string"),
     }
     for kind, employee, pay in (("Emb", 7, 100.5), ("Men", 8, 20.25)):
-        frames[f"Liquidaciones{kind}"] = (
+        out[f"Liquidaciones{kind}"] = (
             [(1, employee, 3, 2024, 7, "x")],
             "idLiquidacion int, idDatoPersonal int, idLiquidacionTipo int, PeriodoAnio int, PeriodoMes int, Otro string",
         )
-        frames[f"Liquidaciones{kind}Detalle"] = (
+        out[f"Liquidaciones{kind}Detalle"] = (
             [(1, 1, 1.0, pay, None, "Salary")],
             "idLiquidacion int, idLiquidacionItem int, Cantidad double, Haber double, Dscto double, NombreItem string",
         )
-    return from_database(lambda name: spark.createDataFrame(*frames[name]), ("Emb", "Men"))
+    return out
+
+
+def database(spark):
+    tables_of = frames()
+    return from_database(lambda name: spark.createDataFrame(*tables_of[name]), ("Emb", "Men"))
+
+
+def test_a_period_is_joined_and_filtered_in_the_database(spark):
+    for name, (data, schema) in frames().items():
+        if name.endswith("Detalle"):
+            data = [*data, (2, 1, 1.0, 9.0, None, "Salary")]
+        elif name.startswith("Liquidaciones"):
+            data = [*data, (2, 7, 3, 2023, 7, "x")]
+        spark.createDataFrame(data, schema).createOrReplaceTempView(name)
+    asked = []
+
+    def query(text):
+        asked.append(text)
+        return spark.sql(f"SELECT * FROM {text}")
+
+    got = lines_of_period(query, 2024, kinds=("Emb", "Men"))
+    assert rows(got.select("settlement_type", "employee_id", "earning", "deduction")) == [
+        ("Emb", 7, D("100.50"), D("0.00")),
+        ("Men", 8, D("20.25"), D("0.00")),
+    ]
+    t = database(spark)
+    assert got.dtypes == payroll.joined_lines(t["settlements"], t["lines"]).dtypes
+    assert "LiquidacionesEmbDetalle d" in asked[0] and "PeriodoAnio = 2024" in asked[0] and asked[0].startswith("(SELECT")
+    assert "PeriodoMes BETWEEN 1 AND 7" in period_query("Jor", 2024, (1, 7))
 
 
 def test_settlement_types_number_their_own_settlements(spark):
