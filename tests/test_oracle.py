@@ -40,6 +40,31 @@ def test_same_result(spark, oracle, sf, name):
     assert got == expected
 
 
+ORDERS = {
+    "ordered_lines": "month, surname, name, category_rank, settlement_id, item_id",
+    "ordered_control": """CASE WHEN pension_ctrl <> 0 AND health_ctrl = 0 THEN 1 ELSE 0 END, pension_ctrl DESC, health_ctrl DESC,
+  surname, name, tax_id""",
+}
+KEYS = {
+    "ordered_lines": ("month", "surname", "name", "category_rank", "settlement_id", "item_id"),
+    "ordered_control": ("pension_ctrl", "health_ctrl", "surname", "name", "tax_id"),
+}
+
+
+@pytest.mark.parametrize("name", ORDERS)
+def test_same_order(spark, oracle, sf, name):
+    """What an order is for: the rows come in the order that SQL gives them."""
+    got = [tuple(row) for row in QUERIES[name](spark, sf).select(*KEYS[name]).collect()]
+    expected = oracle.execute(f"SELECT {', '.join(KEYS[name])} FROM ({ORACLE[name]}) ORDER BY {ORDERS[name]}").fetchall()
+    assert got == expected
+
+
+def test_some_controls_differ_only_in_the_end_of_the_health_plan(oracle):
+    """Else the counterpart could not tell whether plans are cut before or after rows are told apart."""
+    rows = oracle.execute(ORACLE["withholding_control_april"]).fetchall()
+    assert len(set(rows)) < len(rows)
+
+
 def test_entry(spark):
     df = driver.entry(spark)
     assert df.count() > 0 and len(df.columns) == 46

@@ -113,11 +113,18 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labour(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per employee, and a second agreement for those with a high balance."""
-    return _read(spark, sf, "customer").selectExpr(
+    """One row per employee; a second agreement for those with a high balance, a second health plan for some below.
+
+    Some of these plans differ only after their sixth letter.
+    """
+    plans = "array(c_custkey % 200, (c_custkey + 64) % 200)"
+    several = _read(spark, sf, "customer").selectExpr(
+        "*", f"explode(IF(c_acctbal > 6000 AND c_acctbal <= 9000, {plans}, array(c_custkey % 200))) AS health_item_id"
+    )
+    return several.selectExpr(
         "c_custkey AS employee_id",
         "IF(c_custkey % 4 = 1, 2, 1) AS condition",
-        "c_custkey % 200 AS health_item_id",
+        "health_item_id",
         "CASE WHEN c_custkey % 4 != 0 THEN (c_custkey * 7) % 200 END AS union_item_id",
         "explode(IF(c_acctbal > 9000, array(c_nationkey, (c_nationkey + 1) % 25), array(c_nationkey))) AS agreement_id",
         "c_custkey % 2 = 0 AS union_member",

@@ -1,20 +1,68 @@
 """SQL counterparts of the registered queries, for DuckDB.
 
-Written apart from the operators: all money is whole cents (HUGEINT), every division is integer and rounds
-half away from zero once, and joins happen at line grain before any sum.
+Written apart from the operators and with constants of its own: all money is whole cents (HUGEINT), every division is
+integer and rounds half away from zero once, and joins happen at line grain before any sum.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
+from typing import NamedTuple
 
-from payproof import RunParams
-from payproof.params import ALLOWANCE_LIMITED, AMOUNT_LIMITED, DEDUCTION_CODES, LEAVER_ONLY, NET_GAIN_LIMITED
-from workload.mapping import AMOUNT_RATES, APRIL, DEPENDANTS, JULY, PERCENTAGES, SCALE, TOP
-from workload.queries import PLAIN, SHIPBOARD_JULY, TAX_RUNS
 
+class Run(NamedTuple):
+    year: int
+    month: int
+    settlement_type: str | None = None
+    prorate_irregular: bool = True
+    sac_mode: str = "semester"
+    corrected: bool = False
+
+
+JULY, APRIL = Run(1998, 7), Run(1998, 4)
+SHIPBOARD_JULY = Run(1998, 7, "Emb")
+TAX_RUNS = {
+    "": JULY,
+    "_annual_sac": Run(1998, 7, sac_mode="annual"),
+    "_full_irregular": Run(1998, 7, prorate_irregular=False),
+    "_full_irregular_annual_sac": Run(1998, 7, prorate_irregular=False, sac_mode="annual"),
+    "_april": APRIL,
+}
+
+# Declaration codes of the general deductions, and how each is limited.
+DEDUCTION_CODES = {
+    1: "medical_insurance",
+    2: "life_insurance",
+    3: "donations",
+    4: "mortgage_interest",
+    5: "funeral_expenses",
+    7: "medical_fees",
+    8: "domestic_staff",
+    9: "guarantee_societies",
+    10: "travelling_sales",
+    11: "mobility",
+    21: "work_clothing",
+    22: "rent_40",
+    23: "mixed_insurance",
+    24: "retirement_insurance",
+    25: "mutual_funds",
+    32: "education",
+    33: "rent_10_tenant",
+    34: "rent_10_landlord",
+    99: "other_deductions",
+}
+AMOUNT_LIMITED = (2, 4, 5, 11, 23, 24)
+ALLOWANCE_LIMITED = (8, 22, 32)
+NET_GAIN_LIMITED = (1, 3, 7)
+LEAVER_ONLY = (2, 7, 23, 24, 25)
 NAMES = list(DEDUCTION_CODES.values())
 
+# The derived sheets and declarations: limits and scale per unit of the month, dependants as kinship, percentage, one in.
+AMOUNT_RATES = {2: "0.004", 4: "0.005", 5: "0.002", 11: "0.006", 23: "0.004", 24: "0.004"}
+PERCENTAGES = {1: 5, 3: 5, 7: 5, 8: 40, 22: 40, 32: 40}
+SCALE = (("0.0000", "0.00000", 5), ("0.0060", "0.00030", 9), ("0.0180", "0.00138", 15), ("0.0420", "0.00498", 27))
+TOP = "999999999.99"
+DEPENDANTS = ((1, 100, 2), (3, 100, 3), (30, 50, 5), (31, 100, 7), (32, 100, 11), (5, 100, 13))
+
 
 def div(cents: str, n: int) -> str:
     return f"(sign({cents}) * ((2 * abs({cents}) + {n}) // {2 * n}))"
@@ -32,7 +80,7 @@ def share(rate: str, precision: int = 10, times: str = "1") -> str:
     return f"CAST(unit * {rate} * CAST({times} AS DECIMAL(2,0)) AS DECIMAL({precision},2))"
 
 
-def model(run: RunParams) -> str:
+def model(run: Run) -> str:
     """Common tables of every query; the period and the options are spelled out."""
     y, m = run.year, run.month
     kind = f"AND settlement_type = '{run.settlement_type}'" if run.settlement_type else ""
@@ -125,13 +173,15 @@ lines AS (
   WHERE h.year = {y} AND h.month <= {m} {kind}),
 pay AS (SELECT l.*, p.surname, p.name, p.tax_id FROM lines l JOIN people p USING (employee_id)),
 job AS (
-  SELECT c_custkey AS employee_id, c_nationkey AS nation FROM customer
-  UNION ALL SELECT c_custkey, (c_nationkey + 1) % 25 FROM customer WHERE c_acctbal > 9000),
+  SELECT c_custkey AS employee_id, c_nationkey AS nation, c_custkey % 200 AS plan FROM customer
+  UNION ALL SELECT c_custkey, (c_nationkey + 1) % 25, c_custkey % 200 FROM customer WHERE c_acctbal > 9000
+  UNION ALL SELECT c_custkey, c_nationkey, (c_custkey + 64) % 200 FROM customer
+  WHERE c_acctbal > 6000 AND c_acctbal <= 9000),
 profiles AS (
   SELECT DISTINCT j.employee_id, j.employee_id % 4 = 1 AS pensioner, n_name AS agreement, hp.p_name AS health_plan,
     up.p_name AS union_name, j.employee_id % 2 = 0 AS union_member, p.end_date
   FROM job j JOIN people p ON j.employee_id = p.employee_id
-  LEFT JOIN part hp ON hp.p_partkey = j.employee_id % 200
+  LEFT JOIN part hp ON hp.p_partkey = j.plan
   LEFT JOIN part up ON up.p_partkey = (j.employee_id * 7) % 200 AND j.employee_id % 4 <> 0
   LEFT JOIN nation ON n_nationkey = j.nation),
 filers AS (
@@ -194,17 +244,17 @@ summary AS (SELECT *, {net} AS net FROM sums)
 """
 
 
-def summary_sql(run: RunParams) -> str:
+def summary_sql(run: Run) -> str:
     cols = ", ".join(f"{money(n)} AS {n}" for n in [*SUMMARY, "net"])
     return f"{model(run)}{summary_cte(run.month)} SELECT tax_id, surname, name, {cols} FROM summary"
 
 
-def totals_sql(run: RunParams) -> str:
+def totals_sql(run: Run) -> str:
     cols = ", ".join(f"{money(f'sum({n})', 24)} AS {n}" for n in [*SUMMARY, "net"])
     return f"{model(run)}{summary_cte(run.month)} SELECT {cols} FROM summary"
 
 
-def balance_sql(run: RunParams) -> str:
+def balance_sql(run: Run) -> str:
     rows = " UNION ALL ".join(
         f"SELECT {i} AS ord, '{n}' AS concept, sum({n}) AS c, {1 if n in ADDED else -1} AS side FROM summary"
         for i, n in enumerate([*SUMMARY, "net"], start=1)
@@ -244,7 +294,7 @@ BASE_M = "CAST(CAST(base_m AS DECIMAL(30,0)) * 0.001 AS DECIMAL(17,3)) AS base"
 MONTH_SUMS = ("pension", "health", "union_dues", "pay", "sac", "non_taxable")
 
 
-def withholding_sql(run: RunParams, what: str) -> str:
+def withholding_sql(run: Run, what: str) -> str:
     sums = ", ".join(f"{money(n)} AS {n}" for n in MONTH_SUMS)
     profile = "pensioner, agreement, health_plan, union_name, union_member"
     if what == "base":
@@ -259,7 +309,13 @@ def withholding_sql(run: RunParams, what: str) -> str:
   {verdicts if what == "status" else ""} FROM control"""
 
 
-def base_cte(run: RunParams) -> str:
+def reference_sql(run: Run) -> str:
+    return f"""{model(run)} SELECT cap, floor,
+  CAST(CAST(cap_c * 5 AS DECIMAL(30,0)) * 0.001 AS DECIMAL(17,3)) AS sac_cap,
+  {money("floor_c * 2", 12)} AS health_minimum FROM the_cap"""
+
+
+def base_cte(run: Run) -> str:
     m = run.month
     h1, h2 = "month <= 6", "month >= 7"
     if run.prorate_irregular:
@@ -297,18 +353,18 @@ def keys(m: int) -> str:
     return f"tax_id, surname, name, CAST({m} AS INT) AS month, status"
 
 
-def base_sql(run: RunParams) -> str:
+def base_sql(run: Run) -> str:
     cols = ", ".join(f"{money(n)} AS {n}" for n in BASE_MONEY)
     return f"{model(run)}{base_cte(run)} SELECT {keys(run.month)}, {cols} FROM base"
 
 
-def match_sql(run: RunParams) -> str:
+def match_sql(run: Run) -> str:
     cols = ", ".join(f"{money(n)} AS {n}" for n in BASE_MONEY)
     return f"""{model(run)}{base_cte(run)} SELECT {keys(run.month)}, {cols}, {money("gni_c", 10)} AS gni,
   {money("special_c", 10)} AS special FROM base LEFT JOIN allowed USING (status)"""
 
 
-def gain_cte(run: RunParams) -> str:
+def gain_cte(run: Run) -> str:
     """Amounts declared end in _d (cents); limited ones in _u (hundredths of a cent)."""
     limits = {c: f"(SELECT {cents('cap')} FROM general WHERE code = {c})" for c in AMOUNT_LIMITED}
     joined = f"""
@@ -366,7 +422,7 @@ def gain_cols(m: int) -> str:
   {money("limit_net", 10)} AS net_gain_limit"""
 
 
-def capped_sql(run: RunParams) -> str:
+def capped_sql(run: Run) -> str:
     before = [DEDUCTION_CODES[c] for c in DEDUCTION_CODES if c not in NET_GAIN_LIMITED]
     declared = ", ".join(f"{money(f'{n}_d', 14)} AS declared_{n}" for n in NAMES)
     for alias, names in (("group", NAMES), ("group_before_net_gain", before)):
@@ -374,14 +430,14 @@ def capped_sql(run: RunParams) -> str:
     return f"{model(run)}{gain_cte(run)} SELECT {gain_cols(run.month)}, {declared} FROM gain"
 
 
-def gain_sql(run: RunParams) -> str:
+def gain_sql(run: Run) -> str:
     return f"{model(run)}{gain_cte(run)} SELECT {gain_cols(run.month)}, {money('taxable_c')} AS taxable_gain FROM gain"
 
 
 SCALE_JOIN = "LEFT JOIN scale s ON s.status = g.status AND taxable_c > lower_c AND taxable_c <= upper_c"
 
 
-def tax_cte(run: RunParams) -> str:
+def tax_cte(run: Run) -> str:
     return f"""{gain_cte(run)}
 , taxed AS (
   SELECT g.*, fixed, rate, excess, {div("((taxable_c - excess_c) * rate)", 100)} AS variable_c, fixed_c
@@ -390,14 +446,14 @@ due AS (SELECT *, coalesce(fixed_c + variable_c, 0) AS due_c FROM taxed)
 """
 
 
-def tax_sql(run: RunParams) -> str:
+def tax_sql(run: Run) -> str:
     return f"""{model(run)}{tax_cte(run)} SELECT {gain_cols(run.month)}, {money("taxable_c")} AS taxable_gain,
   CAST(coalesce(fixed, 0) AS DECIMAL(10,2)) AS fixed, coalesce(rate, 0) AS rate,
   CAST(coalesce(excess, 0) AS DECIMAL(10,2)) AS excess, {money("coalesce(variable_c, 0)", 14)} AS variable,
   {money("due_c")} AS tax_due, {money("due_c - tax_withheld")} AS balance FROM due"""
 
 
-def bracket_sql(run: RunParams) -> str:
+def bracket_sql(run: Run) -> str:
     return f"""{model(run)}{gain_cte(run)} SELECT g.tax_id, g.status, {money("taxable_c")} AS taxable_gain,
   fixed, rate, excess FROM gain g {SCALE_JOIN}"""
 
@@ -418,7 +474,7 @@ bases AS (
 """
 
 
-def f931_sql(run: RunParams) -> str:
+def f931_sql(run: Run) -> str:
     capped, uncapped = money("capped_c"), money("uncapped_c")
     return f"""{model(run)}{f931_cte(run.month)} SELECT tax_id, surname, name, {capped} AS r1, {uncapped} AS r2,
   {uncapped} AS r3, {capped} AS r4, CAST(0 AS DECIMAL(2,2)) AS r6, CAST(0 AS DECIMAL(2,2)) AS r7,
@@ -431,21 +487,26 @@ LINE_COLS = f"""employee_id, surname, name, settlement_id, kind, item_id, quanti
 CATALOG_COLS = "catalog_item_id, catalog_item_name, category, subcategory, tax_class, r4r8, r9"
 
 
-def exports_sql(run: RunParams) -> str:
-    def part(name: str, cte: str, column: str, table: str) -> str:
-        return f"SELECT '{name}' AS report, n, total FROM ({model(run)}{cte} SELECT count(*) AS n, {money(f'sum({column})', 24)} AS total FROM {table})"
-
-    return " UNION ALL ".join(
-        [
-            part("pay_summary", summary_cte(run.month), "net", "summary"),
-            part("withholding_control", withholding_cte(run.month), "pension_ctrl", "control"),
-            part("income_tax_control", tax_cte(run), "due_c - tax_withheld", "due"),
-            part("f931_bases", f931_cte(run.month), "capped_c", "bases"),
-        ]
-    )
+def exports_sql(run: Run) -> str:
+    """Rows and the total of every amount, of each report of a run."""
+    gains = (*BASE_MONEY, "pay_total", "gni", "special", "dependants", "twelfth", *NAMES, "net_gain_limit", "taxable_gain")
+    reports = {
+        "pay_summary": (summary_sql(run), (*SUMMARY, "net")),
+        "totals_running_balance": (balance_sql(run), ("amount", "running")),
+        "withholding_control": (withholding_sql(run, "status"), ("base", "pension_ctrl", "health_ctrl", *MONTH_SUMS)),
+        "control_reference_values": (reference_sql(run), ("cap", "floor", "sac_cap", "health_minimum")),
+        "income_tax_control": (tax_sql(run), (*gains, "fixed", "excess", "variable", "tax_due", "balance")),
+        "f931_bases": (f931_sql(run), ("r1", "r2", "r3", "r4", "r6", "r7", "r8", "r9", "r10", "non_taxable", "total")),
+    }
+    parts = []
+    for report, (sql, amounts) in reports.items():
+        names = ", ".join(f"'{a}'" for a in amounts)
+        totals = ", ".join(f"CAST(sum({a}) AS DECIMAL(30,4))" for a in amounts)
+        parts.append(f"SELECT '{report}' AS report, count(*) AS n, [{names}] AS names, [{totals}] AS totals FROM ({sql})")
+    return f"SELECT report, n, unnest(names) AS amount, unnest(totals) AS total FROM ({' UNION ALL '.join(parts)})"
 
 
-def attributes_cte(run: RunParams) -> str:
+def attributes_cte(run: Run) -> str:
     return f"""
 , settled AS (
   SELECT DISTINCT h.employee_id FROM headers h JOIN lineitem ON l_orderkey = h.settlement_id WHERE h.year = {run.year}),
@@ -495,9 +556,7 @@ def oracle_sql() -> dict[str, str]:
         "withholding_base": withholding_sql(JULY, "base"),
         "withholding_control": withholding_sql(JULY, "control"),
         "withholding_status": withholding_sql(JULY, "status"),
-        "control_reference_values": f"""{july} SELECT cap, floor,
-  CAST(CAST(cap_c * 5 AS DECIMAL(30,0)) * 0.001 AS DECIMAL(17,3)) AS sac_cap,
-  {money("floor_c * 2", 12)} AS health_minimum FROM the_cap""",
+        "control_reference_values": reference_sql(JULY),
         "personal_deduction_match": match_sql(JULY),
         "capped_deductions": capped_sql(JULY),
         "taxable_net_gain": gain_sql(JULY),
@@ -505,12 +564,11 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_attributes": f"""{july}{attributes_cte(JULY)} SELECT employee_id, count(*) AS n FROM attributes
   GROUP BY employee_id HAVING count(*) > 1""",
     }
-    assert plain.keys() == PLAIN.keys() | {"period_years"}
     out = dict(plain)
     for suffix, run in TAX_RUNS.items():
         out[f"taxable_pay_base{suffix}"] = base_sql(run)
         out[f"income_tax_control{suffix}"] = tax_sql(run)
-    out["income_tax_control_corrected"] = tax_sql(replace(JULY, corrected=True))
+    out["income_tax_control_corrected"] = tax_sql(Run(1998, 7, corrected=True))
     out["pay_summary_shipboard"] = summary_sql(SHIPBOARD_JULY)
     out["withholding_control_april"] = withholding_sql(APRIL, "control")
     out["f931_bases_april"] = f931_sql(APRIL)

@@ -6,9 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from payproof import RunParams
 from payproof.operators import income_tax, withholding
@@ -111,26 +113,21 @@ def _landed_income_tax(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _report_exports(spark: SparkSession, sf: str) -> DataFrame:
-    """A whole run written and read back: what each report holds."""
+    """A whole run written and read back: rows and the total of every amount, of each report."""
     written = audit(spark, sf).run(scratch_folder(spark))
-    checked = {
-        "pay_summary": "net",
-        "withholding_control": "pension_ctrl",
-        "income_tax_control": "balance",
-        "f931_bases": "r1",
-    }
-    parts = [
-        spark.read.parquet(written[name]).agg(
-            F.lit(name).alias("report"),
-            F.count("*").alias("n"),
-            F.sum(column).cast("decimal(24,2)").alias("total"),
-        )
-        for name, column in checked.items()
-    ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionAll(part)
-    return whole
+    return reduce(DataFrame.unionAll, (_totals(spark, name, path) for name, path in written.items()))
+
+
+def _totals(spark: SparkSession, report: str, path: str) -> DataFrame:
+    """Rows and the total of every amount of a written report."""
+    df = spark.read.parquet(path)
+    amounts = [f.name for f in df.schema.fields if isinstance(f.dataType, DecimalType)]
+    totals = F.array(
+        *(F.struct(F.lit(a).alias("amount"), F.sum(a).cast("decimal(30,4)").alias("total")) for a in amounts)
+    )
+    return df.agg(F.lit(report).alias("report"), F.count("*").alias("n"), totals.alias("totals")).select(
+        "report", "n", F.inline("totals")
+    )
 
 
 def _line_exports(spark: SparkSession, sf: str) -> DataFrame:
