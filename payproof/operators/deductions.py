@@ -28,8 +28,8 @@ from payproof.params import (
 )
 
 
-def dependant_deductions(dependants: DataFrame, allowances: DataFrame, p: RunParams) -> DataFrame:
-    """Each dependant classified, tested against the month and priced; no class, no amount."""
+def _priced(dependants: DataFrame, allowances: DataFrame, p: RunParams) -> DataFrame:
+    """``dependants`` with their class, whether they apply in the month, and their price; no class, no price."""
     kinship = F.col("kinship")
     kind = (
         F.when(kinship.isin(*SPOUSE_CODES), SPOUSE)
@@ -43,16 +43,16 @@ def dependant_deductions(dependants: DataFrame, allowances: DataFrame, p: RunPar
     )
     outside = ~F.lit(p.month).between(F.col("month_from"), F.col("month_to"))
     classified = dependants.withColumns({"kind": kind, "applies": F.when(outside, 0).otherwise(1)})
-    amount = allowance * F.col("pct") * F.lit(PERCENT) * F.col("applies")
-    return with_row(classified, "allowance", allowances.select("spouse", "child", "disabled_child")).select(
-        "tax_id",
-        "kinship",
-        "kind",
-        "applies",
-        "pct",
-        "month_from",
-        "month_to",
-        amount.cast(T.DecimalType(18, 4)).alias("amount"),
+    price = allowance * F.col("pct") * F.lit(PERCENT) * F.col("applies")
+    return with_row(classified, "allowance", allowances.select("spouse", "child", "disabled_child")).withColumn(
+        "price", price.cast(T.DecimalType(18, 4))
+    )
+
+
+def dependant_deductions(dependants: DataFrame, allowances: DataFrame, p: RunParams) -> DataFrame:
+    """Each dependant classified, tested against the month and priced; no class, no amount."""
+    return _priced(dependants, allowances, p).select(
+        "tax_id", "kinship", "kind", "applies", "pct", "month_from", "month_to", F.col("price").alias("amount")
     )
 
 
@@ -88,17 +88,21 @@ def general_deductions_wide(deductions: DataFrame) -> DataFrame:
     return deductions.groupBy("tax_id").agg(*(_sum_of(code) for code in DEDUCTION_CODES))
 
 
-def declared_deductions(deductions: DataFrame) -> DataFrame:
-    """The wide deductions with the two groups the net gain subtracts.
+def declared_by_employee(entries: DataFrame, allowances: DataFrame, p: RunParams) -> DataFrame:
+    """All an employee declared, in one row: the total for dependants, and the wide deductions with two groups of them.
+
+    Null for dependants without any that apply, and for the deductions without any declared.
 
     The group is written "first - second - third ...", and the group as a whole is subtracted from the
     base. So only its first term lowers the base. Kept as the default reading.
     """
     before = [code for code in DEDUCTION_CODES if code not in NET_GAIN_LIMITED]
-    return deductions.groupBy("tax_id").agg(
-        *(_sum_of(code) for code in DEDUCTION_CODES),
-        _signed_sum(list(DEDUCTION_CODES)).alias(GROUP),
-        _signed_sum(before).alias(GROUP_BEFORE_NET_GAIN),
+    sums = {DEDUCTION_CODES[code]: _sum_of(code) for code in DEDUCTION_CODES}
+    sums |= {GROUP: _signed_sum(list(DEDUCTION_CODES)), GROUP_BEFORE_NET_GAIN: _signed_sum(before)}
+    family = F.sum(F.when(F.col("applies") == 1, F.col("price")))
+    return _priced(entries, allowances, p).groupBy("tax_id").agg(
+        as_money(family, 12).alias("dependants"),
+        *(F.when(F.count("code") > 0, total).alias(name) for name, total in sums.items()),
     )
 
 

@@ -123,16 +123,15 @@ def match_personal_deductions(base: DataFrame, personal: DataFrame, p: RunParams
     return matched.select(*base.columns, "allowance.gni", "allowance.special")
 
 
-def attach_f572(base: DataFrame, dependant_totals: DataFrame, declarations: DataFrame) -> DataFrame:
-    """Declared deductions by tax id without dashes; dependants 0 and the others null without a declaration."""
-    totals = dependant_totals.select(F.col("tax_id").alias("plain_id"), F.col("amount").alias("dependants"))
+def attach_f572(base: DataFrame, declarations: DataFrame) -> DataFrame:
+    """What was declared, by tax id without dashes; dependants 0 and the others null without a declaration."""
     amounts = declarations.select(
         F.col("tax_id").alias("plain_id"),
+        "dependants",
         *(F.col(name).alias(declared(name)) for name in (*DEDUCTIONS, GROUP, GROUP_BEFORE_NET_GAIN)),
     )
     return (
         base.withColumn("plain_id", F.replace("tax_id", F.lit("-"), F.lit("")))
-        .join(totals, "plain_id", "left")
         .join(amounts, "plain_id", "left")
         .drop("plain_id")
         .withColumn("dependants", F.coalesce("dependants", zero(12)))
@@ -143,14 +142,13 @@ def deduction_columns(
     base: DataFrame,
     personal: DataFrame,
     limits: DataFrame,
-    dependant_totals: DataFrame,
     declarations: DataFrame,
     p: RunParams,
 ) -> DataFrame:
     """The base with allowances, dependants, total pay, the extra twelfth and the limited deductions."""
     pay_total = sum((F.col(name) for name in PAY_PARTS[1:]), F.col(PAY_PARTS[0]))
     allowances = F.col("gni") + F.col("special") + F.col("dependants")
-    attached = attach_f572(match_personal_deductions(base, personal, p), dependant_totals, declarations).withColumns(
+    attached = attach_f572(match_personal_deductions(base, personal, p), declarations).withColumns(
         {"pay_total": as_money(pay_total), "twelfth": twelfth(allowances, 12)}
     )
     return capped_deductions(attached, limits, p)
@@ -160,7 +158,6 @@ def taxable_net_gain(
     base: DataFrame,
     personal: DataFrame,
     limits: DataFrame,
-    dependant_totals: DataFrame,
     declarations: DataFrame,
     p: RunParams,
 ) -> DataFrame:
@@ -174,7 +171,7 @@ def taxable_net_gain(
         - F.col("twelfth")
         - deduction_group(p)
     )
-    columns = deduction_columns(base, personal, limits, dependant_totals, declarations, p)
+    columns = deduction_columns(base, personal, limits, declarations, p)
     return (
         columns.withColumn("gain", as_money(gain))
         .withColumn("taxable_gain", F.when(F.col("gain") < 0, zero()).otherwise(F.col("gain")))

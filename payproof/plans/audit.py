@@ -189,8 +189,10 @@ class PayrollAudit:
         return deductions.general_deductions_wide(self.f572_deductions)
 
     @cached_property
-    def declared_deductions(self) -> DataFrame:
-        return deductions.declared_deductions(self.f572_deductions)
+    def declared_by_employee(self) -> DataFrame:
+        entries = declarations.f572_entries(self.tables.declarations)
+        allowances = limits.family_allowances(self.personal_deduction_params, self.params)
+        return deductions.declared_by_employee(entries, allowances, self.params)
 
     # Pay summary
 
@@ -244,8 +246,7 @@ class PayrollAudit:
             self.taxable_pay_base,
             self.personal_deduction_params,
             self.deduction_limits,
-            self.dependant_totals,
-            self.declared_deductions,
+            self.declared_by_employee,
             self.params,
         )
 
@@ -255,8 +256,7 @@ class PayrollAudit:
             self.taxable_pay_base,
             self.personal_deduction_params,
             self.deduction_limits,
-            self.dependant_totals,
-            self.declared_deductions,
+            self.declared_by_employee,
             self.params,
         )
 

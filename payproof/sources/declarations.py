@@ -10,16 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from payproof.schemas import money
-
-
-def _uncommented(xml: str) -> Column:
-    return F.regexp_replace(xml, r"(?s)<!--.*?-->", "")
-
 
 def _elements(tag: str, xml: str) -> Column:
     """The text of every ``tag`` element of the document."""
-    return F.regexp_extract_all(_uncommented(xml), F.lit(rf"(?s)<{tag}(?=[\s/>]).*?</{tag}\s*>"), F.lit(0))
+    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?=[\s/>]).*?</{tag}\s*>"), F.lit(0))
 
 
 def _required(value: Column, what: str) -> Column:
@@ -33,42 +27,72 @@ def _required(value: Column, what: str) -> Column:
     return F.coalesce(F.when(text == "", missing).otherwise(text), F.lit(""))
 
 
-def _records(declarations: DataFrame, tag: str, fields: tuple[str, ...]) -> DataFrame:
-    """One row per ``tag`` element: the employee's tax id and the ``fields`` as text.
+DEPENDANT, DEDUCTION = "cargaFamilia", "deduccion"
+RECORDS = {
+    DEPENDANT: ("parentesco", "porcentajeDeduccion", "mesDesde", "mesHasta"),
+    DEDUCTION: ("_tipo", "montoTotal"),
+}
+# What is kept of a record: column, field, type.
+DEPENDANT_COLUMNS = (
+    ("kinship", "parentesco", "int"),
+    ("pct", "porcentajeDeduccion", "int"),
+    ("month_from", "mesDesde", "int"),
+    ("month_to", "mesHasta", "int"),
+)
+DEDUCTION_COLUMNS = (("code", "_tipo", "int"), ("amount", "montoTotal", "decimal(14,2)"))
+
+
+def _parsed(declarations: DataFrame, *tags: str) -> DataFrame:
+    """One row per document: ``parsed``, with the employee and an array of the elements of each tag, all as text."""
+    plain = declarations.select("xml", F.regexp_replace("xml", r"(?s)<!--.*?-->", "").alias("plain"))
+    named = F.get(_elements("empleado", "plain"), F.lit(0))
+    nameless = F.raise_error(F.concat(F.lit("declaration without empleado: "), F.substring("xml", 1, 80)))
+    employee = F.coalesce(named, F.when(F.trim(F.coalesce("xml", F.lit(""))) == "", F.lit("")).otherwise(nameless))
+    elements = [F.array_join(_elements(tag, "plain"), "") for tag in tags]
+    gathered = F.concat(F.lit("<root>"), employee, *elements, F.lit("</root>"))
+    arrays = [f"{tag} array<struct<{', '.join(f'{field}: string' for field in RECORDS[tag])}>>" for tag in tags]
+    schema = ", ".join(["empleado struct<cuit: string>", *arrays])
+    return plain.select(F.from_xml(gathered, schema, {"mode": "FAILFAST"}).alias("parsed"))
+
+
+def _exploded(parsed: DataFrame, records: Column | str) -> DataFrame:
+    """One row per record, with the employee's tax id.
 
     ``explode_outer`` and a filter on its rows: of a plain ``explode`` the optimizer infers a filter on the
     parsed array, and moves it below, where every document would be parsed a second time.
     """
-    named = F.get(_elements("empleado", "xml"), F.lit(0))
-    nameless = F.raise_error(F.concat(F.lit("declaration without empleado: "), F.substring("xml", 1, 80)))
-    employee = F.coalesce(named, F.when(F.trim(F.coalesce("xml", F.lit(""))) == "", F.lit("")).otherwise(nameless))
-    gathered = F.concat(F.lit("<root>"), employee, F.array_join(_elements(tag, "xml"), ""), F.lit("</root>"))
-    record = ", ".join(f"{field}: string" for field in fields)
-    schema = f"empleado struct<cuit: string>, {tag} array<struct<{record}>>"
     return (
-        declarations.select(F.from_xml(gathered, schema, {"mode": "FAILFAST"}).alias("parsed"))
-        .select(F.col("parsed.empleado.cuit").alias("tax_id"), F.explode_outer(f"parsed.{tag}").alias("record"))
+        parsed.select(F.col("parsed.empleado.cuit").alias("tax_id"), F.explode_outer(records).alias("record"))
         .where(F.col("record").isNotNull())
         .withColumn("tax_id", _required(F.col("tax_id"), "a tax id"))
     )
 
 
-def _field(name: str, dtype, alias: str) -> Column:
-    return _required(F.col(f"record.{name}"), name).cast(dtype).alias(alias)
+def _fields(record: Column, columns: tuple[tuple[str, str, str], ...]) -> list[Column]:
+    return [_required(record[field], field).cast(kind).alias(name) for name, field, kind in columns]
 
 
 def f572_dependants(declarations: DataFrame) -> DataFrame:
-    fields = ("parentesco", "porcentajeDeduccion", "mesDesde", "mesHasta")
-    return _records(declarations, "cargaFamilia", fields).select(
-        "tax_id",
-        _field("parentesco", "int", "kinship"),
-        _field("porcentajeDeduccion", "int", "pct"),
-        _field("mesDesde", "int", "month_from"),
-        _field("mesHasta", "int", "month_to"),
-    )
+    records = _exploded(_parsed(declarations, DEPENDANT), f"parsed.{DEPENDANT}")
+    return records.select("tax_id", *_fields(F.col("record"), DEPENDANT_COLUMNS))
 
 
 def f572_deductions(declarations: DataFrame) -> DataFrame:
-    return _records(declarations, "deduccion", ("_tipo", "montoTotal")).select(
-        "tax_id", _field("_tipo", "int", "code"), _field("montoTotal", money(14), "amount")
+    records = _exploded(_parsed(declarations, DEDUCTION), f"parsed.{DEDUCTION}")
+    return records.select("tax_id", *_fields(F.col("record"), DEDUCTION_COLUMNS))
+
+
+def f572_entries(declarations: DataFrame) -> DataFrame:
+    """Dependants and deductions in one pass over the documents; the columns of the other kind are null."""
+
+    def absent(columns: tuple[tuple[str, str, str], ...]) -> list[Column]:
+        return [F.lit(None).cast(kind).alias(name) for name, _, kind in columns]
+
+    dependants = F.transform(
+        f"parsed.{DEPENDANT}", lambda r: F.struct(*_fields(r, DEPENDANT_COLUMNS), *absent(DEDUCTION_COLUMNS))
+    )
+    amounts = F.transform(
+        f"parsed.{DEDUCTION}", lambda r: F.struct(*absent(DEPENDANT_COLUMNS), *_fields(r, DEDUCTION_COLUMNS))
     )
+    both = F.flatten(F.array_compact(F.array(dependants, amounts)))
+    return _exploded(_parsed(declarations, DEPENDANT, DEDUCTION), both).select("tax_id", "record.*")

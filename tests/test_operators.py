@@ -393,7 +393,7 @@ def test_no_allowance_row_means_no_tax(spark):
 
     only_month = a.personal_deduction_params.where("type = 0")
     gain = income_tax.taxable_net_gain(
-        a.taxable_pay_base, only_month, a.deduction_limits, a.dependant_totals, a.declared_deductions, a.params
+        a.taxable_pay_base, only_month, a.deduction_limits, a.declared_by_employee, a.params
     )
     row = income_tax.income_tax_control(gain, a.tax_brackets, a.params).first()
     assert row.gni is None and row.twelfth is None and row.taxable_gain is None
