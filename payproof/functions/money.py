@@ -55,8 +55,3 @@ def from_shares(weighted_sum: Column) -> Column:
 def at_most(amount: Column, limit: Column) -> Column:
     """``amount`` clamped from above. A null amount stays null, also against a null-skipping ``least``."""
     return F.when(amount > limit, limit).otherwise(amount)
-
-
-def limited(amount: Column, limit: Column) -> Column:
-    """``amount`` clamped from above, 0 when not declared. Holds for negative limits too."""
-    return F.when(amount > limit, limit).otherwise(F.coalesce(amount, F.lit(Decimal("0.00"))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from payproof.functions.bounds import with_row
-from payproof.functions.money import as_money, limited, sum_when, zero
+from payproof.functions.money import as_money, zero
 from payproof.operators.limits import limit_name
 from payproof.params import (
     ALLOWANCE_LIMITED,
@@ -69,15 +69,23 @@ def dependant_totals(priced: DataFrame) -> DataFrame:
 GROUP, GROUP_BEFORE_NET_GAIN = "group", "group_before_net_gain"
 
 
-def _sum_of(code: int) -> Column:
-    return as_money(sum_when(F.col("code") == code, "amount"), 14).alias(DEDUCTION_CODES[code])
+# The many sums and limits are SQL expressions: one call to the JVM each, where a column is built from a dozen.
+def _total(cents: str, precision: int) -> str:
+    """Conditional sum in whole cents as an amount, 0 without any; see ``sum_when``."""
+    return f"CAST(CAST(coalesce(sum({cents}), 0) * 0.01BD AS DECIMAL(24,2)) AS DECIMAL({precision},2))"
 
 
-def _signed_sum(codes: list[int]) -> Column:
+CENTS = "CAST(amount * 100 AS BIGINT)"
+
+
+def _sum_of(code: int) -> str:
+    return _total(f"CASE WHEN code = {code} THEN {CENTS} END", 14)
+
+
+def _signed_sum(codes: list[int]) -> str:
     """The first code minus the others."""
-    code, amount = F.col("code"), F.col("amount")
-    signed = F.when(code == codes[0], amount).otherwise(-amount)
-    return as_money(sum_when(code.isin(*codes), signed))
+    others = ", ".join(str(code) for code in codes[1:])
+    return _total(f"CASE WHEN code = {codes[0]} THEN {CENTS} WHEN code IN ({others}) THEN -{CENTS} END", 16)
 
 
 def general_deductions_wide(deductions: DataFrame) -> DataFrame:
@@ -85,7 +93,9 @@ def general_deductions_wide(deductions: DataFrame) -> DataFrame:
 
     Conditional sums rather than ``pivot``: one aggregation, combined before the shuffle.
     """
-    return deductions.groupBy("tax_id").agg(*(_sum_of(code) for code in DEDUCTION_CODES))
+    return deductions.groupBy("tax_id").agg(
+        *(F.expr(f"{_sum_of(code)} AS {name}") for code, name in DEDUCTION_CODES.items())
+    )
 
 
 def declared_by_employee(entries: DataFrame, allowances: DataFrame, p: RunParams) -> DataFrame:
@@ -102,7 +112,7 @@ def declared_by_employee(entries: DataFrame, allowances: DataFrame, p: RunParams
     family = F.sum(F.when(F.col("applies") == 1, F.col("price")))
     return _priced(entries, allowances, p).groupBy("tax_id").agg(
         as_money(family, 12).alias("dependants"),
-        *(F.when(F.count("code") > 0, total).alias(name) for name, total in sums.items()),
+        *(F.expr(f"CASE WHEN count(code) > 0 THEN {total} END AS `{name}`") for name, total in sums.items()),
     )
 
 
@@ -132,23 +142,23 @@ def capped_deductions(base: DataFrame, limits: DataFrame, p: RunParams) -> DataF
     the net-gain limit come last, as it depends on the others.
     """
 
-    def granted(code: int, amount: Column) -> Column:
-        if code in LEAVER_ONLY:
-            return F.when(F.col("status") == LEAVER, amount).otherwise(zero())
-        return amount
+    def granted(code: int, amount: str) -> str:
+        return f"CASE WHEN status = '{LEAVER}' THEN {amount} ELSE 0.00BD END" if code in LEAVER_ONLY else amount
+
+    def limited(amount: str, limit: str) -> str:
+        """Clamped from above, 0 when not declared. Holds for negative limits too."""
+        return f"CASE WHEN {amount} > {limit} THEN {limit} ELSE coalesce({amount}, 0.00BD) END"
 
     limited_codes = AMOUNT_LIMITED + ALLOWANCE_LIMITED
     first, last = {}, {}
     for code, name in DEDUCTION_CODES.items():
-        amount = F.col(declared(name))
+        amount = declared(name)
         if code in NET_GAIN_LIMITED:
-            last[name] = as_money(granted(code, limited(amount, F.col("net_gain_limit"))))
-        elif code in ALLOWANCE_LIMITED:
-            first[name] = limited(amount, F.col(f"limits.{limit_name(code)}")).cast(T.DecimalType(16, 4))
-        elif code in AMOUNT_LIMITED:
-            first[name] = as_money(granted(code, limited(amount, F.col(f"limits.{limit_name(code)}"))))
-        else:
-            first[name] = as_money(granted(code, F.coalesce(amount, zero())))
+            last[name] = F.expr(f"CAST({granted(code, limited(amount, 'net_gain_limit'))} AS DECIMAL(16,2))")
+            continue
+        given = limited(amount, f"limits.{limit_name(code)}") if code in limited_codes else f"coalesce({amount}, 0.00BD)"
+        scale = 4 if code in ALLOWANCE_LIMITED else 2
+        first[name] = F.expr(f"CAST({granted(code, given)} AS DECIMAL(16,{scale}))")
 
     before = [code for code in DEDUCTION_CODES if code not in NET_GAIN_LIMITED]
     subtracted = _subtracted(GROUP_BEFORE_NET_GAIN, before, p)
