@@ -45,36 +45,54 @@ CLOSES = {
 #: A new block element ends an open paragraph, but not beyond these.
 SCOPES = frozenset("article aside blockquote body div dl fieldset footer form header html main nav ol section table td th tr ul".split())
 LEFT_OUT = frozenset(
-    "aside button canvas datalist dialog fieldset footer form head iframe input menu nav noscript object option script search "
+    "aside button canvas datalist dialog footer head iframe input label legend menu nav noscript object option script search "
     "select style svg template textarea title".split()
 )
-#: Words of class, id and role that say what an element is for.
+#: Words of class, id and role that say what an element is for: all words of a name must be of these or of WHERE, the last of these.
 LEFT_OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert comment comments respond "
     "replies disqus social share sharing related recommended popup modal overlay newsletter subscribe subscription widget "
-    "pagination pager toolbar contentinfo complementary search form dialog skip login signup".split()
+    "pagination pager toolbar contentinfo complementary search dialog skip login signup".split()
 )
+WHERE = frozenset("site page main top bottom left right primary secondary global header".split())
+#: An article within elements of these words is one of a reader.
+READERS = frozenset("comment comments respond replies disqus".split())
 MAIN = frozenset(("article", "main"))
 MAIN_ROLES = frozenset(("main", "article"))
+#: Zones while a page is read: left out softly, and an article within.
+SOFT, WITHIN = 3, 4
 
 
-def _is_left_out(name: str, attributes: dict[str, str], inside_main: bool) -> bool:
-    if name in LEFT_OUT or (name == "header" and not inside_main):
-        return True
+def _left_out(name: str, attributes: dict[str, str], inside_main: bool) -> str:
+    """Whether an element is left out: hard, soft (an article in it may still be the main text) or not at all (empty)."""
+    if name in LEFT_OUT:
+        return "hard"
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
-    if name in MAIN and not re.search(r"comment|repl(?:y|ies)", attributes.get("class", "") + attributes.get("id", "")):
-        return False
-    said = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower()
-    words = set(re.findall(r"[a-z]+", said))
+        return "hard"
+    if name == "header" and not inside_main:
+        return "soft"
+    role = attributes.get("role", "").lower()
+    if (name in MAIN or role in MAIN_ROLES) and not re.search(r"comment|repl(?:y|ies)", attributes.get("class", "") + attributes.get("id", "")):
+        return ""
     if name in ("html", "body"):
-        return False
-    return bool(words & LEFT_OUT_WORDS) or ("header" in words and not inside_main)
+        return ""
+    for said in f"{attributes.get('class', '')} {attributes.get('id', '')} {role}".lower().split():
+        words = re.findall(r"[a-z]+", said)
+        if not words or not all(w in LEFT_OUT_WORDS or w in WHERE for w in words):
+            continue
+        if words[-1] in LEFT_OUT_WORDS:
+            return "hard" if READERS & set(words) else "soft"
+        if words[-1] == "header" and not inside_main:
+            return "soft"
+    return ""
 
 
 def blocks(page: str) -> list[tuple[str, str, int]]:
-    """Slot, text and zone (2: article, 1: other, 0: left out) of each block that has text."""
+    """Slot, text and zone (2: article, 1: other, 0: left out) of each block that has text.
+
+    An article in an element left out softly is the main text if the page has no other article and less text beside it.
+    """
     out: list[tuple[str, str, int]] = []
     stack: list[tuple[str, str, int]] = [("", "", 1)]  # name, slot, zone
     text: list[str] = []
@@ -113,13 +131,14 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                 k.lower(): entities.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(match[3] or "")
             }
             _, above, around = stack[-1]
-            inside_main = around == 2
+            inside_main = around in (2, WITHIN)
             role = attributes.get("role", "").lower()
             own = around
-            if around and _is_left_out(name, attributes, inside_main):
-                own = 0
-            elif around == 1 and (name in MAIN or role in MAIN_ROLES):
-                own = 2
+            out_by = _left_out(name, attributes, inside_main) if around else ""
+            if out_by:
+                own = SOFT if out_by == "soft" and around in (1, SOFT) else 0
+            elif around in (1, SOFT) and (name in MAIN or role in MAIN_ROLES):
+                own = 2 if around == 1 else WITHIN
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.IGNORECASE).search(page, at)
                 if name in ("noscript",) and close is None:
@@ -140,7 +159,10 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             _, slot, zone = stack[-1]
     text.append(page[at:])
     flush()
-    return out
+    sizes = {z: sum(len(t) for _, t, zone in out if zone == z) for z in (1, 2, WITHIN)}
+    reopened = 2 if not sizes[2] and sizes[WITHIN] > sizes[1] else 0
+    final = {0: 0, 1: 1, 2: 2, SOFT: 0, WITHIN: reopened}
+    return [(s, t, final[z]) for s, t, z in out]
 
 
 def folded(slots: Sequence[str], longest: int = 3) -> tuple[tuple[str, bool], ...]:

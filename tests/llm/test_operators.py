@@ -182,3 +182,22 @@ def test_wrappers_align():
     streams = [[("a", False), ("b", False), ("c", False)], [("a", False), ("c", True)], [("a", False), ("b", False), ("d", False), ("c", False)]]
     assert html.expression(html.wrapper_of(streams)) == "(a#) (b#)? (d#)? (c#)+"
     assert html.folded(["a", "b", "a", "b", "c"]) == (("a b", True), ("c", False))
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<form id="form1"><input value="x">{}</form>', "<div class='layout with-sidebar'>{}</div>", "<div class='no-sidebar'>{}</div>",
+        "<div class='page-with-nav has-banner'>{}</div>", "<div id='search-layout'>{}</div>", "<div class='widget'>{}</div>",
+        "<div class='sidebar'>{}</div>",
+    ],
+)
+def test_html_containers_do_not_swallow_the_article(around):
+    page = around.format("<article><h1>A</h1><div class='widget-content'><p>b c</p></div><p>d</p><label>l</label></article>")
+    page = f"<nav>n</nav>{page}<div id='comments'><article>z</article></div><div class='site-footer'>f</div>"
+    assert [t for _, t, zone in html.blocks(page) if zone == 2] == ["A", "b c", "d"]
+
+
+def test_html_left_out_articles_stay_out_beside_a_text():
+    page = "<p>the text of a page without article</p><div class='sidebar'><article>teaser</article></div><div class='cookie-banner'>c</div>"
+    assert [t for _, t, zone in html.blocks(page) if zone] == ["the text of a page without article"]
