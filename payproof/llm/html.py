@@ -2,13 +2,15 @@
 
 A page becomes a stream of blocks, each with a slot: the names of the elements around it. Streams of one host are aligned
 one after the other into a wrapper, a regular expression without unions: a slot that some pages lack becomes optional, a
-group of slots that follows itself becomes repeated, and every block is a text slot. A slot that every page of the host
-fills once with the same text is part of the template. Different streams of a host are few, as repeated groups are folded
-before they are counted, so that a host of any size is aligned from all its pages.
+group of slots that follows itself becomes repeated, and every block is a text slot. Each page is then read with the
+wrapper of its host, which gives every block its field. A field is template if its texts stand, in the mean, on half of the
+different pages that have it; repeated and optional fields are judged alike. Different streams of a host are few, as
+repeated groups are folded before they are counted, so that a host of any size is aligned from all its pages.
 
-The text of a page is what stands in its article or main elements, or in its body if it has none; blocks inside menus,
-headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and comments of readers are left out,
-and outside of articles those that the wrapper takes for template. Nothing is cut off.
+The text of a page is what stands in its article or main elements, or in its body if it has none. There the wrapper
+decides: template goes, within articles too, and varying fields stay. Menus, headers and footers of the page, sidebars,
+notices, adverts, form controls, scripts, styles and comments of readers vary as well, and are left out by tag and class.
+A page of which the wrapper would leave less than a tenth is taken by the tag rules alone. Nothing is cut off.
 
 A null or empty html has an empty text. A null url is a host of its own. Rows are taken one by one; other columns are not
 looked at.
@@ -22,10 +24,12 @@ import re
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from payproof.llm.tables import written
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(>|\Z|[\"'].*+)", re.DOTALL
 )
@@ -165,9 +169,9 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     return [(s, t, final[z]) for s, t, z in out]
 
 
-def folded(slots: Sequence[str], longest: int = 3) -> tuple[tuple[str, bool], ...]:
-    """A stream in which groups that follow themselves stand once: (slots of the group joined by a space, repeated)."""
-    out: list[tuple[str, bool]] = []
+def folds(slots: Sequence[str], longest: int = 3) -> list[tuple[int, int]]:
+    """How a stream is folded, in order: size of a group, and how often it follows itself."""
+    out: list[tuple[int, int]] = []
     i = 0
     while i < len(slots):
         for size in range(1, longest + 1):
@@ -176,26 +180,43 @@ def folded(slots: Sequence[str], longest: int = 3) -> tuple[tuple[str, bool], ..
             while slots[j : j + size] == group and len(group) == size:
                 j += size
             if j > i + size:
-                out.append((" ".join(group), True))
+                out.append((size, (j - i) // size))
                 i = j
                 break
         else:
-            out.append((slots[i], False))
+            out.append((1, 1))
             i += 1
+    return out
+
+
+def folded(slots: Sequence[str], longest: int = 3) -> tuple[tuple[str, bool], ...]:
+    """A stream in which groups that follow themselves stand once: (slots of the group joined by a space, repeated)."""
+    out: list[tuple[str, bool]] = []
+    i = 0
+    for size, times in folds(slots, longest):
+        out.append((" ".join(slots[i : i + size]), times > 1))
+        i += size * times
     return tuple(out)
 
 
 Item = tuple[str, bool, bool]  # group of slots, repeated, optional
 
 
-def align(wrapper: Sequence[Item], page: Sequence[tuple[str, bool]]) -> list[Item]:
-    """The wrapper widened to take the page too: what only one side has becomes optional, what one side repeats, repeated."""
+def common(wrapper: Sequence[Item], page: Sequence[tuple[str, bool]]) -> list[list[int]]:
+    """How many groups the rest of the wrapper and the rest of the page have in common, in order."""
     n, m = len(wrapper), len(page)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             same = best[i + 1][j + 1] + 1 if wrapper[i][0] == page[j][0] else 0
             best[i][j] = max(same, best[i + 1][j], best[i][j + 1])
+    return best
+
+
+def align(wrapper: Sequence[Item], page: Sequence[tuple[str, bool]]) -> list[Item]:
+    """The wrapper widened to take the page too: what only one side has becomes optional, what one side repeats, repeated."""
+    n, m = len(wrapper), len(page)
+    best = common(wrapper, page)
     out: list[Item] = []
     i = j = 0
     while i < n or j < m:
@@ -217,6 +238,22 @@ def align(wrapper: Sequence[Item], page: Sequence[tuple[str, bool]]) -> list[Ite
     return merged
 
 
+def fields_of(wrapper: Sequence[Item], page: Sequence[tuple[str, bool]]) -> list[int]:
+    """For each group of a page its place in the wrapper; -1 for one that has none."""
+    best = common(wrapper, page)
+    out = [-1] * len(page)
+    i = j = 0
+    while i < len(wrapper) and j < len(page):
+        if wrapper[i][0] == page[j][0] and best[i][j] == best[i + 1][j + 1] + 1:
+            out[j] = i
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def wrapper_of(streams: Sequence[Sequence[tuple[str, bool]]]) -> list[Item]:
     """Align streams one after the other."""
     wrapper: list[Item] = []
@@ -230,21 +267,27 @@ def expression(wrapper: Sequence[Item]) -> str:
     return " ".join(f"({' '.join(s + '#' for s in g.split())}){'+' if r else ''}{'?' if o else ''}" for g, r, o in wrapper)
 
 
-BLOCKS = "array<struct<slot: string, text: string, zone: int>>"
-#: Pages of a host from which on a constant slot is taken for template.
-LEAST_PAGES = 5
+MAIN_BLOCKS = "array<struct<item: int, part: int, text: string>>"
+#: Different pages of a host that must have a field, and the share of them that its texts must stand on in the mean, before
+#: it is taken for template.
+LEAST_PAGES, SHARE = 5, 0.5
+#: Share of its text that a page must keep, or else the wrapper is no evidence for it.
+LEAST_LEFT = 0.1
 
 
 def _block_udf():
-    @arrow_udf(f"struct<stream: string, blocks: {BLOCKS}>")
+    @arrow_udf(f"struct<stream: string, main: {MAIN_BLOCKS}>")
     def cut(pages: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("slot", pa.string()), ("text", pa.string()), ("zone", pa.int32())]))
+        kind = pa.list_(pa.struct([("item", pa.int32()), ("part", pa.int32()), ("text", pa.string())]))
         streams, lists = [], []
         for page in pages:
             found = blocks(page.as_py() or "")
-            streams.append("\n".join(f"{'+' if r else '.'}{g}" for g, r in folded([s for s, _, _ in found])))
-            lists.append([{"slot": s, "text": t, "zone": z} for s, t, z in found])
-        return pa.StructArray.from_arrays([pa.array(streams, pa.string()), pa.array(lists, kind)], names=["stream", "blocks"])
+            slots = [s for s, _, _ in found]
+            streams.append("\n".join(f"{'+' if r else '.'}{g}" for g, r in folded(slots)))
+            places = [(i, k % size) for i, (size, times) in enumerate(folds(slots)) for k in range(size * times)]
+            zone = 2 if any(z == 2 for _, _, z in found) else 1
+            lists.append([{"item": i, "part": p, "text": t} for (i, p), (_, t, z) in zip(places, found, strict=True) if z == zone])
+        return pa.StructArray.from_arrays([pa.array(streams, pa.string()), pa.array(lists, kind)], names=["stream", "main"])
 
     return cut.asNondeterministic()
 
@@ -254,51 +297,78 @@ def host_of(url):
 
 
 def cut_up(pages: DataFrame) -> DataFrame:
-    """Every page with its host, folded stream and blocks."""
+    """Every page with its host, folded stream, a hash of the stream, and the blocks that the tag rules take for main text.
+
+    A block has its group in the folded stream and its part in that group.
+    """
     return (
         pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
         .withColumn("host", host_of(F.col("url")))
         .withColumn("cut", _block_udf()("html"))
-        .select("page_id", "url", "host", "cut.stream", "cut.blocks")
+        .select("page_id", "url", "host", "cut.stream", F.xxhash64("cut.stream").alias("kind"), "cut.main")
     )
 
 
-def wrappers(cut: DataFrame) -> DataFrame:
-    """For each host its wrapper, from all its different streams, and the slots that every page fills once and alike."""
-    streams = cut.where("stream <> ''").groupBy("host", "stream").agg(F.count("*").alias("n"))
+def fields(seen: DataFrame) -> DataFrame:
+    """For each host and stream the groups, each with its field: the place in the wrapper, inferred from all streams of the host."""
+    streams = seen.where("stream <> ''").groupBy("host", "kind").agg(F.first("stream").alias("stream"), F.count("*").alias("n"))
 
     def infer(key: tuple, group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group.column("n").to_pylist(), group.column("stream").to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
-        parsed = [[(x[1:], x[0] == "+") for x in stream.split("\n")] for _, stream in rows]
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("n", "stream", "kind")), strict=True), key=lambda r: (-r[0], r[1]))
+        parsed = [[(x[1:], x[0] == "+") for x in stream.split("\n")] for _, stream, _ in rows]
         wrapper = wrapper_of(parsed)
-        names = [g for g, _, _ in wrapper]
-        fixed = [g for g, r, o in wrapper if not r and not o and " " not in g and names.count(g) == 1]
+        found = [(kind, i, f) for (_, _, kind), page in zip(rows, parsed, strict=True) for i, f in enumerate(fields_of(wrapper, page)) if f >= 0]
+        kinds, items, places = zip(*found, strict=True) if found else ((), (), ())
         return pa.table(
             {
-                "host": pa.array([key[0].as_py()], pa.string()),
-                "wrapper": pa.array([expression(wrapper)], pa.string()),
-                "pages": pa.array([sum(n for n, _ in rows)], pa.int64()),
-                "fixed": pa.array([fixed], pa.list_(pa.string())),
+                "host": pa.array([key[0].as_py()] * len(found), pa.string()),
+                "kind": pa.array(kinds, pa.int64()),
+                "item": pa.array(items, pa.int32()),
+                "field": pa.array(places, pa.int32()),
             }
         )
 
-    inferred = streams.groupBy("host").applyInArrow(infer, "host string, wrapper string, pages bigint, fixed array<string>")
-    texts = cut.select("host", F.explode("blocks").alias("b")).groupBy("host", F.col("b.slot").alias("slot"))
-    seen = texts.agg(F.min(F.xxhash64("b.text")).alias("least"), F.max(F.xxhash64("b.text")).alias("most"), F.count("*").alias("n"))
-    alike = seen.where(f"least = most and n >= {LEAST_PAGES}").groupBy("host").agg(F.collect_list("slot").alias("alike"))
-    return inferred.join(alike, "host", "left").select(
-        "host", "wrapper", "pages", F.array_intersect("fixed", F.coalesce("alike", F.array().cast("array<string>"))).alias("template")
+    return streams.groupBy("host").applyInArrow(infer, "host string, kind bigint, item int, field int")
+
+
+def template(seen: DataFrame) -> DataFrame:
+    """For each host and stream the blocks that are template, as group and part: constant fields, also repeated and optional ones.
+
+    Equal pages of a host count once, so that copies of a page are no evidence.
+    """
+    placed = fields(seen)
+    one = seen.select("host", "kind", "body", F.explode(F.array_distinct("marks")).alias("m")).select("host", "kind", "body", "m.*")
+    both = one.join(placed, ["host", "kind", "item"]).select(
+        "host", "field", "part", "body", F.explode(F.array(F.col("text_hash"), F.lit(None).cast("long"))).alias("text_hash")
     )
+    # Pages of each text of a field, and those of the field itself as its null text.
+    pages = both.distinct().groupBy("host", "field", "part", "text_hash").agg(F.count("*").cast("double").alias("n"))
+    n, text = F.col("n"), F.col("text_hash").isNotNull()
+    constant = (
+        pages.groupBy("host", "field", "part")
+        .agg(F.max(F.when(~text, n)).alias("pages"), F.sum(F.when(text, n)).alias("texts"), F.sum(F.when(text, n * n)).alias("squares"))
+        .where((F.col("pages") >= LEAST_PAGES) & (F.col("squares") >= SHARE * F.col("texts") * F.col("pages")))
+        .select("host", "field", "part")
+    )
+    return (
+        placed.join(constant, ["host", "field"])
+        .groupBy("host", "kind")
+        .agg(F.collect_set(F.struct("item", "part")).alias("template"))
+    )
+
+
+def _size(blocks: Column) -> Column:
+    return F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url and the main text of every page."""
     cut = cut_up(pages)
-    template = wrappers(cut).where(F.size("template") > 0).select("host", "template")
-    joined = cut.join(template, "host", "left")
-    in_article = F.exists("blocks", lambda b: b["zone"] == 2)
-    own = F.coalesce("template", F.array().cast("array<string>"))
-    kept = F.when(in_article, F.filter("blocks", lambda b: b["zone"] == 2)).otherwise(
-        F.filter("blocks", lambda b: (b["zone"] == 1) & ~F.array_contains(own, b["slot"]))
-    )
+    marks = F.transform("main", lambda b: F.struct(b["item"].alias("item"), b["part"].alias("part"), F.xxhash64(b["text"]).alias("text_hash")))
+    seen = written(cut.select("host", "kind", "stream", marks.alias("marks")).withColumn("body", F.xxhash64(F.transform("marks", lambda m: m["text_hash"]))))
+    joined = cut.drop("stream").join(template(seen), ["host", "kind"], "left")
+    own = F.coalesce("template", F.array().cast("array<struct<item: int, part: int>>"))
+    left = F.filter("main", lambda b: ~F.array_contains(own, F.struct(b["item"].alias("item"), b["part"].alias("part"))))
+    # Near copies of a page look like template: of such pages hardly anything would be left.
+    kept = F.when(_size(left) >= LEAST_LEFT * _size(F.col("main")), left).otherwise(F.col("main"))
     return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text"))

@@ -201,3 +201,31 @@ def test_html_containers_do_not_swallow_the_article(around):
 def test_html_left_out_articles_stay_out_beside_a_text():
     page = "<p>the text of a page without article</p><div class='sidebar'><article>teaser</article></div><div class='cookie-banner'>c</div>"
     assert [t for _, t, zone in html.blocks(page) if zone] == ["the text of a page without article"]
+
+
+def test_html_template_goes_from_articles_and_bodies(spark):
+    def menu(n):
+        return "<ul>" + "".join(f"<li>menu {i}</li>" for i in range(n)) + "</ul>"
+
+    def article(i):
+        extra = f"<div class='hint'>hint{'' if i % 4 else ' of another kind'}</div>" if i % 2 else ""
+        return f"<article><h2>Share this</h2><h1>title {i}</h1><p>one {i}<p>two {i}{extra}</article>"
+
+    rows = [(i, f"http://a.example/{i}", article(i)) for i in range(12)]
+    rows[3] = (3, "http://a.example/3", article(3).replace("Share this", "Share that"))
+    rows += [(20 + i, f"http://b.example/{i}", f"{menu(4)}<div>body {i}</div><div class='x'>note</div>") for i in range(8)]
+    rows += [(40 + i, f"http://c.example/{i}", "<article><h1>copy</h1><p>all alike</article>") for i in range(9)]
+    rows += [(60 + i, f"http://d.example/{i}", "<article><h1>few</h1><p>x</article>") for i in range(3)]
+    near = [f"<article><h1>near</h1><p>{'same words ' * 20}<p>{i if i < 7 else 'other ' * 30}</article>" for i in range(10)]
+    rows += [(80 + i, f"http://e.example/{i}", page) for i, page in enumerate(near)]
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[80 + i].startswith("near same words") for i in range(7))
+    assert got[0] == "title 0 one 0 two 0" and got[3] == "title 3 one 3 two 3"
+    assert all(got[20 + i] == f"body {i}" for i in range(8))
+    assert all(got[40 + i] == "copy all alike" for i in range(9)) and got[60] == "few x"
+    assert len(got) == len(rows)
+
+
+def test_html_fields_tell_equal_slots_apart():
+    wrapper = html.wrapper_of([[("a", False), ("b", False), ("a", False)], [("a", False), ("c", True), ("b", False), ("a", True)]])
+    assert html.fields_of(wrapper, [("a", False), ("b", False), ("a", True)]) == [0, 2, 3]
