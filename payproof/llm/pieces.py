@@ -1,11 +1,12 @@
-"""Encoding and decoding with the pieces of a SentencePiece model, by batched Viterbi in numpy.
+"""Encoding and decoding with the pieces of a SentencePiece model, by batched merges or batched Viterbi in numpy.
 
 A text is cut into units: a run of spaces with the letters after it, up to the next space. Each different unit of a chunk
-is segmented once. Units of one length advance together, one letter at a time (long ones with those of a similar length):
-hashes of all substrings probe the sorted hashes of the pieces, and a maximum over the pieces that end at a letter stores
-the size of the best one as the way back. The path of highest total score of pieces is taken; for a model of merges this
-is not the order of merges, but a segmentation into the same pieces that decodes to the same text. A letter without a
-piece, and a literal of the space mark, become byte pieces, so that every text decodes exactly.
+is segmented once. Units of one length advance together (long ones with those of a similar length): hashes of all substrings
+probe the sorted hashes of the pieces. For a model of merges, every round joins in each unit the two neighbours that make the
+piece of highest score, the leftmost of equals, until none is left; very long units do so one by one, with a heap. For
+other models a maximum over the pieces that end at a letter stores the size of the best one as the way back, and the path of
+highest total score is taken. The ids are those of the model's own encoder, but for a literal of the space mark, which
+becomes byte pieces, like a letter without a piece, so that every text decodes exactly.
 
 A null text counts as an empty one, which has no ids. Bytes that are not UTF-8 count as the replacement letter. Rows are
 taken one by one; other columns are not looked at.
@@ -14,6 +15,7 @@ taken one by one; other columns are not looked at.
 from __future__ import annotations
 
 import functools
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +34,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 CHUNK, CELLS, APART = 1 << 22, 1 << 17, 24
 #: Bits of a hash that say whether there may be a piece.
 MAYBE_BITS = 20
+#: Letters of a unit up to which merges are done in rounds, and the type of a model of merges.
+ROUNDS, MERGES = 256, 2
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -84,15 +88,14 @@ class Pieces:
         letters = letter_hashes(np.array([ord(c) for c in name]))
         return (letters * self.powers[: len(name)][::-1]).sum(dtype=np.uint64)
 
-    def _viterbi(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units, given as rows of code points that are padded at the end, and how many each has."""
+    def _probed(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and id of the piece by last letter, size and unit."""
         n, length = codes.shape
         letters = np.ascontiguousarray(letter_hashes(codes).T)
         prefix = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
             prefix[j + 1] = prefix[j] * BASE + letters[j]
-        sizes, every = min(self.longest, length), np.arange(n)
-        # By last letter, size and unit: score and id of the piece.
+        sizes = min(self.longest, length)
         score = np.full((length + 1, sizes, n), -np.inf, np.float32)
         piece = np.full((length + 1, sizes, n), -1, np.int32)
         score[:, 0] = self.unknown
@@ -105,19 +108,32 @@ class Pieces:
             j, i, at = j[hit] + size, i[hit], at[hit]
             score[j, size - 1, i] = self.scores[at]
             piece[j, size - 1, i] = self.ids[at]
+        return score, piece
+
+    def _cut(self, score: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By letter and unit, whether a piece of the best path ends there, and its size."""
+        length, sizes, n = score.shape[0] - 1, score.shape[1], score.shape[2]
+        every = np.arange(n)
         best = np.full((length + sizes, n), -np.inf)  # row j + sizes - 1 is letter j
         best[sizes - 1] = 0
-        back, taken = np.zeros((length + 1, n), np.int32), np.zeros((length + 1, n), np.int32)
+        back = np.zeros((length + 1, n), np.int32)
         for j in range(1, length + 1):
             total = best[j - 1 : j + sizes - 1][::-1] + score[j]
             k = total.argmax(axis=0)
-            best[j + sizes - 1], back[j], taken[j] = total[k, every], k + 1, piece[j, k, every]
+            best[j + sizes - 1], back[j] = total[k, every], k + 1
         ends, at = np.zeros((length + 1, n), bool), lengths.copy()
         for j in range(length, 0, -1):
             ends[j] = at == j
             at -= ends[j] * back[j]
+        return ends, back
+
+    def _units(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, given as rows of code points that are padded at the end, and how many each has."""
+        n = len(codes)
+        score, piece = self._probed(codes)
+        ends, size = self._cut(score, lengths)
         unit, last = np.nonzero(ends.T)
-        ids = taken[last, unit]
+        ids = piece[last, size[last, unit] - 1, unit]
         without = ids < 0
         if without.any():
             alone = codes[unit[without], last[without] - 1]
@@ -145,7 +161,7 @@ class Pieces:
             of = order[a:b]
             rows = np.full((b - a, length), PADDING, np.int64)
             rows[np.arange(length) < lengths[of, None]] = codes[ranges(starts[of], lengths[of])]
-            ids, n = self._viterbi(rows, lengths[of])
+            ids, n = self._units(rows, lengths[of])
             flat.append(ids)
             unit.append(of)
             counts.append(n)
@@ -201,6 +217,71 @@ class Pieces:
         return b"".join([self.letters[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
 
 
+class Merges(Pieces):
+    """The pieces of a model of merges: scores are the ranks of merges, not parts of a sum."""
+
+    def _cut(self, score: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length, sizes, n = score.shape[0] - 1, score.shape[1], score.shape[2]
+        ends, size = np.zeros((length + 1, n), bool), np.ones((length + 1, n), np.int32)
+        if length > ROUNDS:
+            for i in range(n):
+                found = _merged(score[:, :, i], int(lengths[i]))
+                at = np.flatnonzero(found)
+                ends[at + found[at], i], size[at + found[at], i] = True, found[at]
+            return ends, size
+
+        def scores(of: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            whole = right - left
+            return np.where(whole <= sizes, score[right, np.minimum(whole, sizes) - 1, of], -np.inf)
+
+        # Bounds of the symbols of each unit that still has merges, and scores of neighbours. A round takes one bound from each.
+        unit = np.arange(n)
+        bounds = np.tile(np.arange(length + 1), (n, 1))
+        pairs = scores(unit[:, None], bounds[:, :-2], bounds[:, 2:])
+        while len(unit):
+            at = pairs.argmax(axis=1) if pairs.shape[1] else np.zeros(len(unit), np.int64)
+            more = pairs[np.arange(len(unit)), at] > -np.inf if pairs.shape[1] else np.zeros(len(unit), bool)
+            ready = np.flatnonzero(~more)
+            last = bounds[ready, 1:]
+            ends[last, unit[ready, None]], size[last, unit[ready, None]] = True, np.diff(bounds[ready])
+            unit, bounds, pairs, at = unit[more], bounds[more], pairs[more], at[more]
+            if not len(unit):
+                break
+            rows, kept = np.arange(len(unit)), np.ones(bounds.shape, bool)
+            kept[rows, at + 1] = False
+            bounds = bounds[kept].reshape(len(unit), -1)
+            kept = np.ones(pairs.shape, bool)
+            kept[rows, at] = False
+            pairs = pairs[kept].reshape(len(unit), -1)
+            for place in (at - 1, at):
+                some = np.flatnonzero((place >= 0) & (place < pairs.shape[1]))
+                k = place[some]
+                pairs[some, k] = scores(unit[some], bounds[some, k], bounds[some, k + 2])
+        ends &= np.arange(length + 1)[:, None] <= lengths
+        return ends, size
+
+
+def _merged(score: np.ndarray, length: int) -> np.ndarray:
+    """For each letter of a unit the size of the symbol that begins there, 0 within a symbol."""
+    sizes = score.shape[1]
+    size, before = [1] * length, list(range(-1, length))
+    first = np.flatnonzero(score[2 : length + 1, 1] > -np.inf)
+    heap = [(-s, i, 2) for s, i in zip(score[first + 2, 1].tolist(), first.tolist(), strict=True)]
+    heapq.heapify(heap)
+    while heap:
+        _, i, whole = heapq.heappop(heap)
+        j = i + size[i]
+        if not size[i] or j >= length or size[i] + size[j] != whole:
+            continue
+        size[i], size[j] = whole, 0
+        before[i + whole] = i
+        for left in (before[i], i):
+            middle = left + size[left] if left >= 0 else length
+            if middle < length and (both := size[left] + size[middle]) <= sizes and score[left + both, both - 1] > -np.inf:
+                heapq.heappush(heap, (-float(score[left + both, both - 1]), left, both))
+    return np.array(size, np.int32)
+
+
 def chunks(texts: pa.Array) -> Iterator[W.Chunk]:
     """Chunks of whole texts, all of them UTF-8."""
     for chunk in W.chunks(texts, CHUNK):
@@ -215,7 +296,13 @@ def chunks(texts: pa.Array) -> Iterator[W.Chunk]:
 
 @functools.cache
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    """The encoder of the model: by merges if it is one of merges."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as file:
+        model.ParseFromString(file.read())
+    return (Merges if model.trainer_spec.model_type == MERGES else Pieces)(path)
 
 
 def encoded(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> DataFrame:

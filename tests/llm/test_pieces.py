@@ -2,8 +2,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
+import sentencepiece
 
-from payproof.llm.pieces import MARK, Pieces, encoded
+from payproof.llm.pieces import MARK, Pieces, encoded, pieces
 
 
 def test_round_trip_and_best_score():
@@ -51,3 +53,15 @@ def test_awkward_rows(spark):
         assert got[i].ids_crc32 == zlib.crc32(np.array(got[i].ids, "<u4").tobytes())
     assert got[0].n_ids == 0 and got[3] == got[4]
     assert encoded(docs.limit(0), keep_ids=False).select("encoded.*").collect() == []
+
+
+def test_ids_are_those_of_the_model(sf):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces(path)
+    r = np.random.default_rng(6)
+    texts = ["", " ", "  two  spaces ", "\n\tx é\U0001f600", " " * 300, "x" * 5000, "漢字 " * 50, "unbelievable thereupon"]
+    texts += ["".join(r.choice(list("  eatinsr漢é.,"), n)) for n in (*range(1, 80), 255, 256, 257, 258, 3000)]
+    texts += ["".join(r.choice(list("eatinsr漢é"), n)) for n in (*range(1, 80), 200, 255, 256, 257, 3000)]
+    texts += [t for t in pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist() if t and chr(MARK) not in t]
+    for text, ids in zip(texts, model.encode(texts), strict=True):
+        assert ids.tolist() == own.encode(text) and model.decode(ids) == text
