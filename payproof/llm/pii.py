@@ -26,16 +26,31 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_NEEDS = {"email": "@", "phone": "+", "ip": ".", "secret": "\""}
+_NEEDS = {"email": "@", "phone": "+", "ip": "."}
+
+_GROUP = r"(?:\x20?[A-Z0-9]{4})"
+
+
+def _last(size: str) -> str:
+    """The short last group of an account number. After a space it needs a digit, so that no word is taken for it."""
+    return rf"(?:[A-Z0-9]{{{size}}}|\x20(?=[A-Z]*[0-9])[A-Z0-9]{{{size}}})(?![0-9A-Za-z])"
+
+
+_TOKEN = r"[A-Za-z0-9+/_-]++={0,2}+"
+_NAMED = r"(?i:key|token|secret|passw(?:or)?d|passwd|pwd|pass|auth|credentials?)\x20{0,2}[=:]\x20{0,2}"
 
 #: Further kinds; each pattern is a candidate only, the classifier decides.
 MORE = {
     "address": r"(?<![0-9A-Za-z])[0-9]{1,5}\x20[A-Z][a-z]{2,20}\x20(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard)(?![A-Za-z])",
     "birth": r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:19|20)[0-9]{2})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])",
+    # 11 to 30 letters and digits after the check digits
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}"
+    + rf"(?:{_GROUP}{{7}}{_last('1,2')}|{_GROUP}{{3,6}}{_last('1,3')}|{_GROUP}{{2}}{_last('3')}|{_GROUP}{{3,7}}(?![0-9A-Za-z]))",
     "id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?",
-    "secret": r"(?<=\")[A-Za-z0-9+/_-]{20,200}(?=\")",
+    # of any length, in quotes of either kind, or after a name and = or :
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})"
+    + rf"(?:(?<=\"){_TOKEN}(?=\")|(?<='){_TOKEN}(?=')|(?<={_NAMED}){_TOKEN}(?![A-Za-z0-9+/_=-]))",
 }
 KINDS = [*BASE, *MORE]
 

@@ -229,3 +229,29 @@ def test_html_template_goes_from_articles_and_bodies(spark):
 def test_html_fields_tell_equal_slots_apart():
     wrapper = html.wrapper_of([[("a", False), ("b", False), ("a", False)], [("a", False), ("c", True), ("b", False), ("a", True)]])
     assert html.fields_of(wrapper, [("a", False), ("b", False), ("a", True)]) == [0, 2, 3]
+
+
+@pytest.mark.parametrize(
+    ("kind", "text", "spans"),
+    [
+        ("iban", "to DE89370400440532013000, now", ["DE89370400440532013000"]),
+        ("iban", "to DE89 3704 0044 0532 0130 00 now", ["DE89 3704 0044 0532 0130 00"]),
+        ("iban", "GB29NWBK60161331926819 NL91ABNA0417164300", ["GB29NWBK60161331926819", "NL91ABNA0417164300"]),
+        ("iban", "FR1420041010050500013M02606.", ["FR1420041010050500013M02606"]),
+        ("iban", "IT60X0542811101000000123456", ["IT60X0542811101000000123456"]),
+        ("iban", "IT60 X054 2811 1010 0000 0123 456", ["IT60 X054 2811 1010 0000 0123 456"]),
+        ("iban", "NO9386011117947 MT84MALT011000012345MTLCAST001S", ["NO9386011117947", "MT84MALT011000012345MTLCAST001S"]),
+        ("iban", "NO93 8601 1117 947 BE68 5390 0754 7034 IS", ["NO93 8601 1117 947", "BE68 5390 0754 7034"]),
+        ("iban", "AB12 3456 78 XY99ABCDEF " + "AB12" * 12, []),
+        ("secret", f'"{"a1B2" * 80}"', ["a1B2" * 80]),
+        ("secret", '"c2VjcmV0IHZhbHVlIG9mIGE=" x', ["c2VjcmV0IHZhbHVlIG9mIGE="]),
+        ("secret", "t = 'c2VjcmV0IHZhbHVlIG9mIGE=='", ["c2VjcmV0IHZhbHVlIG9mIGE=="]),
+        ("secret", "api_key=0123456789abcdefABCDEF01&x=1", ["0123456789abcdefABCDEF01"]),
+        ("secret", "Password: 0123456789abcdefABCDEF01.", ["0123456789abcdefABCDEF01"]),
+        ("secret", "see http://localhost/some/long/path/of/names 'short' \"0123456789abcdefABCDEF", []),
+    ],
+)
+def test_personal_data_candidates_are_whole(spark, kind, text, spans):
+    df = pii.found(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    (row,) = df.collect()
+    assert [text[x.start : x.end] for x in row.more if x.kind == kind] == spans
