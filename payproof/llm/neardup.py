@@ -1,9 +1,9 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five words (lower-case letters and digits); a text of fewer words is one shingle. The weight of a shingle is
-its count in the text times an inverse document frequency, taken over all documents in a fixed number of hashed buckets.
-Logarithms of weights are rounded to a grid, so that the random part of a sample comes out of tables. Equal texts are
-taken together first. Samples are banded; texts that share a band are candidates, and a candidate pair is a link if its
+its count in the text times an inverse document frequency, taken over all documents. Samples, which only propose candidates,
+take the frequencies in a fixed number of hashed buckets, and logarithms of weights rounded to a grid, so that the random part
+of a sample comes out of tables; links take the frequency of each shingle as it is. Equal texts are taken together first. Samples are banded; texts that share a band are candidates, and a candidate pair is a link if its
 weighted Jaccard similarity, over the whole texts, reaches the threshold. Classes are the connected components of links.
 
 In a band, every text is first compared with the one of the least id. Texts that candidates tie together are a family;
@@ -38,7 +38,7 @@ BUCKETS = 1 << 18
 #: Texts of a block, where members of a family are compared.
 BLOCK = 512
 #: Step and number of the grid for logarithms of weights.
-STEP, LEVELS = 0.05, 160
+STEP, LEVELS = 0.05, 440  # up to 2^30 times in a text
 POOL, POOL_C = 1 << 14, 1 << 16
 
 
@@ -103,6 +103,34 @@ def idf(n: int, frequencies: np.ndarray) -> np.ndarray:
     return 1 + np.log((1 + n) / (1 + np.minimum(frequencies, n))) / np.log(2 + n)
 
 
+def shingle_frequencies(docs: DataFrame) -> DataFrame:
+    """Every shingle that several documents hold, and how many; over all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in W.chunks(batch.column(0)):
+                found, n = np.unique(counted(*shingles(chunk)[:2])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "hash bigint, n bigint")
+    return rows.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def with_frequencies(texts: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """id and text with known: the frequencies of its shingles, but for those of no other document."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for chunk in W.chunks(batch.column(1)):
+                keys, owner, _ = counted(*shingles(chunk)[:2])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner + chunk.first]), pa.array(keys.view(np.int64))], ["id", "hash"])
+
+    held = texts.select("id", "text").mapInArrow(listed, "id bigint, hash bigint").join(frequencies, "hash")
+    known = held.groupBy("id").agg(F.collect_set(F.struct("hash", "n")).alias("known"))
+    return texts.select("id", "text").join(known, "id", "left")
+
+
 def levels(keys: np.ndarray, times: np.ndarray, idf_of: np.ndarray) -> np.ndarray:
     """Weights of shingles as steps of the grid."""
     steps = np.log(times * idf_of[bucket_of(keys)]) / STEP
@@ -171,13 +199,29 @@ def _signature(idf_of: np.ndarray):
     return sign
 
 
-def _similarity(idf_of: np.ndarray):
-    def similarity(one: pa.Array, two: pa.Array) -> pa.Array:
+def weights(keys: np.ndarray, times: np.ndarray, n: int, *known: pa.Array) -> np.ndarray:
+    """Weights of shingles of texts, given the lists known of these texts."""
+    flat = [k.flatten() for k in known]
+    hashes = np.concatenate([x.field("hash").to_numpy(zero_copy_only=False).astype(np.int64) for x in flat]).view(np.uint64)
+    hashes, first = np.unique(hashes, return_index=True)
+    frequencies = np.ones(len(keys), np.int64)
+    if len(hashes):
+        listed = np.concatenate([x.field("n").to_numpy(zero_copy_only=False).astype(np.int64) for x in flat])[first]
+        at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+        frequencies = np.where(hashes[at] == keys, listed[at], 1)
+    return times * idf(n, frequencies)
+
+
+def _similarity(n: int):
+    def similarity(one: pa.Array, known_one: pa.Array, two: pa.Array, known_two: pa.Array) -> pa.Array:
         out = []
-        sides = []
-        for texts in (one, two):
-            sides.append([_weighted(c, idf_of) for i in range(len(texts)) for c in W.chunks(texts.slice(i, 1))])
-        for (ka, wa), (kb, wb) in zip(*sides, strict=True):
+        for i in range(len(one)):
+            sides = []
+            for texts, known in ((one, known_one), (two, known_two)):
+                (chunk,) = W.chunks(texts.slice(i, 1))
+                keys, _, times = counted(*shingles(chunk)[:2])
+                sides.append((keys, weights(keys, times, n, known.slice(i, 1))))
+            (ka, wa), (kb, wb) = sides
             _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
             common = np.minimum(wa[ia], wb[ib]).sum()
             out.append(common / max(wa.sum() + wb.sum() - common, 1e-12))
@@ -186,19 +230,14 @@ def _similarity(idf_of: np.ndarray):
     return similarity
 
 
-def _weighted(chunk: W.Chunk, idf_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, owner, times = counted(*shingles(chunk)[:2])
-    return keys, np.exp(levels(keys, times, idf_of) * STEP)
-
-
 def _linked(pairs: DataFrame, texts: DataFrame, similarity, threshold: float) -> DataFrame:
     """The pairs (u, v) whose texts are similar enough."""
-    one = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
-    two = texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
-    return pairs.join(two, "v").join(one, "u").where(similarity("text_u", "text_v") >= threshold).select("u", "v")
+    one = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"), F.col("known").alias("known_u"))
+    two = texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"), F.col("known").alias("known_v"))
+    return pairs.join(two, "v").join(one, "u").where(similarity("text_u", "known_u", "text_v", "known_v") >= threshold).select("u", "v")
 
 
-def _crossing(docs: DataFrame, families: DataFrame, parts: DataFrame, shared, threshold: float) -> DataFrame:
+def _crossing(docs: DataFrame, families: DataFrame, parts: DataFrame, n: int, threshold: float) -> DataFrame:
     """Links between texts of one family (candidates, and candidates of those) that are not yet in one component.
 
     Members outside the largest component of their family are compared with all members, in blocks of at most about
@@ -228,6 +267,7 @@ def _crossing(docs: DataFrame, families: DataFrame, parts: DataFrame, shared, th
         "id",
         "part",
         "text",
+        "known",
     )
     others = members.select(
         "family",
@@ -236,30 +276,32 @@ def _crossing(docs: DataFrame, families: DataFrame, parts: DataFrame, shared, th
         "id",
         "part",
         "text",
+        "known",
     )
     both = strays.withColumn("stray", F.lit(True)).unionByName(others.withColumn("stray", F.lit(False)))
 
     def compare(block: pa.Table) -> pa.Table:
         stray = block.column("stray")
-        u, v = _block_links(block.filter(stray), block.filter(pc.invert(stray)), shared.value, threshold)
+        u, v = _block_links(block.filter(stray), block.filter(pc.invert(stray)), n, threshold)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return both.groupBy("family", "row", "column").applyInArrow(compare, "u bigint, v bigint")
 
 
-def _block_links(one: pa.Table, two: pa.Table, idf_of: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+def _block_links(one: pa.Table, two: pa.Table, n_docs: int, threshold: float) -> tuple[list[int], list[int]]:
     """For each text of one, a text of two at least as similar as the threshold in every other component."""
     sides = []
     for table in (one, two):
-        keys, owner, weights = [], [], []
+        keys, owner, counts = [], [], []
         for chunk in W.chunks(table.column("text").combine_chunks()) if table.num_rows else ():
             k, o, times = counted(*shingles(chunk)[:2])
             keys.append(k)
             owner.append(o + chunk.first)
-            weights.append(np.exp(levels(k, times, idf_of) * STEP))
+            counts.append(times)
         empty = np.empty(0, np.int64)
         sides.append([np.concatenate([x.astype(x.dtype), *y]) for x, y in ((empty.astype(np.uint64), keys), (empty, owner))])
-        sides[-1].append(np.concatenate([np.empty(0), *weights]))
+        known = table.column("known").combine_chunks()
+        sides[-1].append(weights(sides[-1][0], np.concatenate([empty, *counts]), n_docs, known))
     (ka, oa, wa), (kb, ob, wb) = sides
     order = np.argsort(kb, kind="stable")
     kb, ob, wb = kb[order], ob[order], wb[order]
@@ -295,8 +337,8 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         return _signature(shared.value)(texts)
 
     @arrow_udf("double")
-    def similarity(one: pa.Array, two: pa.Array) -> pa.Array:
-        return _similarity(shared.value)(one, two)
+    def similarity(one: pa.Array, known_one: pa.Array, two: pa.Array, known_two: pa.Array) -> pa.Array:
+        return _similarity(n)(one, known_one, two, known_two)
 
     signed = written(docs.where("id is not null").select("id", sign("text").alias("s")).select("id", "s.*"))
     full = signed.where(F.size("bands") > 0)
@@ -306,9 +348,11 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     least = in_band.groupBy("band").agg(F.min("id").alias("u"), F.max("id").alias("last")).where("u < last")
     pairs = in_band.join(least.select("band", "u"), "band").where("id > u").select("u", F.col("id").alias("v")).distinct()
     pairs = written(pairs)
-    links = written(_linked(pairs, docs, similarity, threshold))
+    candidates = docs.join(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id")
+    texts = written(with_frequencies(candidates, written(shingle_frequencies(docs))))
+    links = written(_linked(pairs, texts, similarity, threshold))
     parts = components(links)
-    more = written(_crossing(docs, components(pairs), components(links), shared, threshold))
+    more = written(_crossing(texts, components(pairs), components(links), n, threshold))
     equal = full.join(same.select("h1", "h2", F.col("id").alias("v")), ["h1", "h2"]).select(F.col("id").alias("u"), "v")
     final = components(links.unionByName(more).unionByName(equal))
     found = signed.select("id").distinct().join(final, "id", "left")

@@ -255,3 +255,30 @@ def test_personal_data_candidates_are_whole(spark, kind, text, spans):
     df = pii.found(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     (row,) = df.collect()
     assert [text[x.start : x.end] for x in row.more if x.kind == kind] == spans
+
+
+def test_frequencies_of_shingles_are_exact(spark):
+    common = rng.choices(WORDS, k=95)
+    rows = [(i, " ".join([*common, *(f"x{i}y{k}" for k in range(400))])) for i in range(60)]
+    rows += [(100 + i, " ".join([*common, *(f"u{k}" for k in range(7)), *(f"v{i}w{k}" for k in range(14))])) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [r.n for r in neardup.shingle_frequencies(df).collect()]
+    want = {}
+    for _, text in rows:
+        w = text.split()
+        for s in {tuple(w[k : k + 5]) for k in range(len(w) - 4)}:
+            want[s] = want.get(s, 0) + 1
+    assert sorted(got) == sorted(n for n in want.values() if n > 1)
+    texts = neardup.with_frequencies(df.select(F.col("doc_id").alias("id"), "text").where("doc_id >= 100"), neardup.shingle_frequencies(df))
+    one, two = (spark.createDataFrame([r], texts.schema).toArrow() for r in sorted(texts.collect()))
+    (similarity,) = neardup._similarity(len(rows))(*(t.column(c).combine_chunks() for t in (one, two) for c in ("text", "known"))).to_pylist()
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows[-2:]]
+    weight = {s: 1 + np.log((1 + len(rows)) / (1 + n)) / np.log(2 + len(rows)) for s, n in want.items()}
+    brute = sum(weight[s] for s in sets[0] & sets[1]) / sum(weight[s] for s in sets[0] | sets[1])
+    assert abs(similarity - brute) < 1e-9
+
+
+def test_counts_of_shingles_are_not_cut():
+    idf_of = np.full(neardup.BUCKETS, 2.0)
+    at = neardup.levels(np.zeros(2, np.uint64), np.array([5000, 1 << 30]), idf_of)
+    assert np.allclose(at * neardup.STEP, np.log([10_000, 2.0**31]), atol=neardup.STEP)
