@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payproof.llm import chat, html, licenses, neardup, packing, pieces, pii, quality, substrings, topk
+from payproof.llm import (
+    chat,
+    html,
+    licenses,
+    middle,
+    neardup,
+    negatives,
+    packing,
+    pieces,
+    pii,
+    quality,
+    simhash,
+    substrings,
+    topk,
+)
 from payproof.llm.oracle import oracle_sql as oracle_sql
 from payproof.llm.tables import read, written
 
@@ -81,6 +95,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return middle.transformed(docs, keep_output=False).drop("output")
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0, label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
