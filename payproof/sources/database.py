@@ -105,6 +105,26 @@ PERIOD_COLUMNS = (
 )
 
 
+#: The key that headers and lines are read in ranges of.
+SETTLEMENT_KEY = "idLiquidacion"
+
+
+def table_schema(table: str) -> T.StructType:
+    """Columns and types of a table of the database, as ``read_database`` asks for them."""
+    for pattern, columns, schema in (
+        (LINE_TABLE, LINE_COLUMNS, schemas.LINES),
+        (SETTLEMENT_TABLE, SETTLEMENT_COLUMNS, schemas.SETTLEMENTS),
+        (ITEM_TABLE, ITEM_COLUMNS, schemas.ITEMS),
+        (PERSON_TABLE, PERSON_COLUMNS, schemas.PERSONS),
+        (DOCUMENT_TABLE, DOCUMENT_COLUMNS, schemas.DOCUMENTS),
+        (LABOUR_TABLE, LABOUR_COLUMNS, schemas.LABOUR),
+        (AGREEMENT_TABLE, AGREEMENT_COLUMNS, schemas.AGREEMENTS),
+    ):
+        if table in {pattern.format(kind=kind) for kind in KINDS}:
+            return T.StructType([T.StructField(source, schema[name].dataType) for name, source in columns.items()])
+    raise ValueError(f"no table {table!r} in the payroll database")
+
+
 def renamed(df: DataFrame, columns: dict[str, str], schema: T.StructType) -> DataFrame:
     """``df`` with the model's names and types, taking only the columns of the model."""
     return df.select(
