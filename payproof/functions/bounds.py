@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A year of a parameter sheet has a few hundred rows at most.
@@ -47,3 +47,42 @@ def only_value(column: Column, what: str) -> Column:
         .when(low != high, F.raise_error(F.lit(f"{what}: several values for this period")))
         .otherwise(low)
     )
+
+
+def with_intervals(
+    df: DataFrame, name: str, sheet: DataFrame, group: str, low: str, high: str, max_rows: int = SHEET_ROWS
+) -> DataFrame:
+    """``df`` with a struct column ``name``: the intervals ``low < x <= high`` of each group of ``sheet``, sorted once.
+
+    A scalar subquery, as in ``with_sheet``, with the groups, the lower ends and the rows, in order of group and lower end.
+    Intervals of one group that overlap fail the query; those that no value can lie in are left out.
+    """
+    following = F.lead(low).over(Window.partitionBy(group).orderBy(low, high))
+    rows = sheet.limit(max_rows + 1).where(F.col(low) < F.col(high)).withColumn("overlaps", following < F.col(high))
+    in_order = F.sort_array(F.collect_list(F.struct(group, low, high, *(c for c in sheet.columns if c not in (group, low, high)))))
+    whole = rows.agg(F.count("*").alias("n"), F.max("overlaps").alias("overlaps"), in_order.alias("rows")).select(
+        F.when(F.col("n") > max_rows, F.raise_error(F.lit(f"{name}: more than {max_rows} rows")))
+        .when(F.col("overlaps"), F.raise_error(F.lit(f"{name}: intervals overlap")))
+        .otherwise(F.struct(F.col(f"rows.{group}").alias("groups"), F.col(f"rows.{low}").alias("lows"), F.col("rows")))
+        .alias(name)
+    )
+    return df.withColumn(name, whole.scalar())
+
+
+def interval_of(df: DataFrame, name: str, index: str, group: str, value: str, high: str, max_rows: int = SHEET_ROWS) -> DataFrame:
+    """``df`` with a struct column ``name``: the row of the interval that ``value`` lies in, null if there is none.
+
+    Bisection in compiled expressions: each step asks whether the interval so many places on still begins below the value, and
+    a later step names an earlier one, so none is evaluated twice.
+    """
+    steps, at = [], "0"
+    for bit in reversed(range(max_rows.bit_length())):
+        place = f"{at} + {(1 << bit) - 1}"
+        before = (
+            f"get({index}.groups, {place}) < {group} OR (get({index}.groups, {place}) = {group} AND get({index}.lows, {place}) < {value})"
+        )
+        steps.append(f"{at} + CASE WHEN {before} THEN {1 << bit} ELSE 0 END AS `{name}_{bit}`")
+        at = f"`{name}_{bit}`"
+    found = f"get({index}.rows, {at} - 1)"
+    fits = f"CASE WHEN {found}.{group} = {group} AND {value} <= {found}.{high} THEN {found} END AS `{name}`"
+    return df.selectExpr("*", *steps, fits).select(*df.columns, name)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from payproof.functions.bounds import only_match, with_sheet
+from payproof.functions.bounds import interval_of, only_match, with_intervals, with_sheet
 from payproof.functions.money import as_money, from_shares, share_weight, sum_when, twelfth, weighted_sum_when, zero
 from payproof.operators.deductions import (
     GROUP,
@@ -24,11 +26,12 @@ from payproof.params import (
     PERCENT,
     REGULAR,
     SAC,
+    SAC_ANNUAL,
     SOCIAL_CLASSES,
     TAX,
     RunParams,
 )
-from payproof.sources.payroll import to_date
+from payproof.sources.payroll import of_type, to_date
 
 DEDUCTIONS = tuple(DEDUCTION_CODES.values())
 PAY_PARTS = ("regular_h1", "regular_h2", "irregular_h1", "irregular_h2", "sac_h1", "sac_h2")
@@ -59,9 +62,16 @@ def _status(p: RunParams):
 
 
 def taxable_pay_base(
-    classified: DataFrame, identities: DataFrame, profiles: DataFrame, p: RunParams
+    classified: DataFrame,
+    identities: DataFrame,
+    profiles: DataFrame,
+    p: RunParams,
+    watch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Pay by semester, social deductions and tax already withheld, from January to the month of the run."""
+    """Pay by semester, social deductions and tax already withheld, from January to the month of the run.
+
+    ``watch`` is given the joined rows, one for each employee, tax id and attribute row.
+    """
     month, tax_class = F.col("month"), F.col("tax_class")
     h1, h2 = month.between(1, 6), month.between(7, 12)
 
@@ -88,7 +98,7 @@ def taxable_pay_base(
     )
     measures = [*PAY_PARTS, "exempt", "social_deductions", "tax_withheld"]
     joined = sums.join(identities, "employee_id").join(profiles, "employee_id")
-    whole = resum(joined, ("employee_id", "tax_id", "surname", "name", "end_date"), measures)
+    whole = resum(joined, ("employee_id", "tax_id", "surname", "name", "end_date"), measures, watch)
 
     final = {name: as_money(F.col(name)) for name in measures}
     if p.prorate_irregular:
@@ -105,6 +115,57 @@ def taxable_pay_base(
     return whole.withColumns({"month": F.lit(p.month), "status": _status(p)}).select(*BASE)
 
 
+def taxable_pay_base_by_month(
+    classified: DataFrame, identities: DataFrame, profiles: DataFrame, p: RunParams
+) -> DataFrame:
+    """``taxable_pay_base`` of every month of the year, from one pass over its lines.
+
+    Lines are summed by employee and month; running sums over an employee's months give the base of each. The part of an
+    irregular amount that is due by a month is linear in it, so two running sums give it for all: with U shares a year, an
+    amount e of month m has U / (13 - m) * (M + 1 - m) * e due by M. An employee stands in a month if there are lines up to it.
+    """
+    tax_class, month = F.col("tax_class"), F.col("month")
+    halves = {"h1": month.between(1, 6), "h2": month.between(7, 12)}
+    share = F.col("earning") * share_weight(month, month)  # U / (13 - m)
+    sums: dict[str, Column] = {}
+    for half, inside in halves.items():
+        irregular = inside & (tax_class == IRREGULAR)
+        sums[f"regular_{half}"] = sum_when(inside & (tax_class == REGULAR), "earning")
+        sums[f"irregular_{half}"] = sum_when(irregular, "earning")
+        sums[f"sac_{half}"] = sum_when(inside & (tax_class == SAC), "earning")
+        sums[f"share_{half}"] = weighted_sum_when(irregular, share)
+        sums[f"begun_{half}"] = weighted_sum_when(irregular, share * month)
+    sums["exempt"] = sum_when(tax_class == EXEMPT, "earning")
+    sums["social_deductions"] = sum_when(tax_class.isin(*SOCIAL_CLASSES), "deduction")
+    sums["tax_withheld"] = sum_when(tax_class == TAX, "deduction")
+
+    of_year = classified.where(of_type(p) & (F.col("year") == p.year))
+    monthly = of_year.groupBy("employee_id", "month").agg(*(col.alias(name) for name, col in sums.items()))
+    by_month = Window.partitionBy("employee_id").orderBy("month")
+    so_far = by_month.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = monthly.select(
+        "employee_id",
+        "month",
+        (F.lead("month", 1, 13).over(by_month) - 1).alias("until"),
+        *(F.sum(name).over(so_far).alias(name) for name in sums),
+    )
+    joined = running.join(identities, "employee_id").join(profiles, "employee_id")
+    whole = resum(joined, ("employee_id", "tax_id", "surname", "name", "end_date", "month", "until"), list(sums))
+    # What holds from a month with lines to the next one stands for every month between.
+    each = whole.withColumn("month", F.explode(F.sequence("month", "until")))
+
+    for half in halves:
+        due = (month + 1) * F.col(f"share_{half}") - F.col(f"begun_{half}")
+        irregular = from_shares(due) if p.prorate_irregular else as_money(F.col(f"irregular_{half}"))
+        each = each.withColumns({f"irregular_{half}": irregular, f"regular_{half}": as_money(F.col(f"regular_{half}"))})
+        estimated = F.lit(True) if p.sac_mode == SAC_ANNUAL else month < 6
+        estimate = twelfth(F.col(f"regular_{half}") + F.col(f"irregular_{half}"))
+        each = each.withColumn(f"sac_{half}", F.when(estimated, estimate).otherwise(as_money(F.col(f"sac_{half}"))))
+    whole_amounts = {name: as_money(F.col(name)) for name in ("exempt", "social_deductions", "tax_withheld")}
+    leaves = F.when(F.month("end_date") == month, LEAVER).otherwise(ACTIVE)
+    return each.withColumns(whole_amounts | {"status": leaves}).select(*BASE)
+
+
 def _rows_by_status(sheet: DataFrame, p: RunParams) -> DataFrame:
     """The sheet rows an employee's status points to: the month's for active ones, December's for leavers."""
     month, kind = F.month("period"), F.col("type")
@@ -180,14 +241,13 @@ def taxable_net_gain(
 
 
 def match_bracket(net_gain: DataFrame, brackets: DataFrame, p: RunParams) -> DataFrame:
-    """The scale row with ``lower < gain <= upper`` for the employee's status; a gain of 0 has none."""
-    rows = _rows_by_status(brackets, p).select("status", "lower", "upper", "fixed", "rate", "excess")
-    status, gain = F.col("status"), F.col("taxable_gain")
-
-    def fits(row):
-        return (row["status"] == status) & (gain > row["lower"]) & (gain <= row["upper"])
+    """The scale row with ``lower < gain <= upper`` for the employee's status; a gain of 0 has none.
 
-    matched = with_sheet(net_gain, "scale", rows).withColumn("bracket", only_match(F.col("scale"), fits, "tax scale"))
+    A scale whose brackets overlap fails the run.
+    """
+    rows = _rows_by_status(brackets, p).select("status", "lower", "upper", "fixed", "rate", "excess")
+    indexed = with_intervals(net_gain, "scale", rows, "status", "lower", "upper")
+    matched = interval_of(indexed, "bracket", "scale", "status", "taxable_gain", "upper")
     return matched.select(*net_gain.columns, "bracket.fixed", "bracket.rate", "bracket.excess")
 
 
