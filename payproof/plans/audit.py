@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from payproof.operators import (
@@ -19,9 +20,13 @@ from payproof.operators import (
     summary,
     withholding,
 )
+from payproof.operators.employees import ROWS
 from payproof.params import RunParams
 from payproof.sinks import exports
 from payproof.sources import declarations, payroll, sheets
+from payproof.store.bucketed import Month
+from payproof.store.manifest import Manifest
+from payproof.store.payroll_store import PayrollStore
 
 
 @dataclass(frozen=True)
@@ -43,6 +48,11 @@ class PayrollTables:
     declarations: DataFrame
 
 
+def published(spark: SparkSession, path: str) -> dict[str, str]:
+    """The directories of the reports of the last whole run below ``path``."""
+    return Manifest(spark, path).entries()
+
+
 class PayrollAudit:
     """The controls of one run over one set of tables."""
 
@@ -52,24 +62,37 @@ class PayrollAudit:
         params: RunParams,
         landed: DataFrame | None = None,
         pay_lines: DataFrame | None = None,
+        store: PayrollStore | None = None,
+        entries: DataFrame | None = None,
     ):
         """``landed`` is a table written by ``land``, read in place of lines and headers. ``pay_lines`` is
-        one written from ``compact_lines``, read in place of the classified lines."""
+        one written from ``compact_lines``, read in place of the classified lines. ``store`` has lines, sums and employees by
+        month, read in place of lines and headers. ``entries`` are parsed declarations, read in place of the documents."""
         if tables.settlements.sparkSession.conf.get("spark.sql.ansi.enabled") != "true":
             raise ValueError("sums must raise on overflow: set spark.sql.ansi.enabled, see payproof.session")
         self.tables = tables
         self.params = params
-        self._landed = landed
-        self._pay_lines = pay_lines
+        self._read = {"landed": landed, "pay_lines": pay_lines, "store": store, "entries": entries}
+        self._landed, self._pay_lines, self._store, self._entries = landed, pay_lines, store, entries
+        self._watch = None
 
     def with_params(self, **changes) -> PayrollAudit:
-        return PayrollAudit(self.tables, replace(self.params, **changes), self._landed, self._pay_lines)
+        return PayrollAudit(self.tables, replace(self.params, **changes), **self._read)
+
+    def _on(self, **source) -> PayrollAudit:
+        return PayrollAudit(self.tables, self.params, **self._read | source)
 
     def on_landed(self, landed: DataFrame) -> PayrollAudit:
-        return PayrollAudit(self.tables, self.params, landed, self._pay_lines)
+        return self._on(landed=landed)
 
     def on_pay_lines(self, pay_lines: DataFrame) -> PayrollAudit:
-        return PayrollAudit(self.tables, self.params, self._landed, pay_lines)
+        return self._on(pay_lines=pay_lines)
+
+    def on_store(self, store: PayrollStore) -> PayrollAudit:
+        return self._on(store=store)
+
+    def on_entries(self, entries: DataFrame) -> PayrollAudit:
+        return self._on(entries=entries)
 
     # Sources
 
@@ -93,13 +116,17 @@ class PayrollAudit:
     def general_deduction_params(self) -> DataFrame:
         return sheets.general_deduction_params(self.tables.general_sheet, self.params)
 
+    @property
+    def _settlements(self) -> DataFrame:
+        return self.tables.settlements if self._store is None else self._store.lines.settlements
+
     @cached_property
     def period_years(self) -> DataFrame:
-        return payroll.period_years(self.tables.settlements, self.params)
+        return payroll.period_years(self._settlements, self.params)
 
     @cached_property
     def period_months(self) -> DataFrame:
-        return payroll.period_months(self.tables.settlements, self.params)
+        return payroll.period_months(self._settlements, self.params)
 
     @cached_property
     def item_catalog(self) -> DataFrame:
@@ -107,6 +134,8 @@ class PayrollAudit:
 
     @cached_property
     def period_lines(self) -> DataFrame:
+        if self._store is not None:
+            return self._store.lines.period_lines(self.params)
         if self._landed is not None:
             return self._landed.where(payroll.to_date(self.params))
         return payroll.period_lines(self.tables.settlements, self.tables.lines, self.params)
@@ -117,6 +146,8 @@ class PayrollAudit:
 
     @cached_property
     def employee_attributes(self) -> DataFrame:
+        if self._store is not None:
+            return self._store.attributes_of_settled(self.profiles, self.params)
         if self._landed is not None:
             of_year = payroll.of_type(self.params) & (F.col("year") == self.params.year)
             settled = self._landed.where(of_year).select("employee_id").distinct()
@@ -136,10 +167,14 @@ class PayrollAudit:
 
     @cached_property
     def f572_dependants(self) -> DataFrame:
+        if self._entries is not None:
+            return declarations.dependants_of(self._entries)
         return declarations.f572_dependants(self.tables.declarations)
 
     @cached_property
     def f572_deductions(self) -> DataFrame:
+        if self._entries is not None:
+            return declarations.deductions_of(self._entries)
         return declarations.f572_deductions(self.tables.declarations)
 
     # Lines
@@ -158,11 +193,18 @@ class PayrollAudit:
 
     @cached_property
     def pay_lines(self) -> DataFrame:
-        """What the controls read: classified lines without names and tax ids."""
+        """What the controls read: classified lines, or their sums by month, without names and tax ids."""
         if self._pay_lines is not None:
             return self._pay_lines
+        if self._store is not None:
+            return lines.classify(self._store.sums(self.params), self.item_parameters)
         return lines.classify(self.period_lines, self.item_parameters)
 
+    @property
+    def _pay_lines_of_year(self) -> DataFrame:
+        whole_year = self.with_params(month=12)
+        return whole_year.pay_lines
+
     @cached_property
     def compact_lines(self) -> DataFrame:
         return lines.compact_lines(self.pay_lines, self.params)
@@ -190,7 +232,9 @@ class PayrollAudit:
 
     @cached_property
     def declared_by_employee(self) -> DataFrame:
-        entries = declarations.f572_entries(self.tables.declarations)
+        entries = self._entries
+        if entries is None:
+            entries = declarations.f572_entries(self.tables.declarations)
         allowances = limits.family_allowances(self.personal_deduction_params, self.params)
         return deductions.declared_by_employee(entries, allowances, self.params)
 
@@ -232,7 +276,15 @@ class PayrollAudit:
 
     @cached_property
     def taxable_pay_base(self) -> DataFrame:
-        return income_tax.taxable_pay_base(self.pay_lines, self.identities, self.profiles, self.params)
+        return income_tax.taxable_pay_base(
+            self.pay_lines, self.identities, self.profiles, self.params, self._watch
+        )
+
+    @cached_property
+    def taxable_pay_base_by_month(self) -> DataFrame:
+        return income_tax.taxable_pay_base_by_month(
+            self._pay_lines_of_year, self.identities, self.profiles, self.params
+        )
 
     @cached_property
     def personal_deduction_match(self) -> DataFrame:
@@ -289,22 +341,35 @@ class PayrollAudit:
             "f931_bases": self.f931_bases,
         }
 
-    def run(self, path: str) -> dict[str, str]:
-        """Write all reports under ``path`` and return their directories.
+    def run(self, path: str, most_attributes: int | None = None) -> dict[str, str]:
+        """Write all reports below ``path`` and return their directories.
+
+        An employee with several attribute rows counts once for each (``duplicate_attributes`` lists them). With
+        ``most_attributes`` a run that meets more rows of one employee fails; it sees them while it writes the income tax.
 
-        The lines are read and summed once, into a table the reports share; the totals read the written
-        summary. Each step stands on files, so a lost executor costs its tasks only.
+        The lines, or on a store the sums of the months, are read and summed once, into a table the reports share; the
+        totals read the written summary. Each step stands on files, so a lost executor costs its tasks only. All go to a
+        directory of their own, which one commit puts in place: readers (``published``) see the reports of one run, also
+        while the next is at work or when it fails.
         """
         spark = self.tables.settlements.sparkSession
-        pay_lines = posixpath.join(path, "pay_lines")
+        manifest = Manifest(spark, path)
+        folder = manifest.new_folder()
+        pay_lines = posixpath.join(folder, "pay_lines")
         compact = self.compact_lines
         exports.write_lines(compact, pay_lines)
         shared = self.on_pay_lines(spark.read.schema(compact.schema).parquet(pay_lines))
-        folder = posixpath.join(path, "reports")
+        observed = Observation()
+        shared._watch = quality.attribute_watch(observed)
         written = exports.write_reports(shared.reports(), folder)
         totals = summary.pay_summary_totals(spark.read.parquet(written["pay_summary"]))
         balance = {"totals_running_balance": summary.totals_running_balance(totals)}
-        return written | exports.write_reports(balance, folder)
+        written |= exports.write_reports(balance, folder)
+        most = observed.get["most"]
+        if most_attributes is not None and most is not None and most[ROWS] > most_attributes:
+            raise ValueError(f"employee {most['employee_id']} has {most[ROWS]} attribute rows, more than {most_attributes}")
+        manifest.commit(written, removed=manifest.entries())
+        return written
 
     def land(self, path: str, year: int | None = None, month: int | None = None) -> None:
         """Write the lines with their headers, for ``on_landed``: of one month, one year, or all periods.
@@ -319,6 +384,10 @@ class PayrollAudit:
         lines_of = payroll.joined_lines(headers, self.tables.lines)
         exports.write_lines(lines_of, path, by_type=True, keep_others=True)
 
+    def land_in(self, store: PayrollStore, months: Iterable[Month] | None = None) -> None:
+        """Land some months in a store, or all. A run on it reads what was computed of each month when it was landed."""
+        store.land(self.tables.settlements, self.tables.lines, months)
+
     def export(self, path: str) -> None:
         """Write the catalogue, the items without parameters, and the enriched lines."""
         exports.write_items(self.item_catalog, posixpath.join(path, "items"))

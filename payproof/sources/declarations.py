@@ -42,9 +42,9 @@ DEPENDANT_COLUMNS = (
 DEDUCTION_COLUMNS = (("code", "_tipo", "int"), ("amount", "montoTotal", "decimal(14,2)"))
 
 
-def _parsed(declarations: DataFrame, *tags: str) -> DataFrame:
+def _parsed(declarations: DataFrame, *tags: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: ``parsed``, with the employee and an array of the elements of each tag, all as text."""
-    plain = declarations.select("xml", F.regexp_replace("xml", r"(?s)<!--.*?-->", "").alias("plain"))
+    plain = declarations.select(*keep, "xml", F.regexp_replace("xml", r"(?s)<!--.*?-->", "").alias("plain"))
     named = F.get(_elements("empleado", "plain"), F.lit(0))
     nameless = F.raise_error(F.concat(F.lit("declaration without empleado: "), F.substring("xml", 1, 80)))
     employee = F.coalesce(named, F.when(F.trim(F.coalesce("xml", F.lit(""))) == "", F.lit("")).otherwise(nameless))
@@ -52,17 +52,17 @@ def _parsed(declarations: DataFrame, *tags: str) -> DataFrame:
     gathered = F.concat(F.lit("<root>"), employee, *elements, F.lit("</root>"))
     arrays = [f"{tag} array<struct<{', '.join(f'{field}: string' for field in RECORDS[tag])}>>" for tag in tags]
     schema = ", ".join(["empleado struct<cuit: string>", *arrays])
-    return plain.select(F.from_xml(gathered, schema, {"mode": "FAILFAST"}).alias("parsed"))
+    return plain.select(*keep, F.from_xml(gathered, schema, {"mode": "FAILFAST"}).alias("parsed"))
 
 
-def _exploded(parsed: DataFrame, records: Column | str) -> DataFrame:
+def _exploded(parsed: DataFrame, records: Column | str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per record, with the employee's tax id.
 
     ``explode_outer`` and a filter on its rows: of a plain ``explode`` the optimizer infers a filter on the
     parsed array, and moves it below, where every document would be parsed a second time.
     """
     return (
-        parsed.select(F.col("parsed.empleado.cuit").alias("tax_id"), F.explode_outer(records).alias("record"))
+        parsed.select(*keep, F.col("parsed.empleado.cuit").alias("tax_id"), F.explode_outer(records).alias("record"))
         .where(F.col("record").isNotNull())
         .withColumn("tax_id", _required(F.col("tax_id"), "a tax id"))
     )
@@ -82,8 +82,11 @@ def f572_deductions(declarations: DataFrame) -> DataFrame:
     return records.select("tax_id", *_fields(F.col("record"), DEDUCTION_COLUMNS))
 
 
-def f572_entries(declarations: DataFrame) -> DataFrame:
-    """Dependants and deductions in one pass over the documents; the columns of the other kind are null."""
+def f572_entries(declarations: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Dependants and deductions in one pass over the documents; the columns of the other kind are null.
+
+    ``keep`` names columns of the documents that go with their entries.
+    """
 
     def absent(columns: tuple[tuple[str, str, str], ...]) -> list[Column]:
         return [F.lit(None).cast(kind).alias(name) for name, _, kind in columns]
@@ -95,4 +98,15 @@ def f572_entries(declarations: DataFrame) -> DataFrame:
         f"parsed.{DEDUCTION}", lambda r: F.struct(*absent(DEPENDANT_COLUMNS), *_fields(r, DEDUCTION_COLUMNS))
     )
     both = F.flatten(F.array_compact(F.array(dependants, amounts)))
-    return _exploded(_parsed(declarations, DEPENDANT, DEDUCTION), both).select("tax_id", "record.*")
+    parsed = _parsed(declarations, DEPENDANT, DEDUCTION, keep=keep)
+    return _exploded(parsed, both, keep).select(*keep, "tax_id", "record.*")
+
+
+def dependants_of(entries: DataFrame) -> DataFrame:
+    """The dependants among entries."""
+    return entries.where(F.col("kinship").isNotNull()).select("tax_id", *(name for name, _, _ in DEPENDANT_COLUMNS))
+
+
+def deductions_of(entries: DataFrame) -> DataFrame:
+    """The deductions among entries."""
+    return entries.where(F.col("code").isNotNull()).select("tax_id", *(name for name, _, _ in DEDUCTION_COLUMNS))

@@ -10,11 +10,16 @@ from payroll_rows import JULY, Payroll, by_employee
 
 import __spark_entry__ as driver
 from payproof import PayrollAudit, RunParams
+from payproof.operators import income_tax
 from workload import mapping
 from workload import queries as workload_queries
 
 PER_EMPLOYEE = ("pay_summary", "withholding_control", "f931_bases", "taxable_pay_base", "income_tax_control")
-WRITING = ("report_exports", "line_exports", "item_exports", "taxable_pay_base_landed")
+WRITING = (
+    "report_exports", "line_exports", "item_exports", "taxable_pay_base_landed", "settlement_lines_bucketed",
+    "employee_attributes_indexed", "pay_summary_stored", "withholding_control_stored", "f931_bases_stored",
+    "f572_deductions_ingested", "income_tax_control_stored",
+)
 
 
 @pytest.fixture
@@ -156,6 +161,12 @@ def test_controls_agree_on_compact_lines(spark):
         assert sorted(map(str, getattr(compact, name).collect())) == expected
 
 
+def test_brackets_are_found_without_interpreted_lambdas(spark, sf):
+    a = mapping.audit(spark, sf)
+    matched = income_tax.match_bracket(spark.createDataFrame([], a.taxable_net_gain.schema), a.tax_brackets, a.params)
+    assert "lambda" not in plan(matched)
+
+
 def test_a_large_sheet_is_refused(spark):
     from payproof.functions.bounds import with_sheet
 

@@ -3,7 +3,10 @@ from decimal import Decimal as D
 
 import pytest
 from payroll_rows import Payroll
+from pyspark.sql import functions as F
 
+from payproof import PayrollAudit
+from payproof.plans.audit import published
 from payproof.sinks import exports
 
 
@@ -42,11 +45,48 @@ def test_a_run_writes_every_report(spark, audit, tmp_path):
 
 
 def test_a_run_again_replaces_the_reports(spark, audit, tmp_path):
-    first = audit.run(str(tmp_path))
-    assert audit.run(str(tmp_path)) == first
+    path = str(tmp_path)
+    first = audit.run(path)
+    assert published(spark, path) == first
+    second = audit.with_params(month=6).run(path)
+    assert published(spark, path) == second and second.keys() == first.keys()
+    assert spark.read.parquet(second["pay_summary"]).first().taxable == D("80.00")
+    # Whoever still reads the first run is not disturbed.
     assert spark.read.parquet(first["pay_summary"]).count() == 1
 
 
+def test_a_run_that_fails_leaves_the_published_reports_whole(spark, audit, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    first = audit.run(path)
+    reports = PayrollAudit.reports
+
+    def third_raises(self):
+        out = reports(self)
+        name = list(out)[2]
+        return out | {name: out[name].withColumn("cap", F.raise_error(F.lit("third report")).cast("decimal(14,2)"))}
+
+    monkeypatch.setattr(PayrollAudit, "reports", third_raises)
+    with pytest.raises(Exception, match="third report"):
+        audit.with_params(month=6).run(path)
+    assert published(spark, path) == first
+    assert spark.read.parquet(first["pay_summary"]).first().net == D("430.00")
+    assert len(list(tmp_path.glob("data/*"))) == 2  # the reports that were written before it are there, and not published
+
+
+def test_several_attribute_rows_fail_a_run_that_says_so(spark, tmp_path):
+    p = Payroll().employee(1).employee(2, rows=2).pay(1, 7, (1, "500.00", None)).pay(2, 6, (1, "80.00", None))
+    a, path = p.audit(spark), str(tmp_path)
+    assert a.run(path, most_attributes=2).keys() == published(spark, path).keys()
+    first = published(spark, path)
+    with pytest.raises(ValueError, match="employee 2 has 2 attribute rows"):
+        a.run(path, most_attributes=1)
+    assert published(spark, path) == first
+
+
+def test_nothing_published_yet(spark, tmp_path):
+    assert published(spark, str(tmp_path)) == {}
+
+
 def test_reports_as_text(spark, audit, tmp_path):
     written = exports.write_reports({"summary": audit.pay_summary}, str(tmp_path), "csv")
     row = spark.read.option("header", True).csv(written["summary"]).first()

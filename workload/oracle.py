@@ -579,6 +579,15 @@ def oracle_sql() -> dict[str, str]:
   GROUP BY ALL"""
     out["pay_summary_from_compact"] = summary_sql(JULY)
     out["taxable_pay_base_landed"] = base_sql(JULY)
+    each_month = [base_sql(Run(1998, month)) for month in range(1, 13)]
+    out["taxable_pay_base_by_month"] = " UNION ALL ".join(f"SELECT * FROM ({sql})" for sql in each_month)
+    out["settlement_lines_bucketed"] = plain["settlement_lines"]
+    out["employee_attributes_indexed"] = plain["employee_attributes"]
+    out["pay_summary_stored"] = summary_sql(JULY)
+    out["withholding_control_stored"] = withholding_sql(JULY, "control")
+    out["f931_bases_stored"] = f931_sql(JULY)
+    out["f572_deductions_ingested"] = plain["f572_deductions"]
+    out["income_tax_control_stored"] = tax_sql(JULY)
     out["report_exports"] = exports_sql(JULY)
     out["line_exports"] = f"""{july} SELECT year, month, count(*) AS n, {money("sum(earning_c)", 24)} AS earning,
   {money("sum(deduction_c)", 24)} AS deduction FROM pay GROUP BY year, month"""

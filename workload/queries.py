@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from payproof import RunParams
+from payproof import PayrollAudit, RunParams
 from payproof.operators import income_tax, withholding
 from payproof.sinks import exports
 from payproof.sources import payroll
+from payproof.store.declaration_store import DeclarationStore
+from payproof.store.payroll_store import PayrollStore
 from workload.mapping import APRIL, JULY, audit, settlements
 
 SHIPBOARD_JULY = replace(JULY, settlement_type="Emb")
@@ -61,6 +63,7 @@ PLAIN = {
     "taxable_net_gain": JULY,
     "f931_bases": JULY,
     "duplicate_attributes": JULY,
+    "taxable_pay_base_by_month": JULY,
 }
 
 
@@ -112,6 +115,43 @@ def _landed_income_tax(spark: SparkSession, sf: str) -> DataFrame:
     return a.on_landed(spark.read.parquet(path)).taxable_pay_base
 
 
+def _stored(spark: SparkSession, sf: str, run: RunParams = JULY) -> PayrollAudit:
+    """An audit on a store of all months that the run's tables have."""
+    a = audit(spark, sf, run)
+    store = PayrollStore(spark, scratch_folder(spark), buckets=8)
+    a.land_in(store)
+    return a.on_store(store)
+
+
+def _relanded(spark: SparkSession, sf: str) -> PayrollAudit:
+    """The same after June and July were landed again: the sums of the other months are those of the first time."""
+    a = audit(spark, sf)
+    store = PayrollStore(spark, scratch_folder(spark), buckets=8)
+    a.land_in(store)
+    a.land_in(store, [(JULY.year, JULY.month - 1), (JULY.year, JULY.month)])
+    return a.on_store(store)
+
+
+def _ingested(spark: SparkSession, sf: str) -> DeclarationStore:
+    """The declarations as files, one a document, parsed into a store."""
+    folder = scratch_folder(spark)
+    documents = audit(spark, sf).tables.declarations
+    documents.select("file_path", "xml").write.option("lineSep", "\n").partitionBy("file_path").text(folder)
+    store = DeclarationStore(spark, folder, scratch_folder(spark), pattern="*.txt")
+    store.ingest()
+    store.ingest()  # finds nothing new
+    return store
+
+
+def _f572_deductions_ingested(spark: SparkSession, sf: str) -> DataFrame:
+    return audit(spark, sf).on_entries(_ingested(spark, sf).entries()).f572_deductions
+
+
+def _income_tax_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """From sums by month and parsed declarations: neither lines nor documents are read again."""
+    return _stored(spark, sf).on_entries(_ingested(spark, sf).entries()).income_tax_control
+
+
 def _report_exports(spark: SparkSession, sf: str) -> DataFrame:
     """A whole run written and read back: rows and the total of every amount, of each report."""
     written = audit(spark, sf).run(scratch_folder(spark))
@@ -176,6 +216,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["compact_lines"] = _compact_lines
     out["pay_summary_from_compact"] = _pay_summary_from_compact
     out["taxable_pay_base_landed"] = _landed_income_tax
+    out["settlement_lines_bucketed"] = lambda spark, sf: _stored(spark, sf).settlement_lines
+    out["employee_attributes_indexed"] = lambda spark, sf: _stored(spark, sf).employee_attributes
+    out["pay_summary_stored"] = lambda spark, sf: _relanded(spark, sf).pay_summary
+    out["withholding_control_stored"] = lambda spark, sf: _stored(spark, sf).withholding_control
+    out["f931_bases_stored"] = lambda spark, sf: _relanded(spark, sf).f931_bases
+    out["f572_deductions_ingested"] = _f572_deductions_ingested
+    out["income_tax_control_stored"] = _income_tax_stored
     out["report_exports"] = _report_exports
     out["line_exports"] = _line_exports
     out["item_exports"] = _item_exports
