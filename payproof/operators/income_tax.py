@@ -33,6 +33,9 @@ from payproof.params import (
 )
 from payproof.sources.payroll import of_type, to_date
 
+# Brackets of the scale of a month and of December together; more fail the run.
+BRACKETS = 1000
+
 DEDUCTIONS = tuple(DEDUCTION_CODES.values())
 PAY_PARTS = ("regular_h1", "regular_h2", "irregular_h1", "irregular_h2", "sac_h1", "sac_h2")
 
@@ -246,8 +249,8 @@ def match_bracket(net_gain: DataFrame, brackets: DataFrame, p: RunParams) -> Dat
     A scale whose brackets overlap fails the run.
     """
     rows = _rows_by_status(brackets, p).select("status", "lower", "upper", "fixed", "rate", "excess")
-    indexed = with_intervals(net_gain, "scale", rows, "status", "lower", "upper")
-    matched = interval_of(indexed, "bracket", "scale", "status", "taxable_gain", "upper")
+    indexed = with_intervals(net_gain, "scale", rows, "status", "lower", "upper", BRACKETS)
+    matched = interval_of(indexed, "bracket", "scale", "status", "taxable_gain", "upper", BRACKETS)
     return matched.select(*net_gain.columns, "bracket.fixed", "bracket.rate", "bracket.excess")
 
 

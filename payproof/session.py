@@ -19,6 +19,10 @@ SETTINGS = {
     # The JVM does not compile methods beyond 8000 bytes; the widest projections of the income tax run
     # twice as fast when Spark splits them instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # The income tax alone compiles a hundred classes; a cache of that size is emptied by each run and filled again.
+    "spark.sql.codegen.cache.maxEntries": "2000",
+    # Plans are built of thousands of columns; noting the line of code of each takes a third of the time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
