@@ -30,7 +30,7 @@ END_ID = 1
 #: Documents of a shard.
 SHARD_DOCS = 4096
 #: Words whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 2_000_000
 #: Units encoded in one run.
 RUN_UNITS = 20_000
 
@@ -40,6 +40,45 @@ _WIDE_SPACE = tuple(
 )
 
 
+class Known:
+    """Ids of units by the hash of the unit: sorted hashes, and where in one flat array the ids of each begin and how many."""
+
+    def __init__(self) -> None:
+        self.keys, self.begin, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of the keys (sorted, each once) that are not known."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+
+    def add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Take in unknown keys (sorted, each once) with their ids."""
+        size = np.array([len(x) for x in ids], np.int64)
+        begin = self.used + np.cumsum(size) - size
+        self.used += int(size.sum())
+        while self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used - int(size.sum()) : self.used] = np.concatenate([*ids, self.flat[:0]])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.size = (
+            np.insert(old, at, new) for old, new in ((self.keys, keys), (self.begin, begin), (self.size, size))
+        )
+
+    def keep(self, keys: np.ndarray) -> None:
+        """Forget all but some known keys (sorted, each once)."""
+        at = np.searchsorted(self.keys, keys)
+        ids = self.ids(at)
+        self.keys, self.size = keys, self.size[at]
+        self.begin, self.used = np.cumsum(self.size) - self.size, len(ids)
+        self.flat = np.concatenate([ids, np.empty(1 << 16, np.uint32)])
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the entries at some positions, one after the other."""
+        count = self.size[at]
+        return self.flat[np.repeat(self.begin[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+
+
 class Encoder:
     """Ids of whole texts. A token never reaches back over the beginning of a run of white space, so a run with the
     word after it is encoded once and then looked up by its hash."""
@@ -50,7 +89,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[int, np.ndarray] = {}
+        self.known = Known()
         size = self.tokenizer.get_vocab_size()
         # Every byte is one letter of the byte-level alphabet, so a token is as many bytes as its name has letters.
         self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
@@ -95,22 +134,17 @@ class Encoder:
         order = np.lexsort((starts, owner))
         starts, ends, owner = starts[order], ends[order], owner[order]
         keys, at, which = np.unique(W.range_hash(found.prefix, starts, ends), return_index=True, return_inverse=True)
-        names = keys.tolist()
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new = [i for i, key in enumerate(names) if key not in self.known]
-        if new:
+        if len(self.known.keys) > MEMORY:  # those of this chunk are the likeliest to come again
+            self.known.keep(np.delete(keys, self.known.missing(keys)))
+        new = self.known.missing(keys)
+        if len(new):
             text = chunk.data.tobytes()
             units = [text[s:e] for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-            self.known.update(zip((names[i] for i in new), self._encode_units(units), strict=True))
-        ids = [self.known[key] for key in names]
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.empty(0, np.uint32)])
-        begin = np.cumsum(size) - size
-        count = size[which]
-        whole = np.repeat(begin[which] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            self.known.add(keys[new], self._encode_units(units))
+        place = np.searchsorted(self.known.keys, keys)[which]
+        count = self.known.size[place]
         bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=count, minlength=chunk.n))]).astype(np.int64)
-        out = np.split(flat[whole], bounds[1:-1])
+        out = np.split(self.known.ids(place), bounds[1:-1])
         for row in self._odd(chunk):
             out[row] = self._encode([chunk.text(row)])[0]
         return out
