@@ -40,6 +40,8 @@ BLOCK = 512
 #: Step and number of the grid for logarithms of weights.
 STEP, LEVELS = 0.05, 440  # up to 2^30 times in a text
 POOL, POOL_C = 1 << 14, 1 << 16
+#: Shingles that are counted together, about.
+PART_SHINGLES = 1 << 21
 
 
 def shingles(chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray, W.Words]:
@@ -103,17 +105,51 @@ def idf(n: int, frequencies: np.ndarray) -> np.ndarray:
     return 1 + np.log((1 + n) / (1 + np.minimum(frequencies, n))) / np.log(2 + n)
 
 
-def shingle_frequencies(docs: DataFrame) -> DataFrame:
-    """Every shingle that several documents hold, and how many; over all documents."""
+def shingle_frequencies(docs: DataFrame, total: int) -> DataFrame:
+    """Every shingle that several documents hold, and how many; over all documents. ``total`` is about how many different
+    shingles they have, each document's counted by itself.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Shingles are counted in sorted runs, which are cut into parts by their upper bits and meet part by part: a row is a piece
+    of a run and not a shingle.
+    """
+    parts = max(1, -(-total // PART_SHINGLES))
+
+    def cut(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        edges = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
+
+        def pieces(values: np.ndarray) -> pa.Array:
+            offsets = (edges * values.itemsize).astype(np.int32)
+            return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+        columns = [pa.array(part[edges[:-1]]), pieces(found.astype("<u8")), pieces(n.astype("<u4"))]
+        return pa.RecordBatch.from_arrays(columns, ["part", "hashes", "counts"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             for chunk in W.chunks(batch.column(0)):
-                found, n = np.unique(counted(*shingles(chunk)[:2])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "hash bigint, n bigint")
-    return rows.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
+                if len(keys := counted(*shingles(chunk)[:2])[0]):
+                    held.append(keys)
+                if sum(map(len, held)) >= PART_SHINGLES:
+                    yield cut(held)
+                    held = []
+        if held:
+            yield cut(held)
+
+    def count(pieces: pa.Table) -> pa.Table:
+        hashes = np.frombuffer(b"".join(pieces.column("hashes").to_pylist()), "<u8")
+        counts = np.frombuffer(b"".join(pieces.column("counts").to_pylist()), "<u4")
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        n = np.add.reduceat(counts[order].astype(np.int64), first)
+        several = n > 1
+        return pa.table({"hash": hashes[first][several].view(np.int64), "n": n[several]})
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(runs, "part int, hashes binary, counts binary")
+    return rows.groupBy("part").applyInArrow(count, "hash bigint, n bigint")
 
 
 def with_frequencies(texts: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -349,7 +385,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     pairs = in_band.join(least.select("band", "u"), "band").where("id > u").select("u", F.col("id").alias("v")).distinct()
     pairs = written(pairs)
     candidates = docs.join(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id")
-    texts = written(with_frequencies(candidates, written(shingle_frequencies(docs))))
+    texts = written(with_frequencies(candidates, written(shingle_frequencies(docs, int(frequencies.sum())))))
     links = written(_linked(pairs, texts, similarity, threshold))
     parts = components(links)
     more = written(_crossing(texts, components(pairs), components(links), n, threshold))
