@@ -136,7 +136,7 @@ def _ingested(spark: SparkSession, sf: str) -> DeclarationStore:
     """The declarations as files, one a document, parsed into a store."""
     folder = scratch_folder(spark)
     documents = audit(spark, sf).tables.declarations
-    documents.select("file_path", "xml").write.option("lineSep", "\n").partitionBy("file_path").text(folder)
+    documents.select("xml").write.option("maxRecordsPerFile", 1).text(folder)
     store = DeclarationStore(spark, folder, scratch_folder(spark), pattern="*.txt")
     store.ingest()
     store.ingest()  # finds nothing new
