@@ -6,7 +6,8 @@ maximisation over all candidates; the resulting probabilities train a logistic c
 and that classifier decides. Only counts by vote and feature pattern come to the driver; their number has a fixed bound.
 The fixed patterns always stay.
 
-A null text counts as an empty one. Rows are judged one by one; other columns are kept and not looked at.
+A null text counts as an empty one. Rows are judged one by one; other columns are kept and not looked at, but for any named
+base or more, which the result replaces.
 """
 
 from __future__ import annotations
@@ -39,15 +40,18 @@ def _last(size: str) -> str:
 _TOKEN = r"[A-Za-z0-9+/_-]++={0,2}+"
 _NAMED = r"(?i:key|token|secret|passw(?:or)?d|passwd|pwd|pass|auth|credentials?)\x20{0,2}[=:]\x20{0,2}"
 
+#: A word that begins with a capital, of letters of any script, with its apostrophes and hyphens.
+_CAPITAL = r"\p{Lu}['\u2019]?+[\p{L}\p{M}]++(?:['\u2019-][\p{L}\p{M}]++)*+"
+
 #: Further kinds; each pattern is a candidate only, the classifier decides.
 MORE = {
-    "address": r"(?<![0-9A-Za-z])[0-9]{1,5}\x20[A-Z][a-z]{2,20}\x20(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard)(?![A-Za-z])",
+    "address": rf"(?<![0-9\p{{L}}])[0-9]++[A-Za-z]?\x20{_CAPITAL}(?:\x20{_CAPITAL})*?\x20(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard)(?!\p{{L}})",
     "birth": r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:19|20)[0-9]{2})(?![0-9A-Za-z])",
     # 11 to 30 letters and digits after the check digits
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}"
     + rf"(?:{_GROUP}{{7}}{_last('1,2')}|{_GROUP}{{3,6}}{_last('1,3')}|{_GROUP}{{2}}{_last('3')}|{_GROUP}{{3,7}}(?![0-9A-Za-z]))",
     "id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?",
+    "name": rf"(?<!\p{{L}})(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20{_CAPITAL}(?:\x20{_CAPITAL})*+",
     # of any length, in quotes of either kind, or after a name and = or :
     "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})"
     + rf"(?:(?<=\"){_TOKEN}(?=\")|(?<='){_TOKEN}(?=')|(?<={_NAMED}){_TOKEN}(?![A-Za-z0-9+/_=-]))",
@@ -125,16 +129,20 @@ def _votes(kind: str, text: Column, span: Column) -> list[Column]:
         "secret": value.rlike("[0-9]") & value.rlike("[A-Za-z]"),
         "birth": value.rlike("19[0-9]{2}|200[0-9]"),
     }.get(kind, F.lit(kind in BASE or kind == "iban"))
+    formed = F.lit(kind not in ("secret", "email", "address", "name"))  # digits are part of the form: no evidence
     return [
         vote(strict, ~strict if kind in ("secret", "id", "birth") else None),
         vote(value.rlike(_any_of(GAZETTEER)), F.lit(kind in ("name", "address"))),
         vote(left.rlike(_any_of(CUES)), left.rlike(_any_of(AGAINST))),
-        vote(n_digits * 4 >= F.length(value), (n_digits == 0) & F.lit(kind != "name")),
+        vote(~formed & (n_digits * 4 >= F.length(value)), ~formed & (n_digits == 0) & F.lit(kind != "name")),
         vote(left.rlike(r"[=:]\s*[\"']?$"), left.rlike(r"[$€£#/][\s]*$")),
+        vote(left.rlike(_any_of(CUES) + _JOINED), left.rlike(_any_of(AGAINST) + _JOINED)),
     ]
 
 
-LABELERS = 5
+LABELERS = 6
+#: Between a cue and what it speaks of.
+_JOINED = r"(?:\s+(?:is|on|of|no|number|to|at|the|date))*[\s.:=#\"']*$"
 
 
 def _features(kind: str, span: Column, votes: list[Column]) -> list[Column]:
@@ -148,24 +156,30 @@ def _features(kind: str, span: Column, votes: list[Column]) -> list[Column]:
         base + 4 + F.floor(digits * 4 / F.greatest(n, F.lit(1))).cast("int"),
         base + 9 + votes[0] + 1,
         base + 12 + votes[2] + 1,
+        *(base + 15 + 3 * i + votes[labeler] + 1 for i, labeler in enumerate((1, 3, 4, 5))),
     ]
 
 
-WEIGHTS = len(KINDS) + 15
+WEIGHTS = len(KINDS) + 27
 
 
 def found(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every row as it is, with base and more: arrays of the spans found, the latter with votes and features."""
+    """Every row as it is, with base and more: arrays of the spans found, the latter with votes and features.
+
+    Columns of these two names are replaced.
+    """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    taken = {c.lower() for c in docs.columns}
+    mark = next(m for m in ("_" * k for k in range(1, len(taken) + 2)) if not any(c.startswith(m) and c[len(m) :] in KINDS for c in taken))
     hits = {}
     for kind, pattern in (BASE | MORE).items():
         hit = F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
         none = F.array().cast("array<string>")
-        hits[f"_{kind}"] = F.when(F.contains(whole, F.lit(_NEEDS[kind])), hit).otherwise(none) if kind in _NEEDS else hit
+        hits[mark + kind] = F.when(F.contains(whole, F.lit(_NEEDS[kind])), hit).otherwise(none) if kind in _NEEDS else hit
     out = docs.withColumns(hits)
 
     def described(kind: str) -> Column:
-        spans = F.filter(_spans(whole, F.col(f"_{kind}"), (BASE | MORE)[kind]), lambda x: _valid(kind, x))
+        spans = F.filter(_spans(whole, F.col(mark + kind), (BASE | MORE)[kind]), lambda x: _valid(kind, x))
 
         def one(x: Column) -> Column:
             votes = _votes(kind, whole, x)
@@ -178,12 +192,12 @@ def found(docs: DataFrame, text: str = "text") -> DataFrame:
             )
 
         empty = F.array().cast(SPANS)
-        return F.when(F.size(f"_{kind}") > 0, F.transform(spans, one).cast(SPANS)).otherwise(empty)
+        return F.when(F.size(mark + kind) > 0, F.transform(spans, one).cast(SPANS)).otherwise(empty)
 
-    out = out.withColumns({f"_{k}": described(k) for k in KINDS})
+    out = out.withColumns({mark + k: described(k) for k in KINDS})
     return out.withColumns(
-        {"base": F.concat(*(f"_{k}" for k in BASE)), "more": F.concat(*(f"_{k}" for k in MORE))}
-    ).drop(*(f"_{k}" for k in KINDS))
+        {"base": F.concat(*(mark + k for k in BASE)), "more": F.concat(*(mark + k for k in MORE))}
+    ).drop(*(mark + k for k in KINDS))
 
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,votes:array<int>,features:array<int>>>"
