@@ -16,10 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from payproof.llm.tables import written
+
 BUDGET = 1024
 HISTORY = 192
 BLOCK_TURNS = 256
 TURN_TOKENS = 4
+#: Block of turns without a number: before that of any other.
+NULL_BLOCK = -(1 << 60)
 
 START, MESSAGE, END = "<|start|>", "<|message|>", "<|end|>"
 #: What counts as a token before a tokenizer is chosen: runs of up to six letters, of up to three digits, single marks.
@@ -52,7 +56,7 @@ def _turns(conversations: DataFrame) -> DataFrame:
         F.length(head).alias("head"),
         F.length(escaped(text)).alias("body"),
         (F.regexp_count(text, F.lit(TOKEN)) + TURN_TOKENS).cast("long").alias("cost"),
-        F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-1)).alias("block"),
+        F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(NULL_BLOCK)).alias("block"),
     )
 
 
@@ -113,7 +117,8 @@ def _placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row for each window: text, spans under the loss mask (code points), how many turns only repeat others."""
-    placed = _placed(_turns(conversations), budget, history)
+    # Written once: spans, new turns and history are taken from it, and would each place all turns again.
+    placed = written(_placed(_turns(conversations), budget, history))
     spans = placed.groupBy("conv_id", "span").agg(
         F.min("pos").alias("first"),
         F.min("begin").alias("at"),
