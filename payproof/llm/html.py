@@ -1,11 +1,11 @@
 """Main text of web pages, with wrappers inferred from the pages of each host.
 
 A page becomes a stream of blocks, each with a slot: the names of the elements around it. Streams of one host are aligned
-one after the other into a wrapper, a regular expression without unions: a slot that some pages lack becomes optional, a
+into a wrapper, in parts and then the parts with each other, a regular expression without unions: a slot that some pages lack becomes optional, a
 group of slots that follows itself becomes repeated, and every block is a text slot. Each page is then read with the
 wrapper of its host, which gives every block its field. A field is template if its texts stand, in the mean, on half of the
-different pages that have it; repeated and optional fields are judged alike. Different streams of a host are few, as
-repeated groups are folded before they are counted, so that a host of any size is aligned from all its pages.
+different pages that have it; repeated and optional fields are judged alike. Repeated groups are folded before streams are
+counted, so that a host of any size is aligned from all its pages.
 
 The text of a page is what stands in its article or main elements, or in its body if it has none. There the wrapper
 decides: template goes, within articles too, and varying fields stay. Menus, headers and footers of the page, sidebars,
@@ -30,10 +30,14 @@ from pyspark.sql.functions import arrow_udf
 
 from payproof.llm.tables import written
 
+# A quote opens a value only right after the equals sign; elsewhere, and where it is never closed, it is a letter like others.
+_VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)"
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(>|\Z|[\"'].*+)", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|"
+    rf"<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?)*+)(>|\Z)",
+    re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
@@ -95,7 +99,8 @@ def _left_out(name: str, attributes: dict[str, str], inside_main: bool) -> str:
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """Slot, text and zone (2: article, 1: other, 0: left out) of each block that has text.
 
-    An article in an element left out softly is the main text if the page has no other article and less text beside it.
+    An article in an element left out softly is the main text if the page has no other article and less text beside it. So is
+    all that stands in such elements if the page has no other text.
     """
     out: list[tuple[str, str, int]] = []
     stack: list[tuple[str, str, int]] = [("", "", 1)]  # name, slot, zone
@@ -166,6 +171,8 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     sizes = {z: sum(len(t) for _, t, zone in out if zone == z) for z in (1, 2, WITHIN)}
     reopened = 2 if not sizes[2] and sizes[WITHIN] > sizes[1] else 0
     final = {0: 0, 1: 1, 2: 2, SOFT: 0, WITHIN: reopened}
+    if not any(sizes.values()):
+        final[SOFT] = 1
     return [(s, t, final[z]) for s, t, z in out]
 
 
@@ -200,6 +207,8 @@ def folded(slots: Sequence[str], longest: int = 3) -> tuple[tuple[str, bool], ..
 
 
 Item = tuple[str, bool, bool]  # group of slots, repeated, optional
+#: Streams that are aligned into one partial wrapper, about, and partial wrappers into one of the next round.
+PART_STREAMS, PART_WRAPPERS = 64, 16
 
 
 def common(wrapper: Sequence[Item], page: Sequence[tuple[str, bool]]) -> list[list[int]]:
@@ -213,15 +222,16 @@ def common(wrapper: Sequence[Item], page: Sequence[tuple[str, bool]]) -> list[li
     return best
 
 
-def align(wrapper: Sequence[Item], page: Sequence[tuple[str, bool]]) -> list[Item]:
-    """The wrapper widened to take the page too: what only one side has becomes optional, what one side repeats, repeated."""
+def align(wrapper: Sequence[Item], page: Sequence[Item]) -> list[Item]:
+    """The wrapper widened to take the page, or another wrapper, too: what only one side has becomes optional, what one side
+    repeats, repeated."""
     n, m = len(wrapper), len(page)
     best = common(wrapper, page)
     out: list[Item] = []
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and wrapper[i][0] == page[j][0] and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append((wrapper[i][0], wrapper[i][1] or page[j][1], wrapper[i][2]))
+            out.append((wrapper[i][0], wrapper[i][1] or page[j][1], wrapper[i][2] or page[j][2]))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append((wrapper[i][0], wrapper[i][1], True))
@@ -256,10 +266,24 @@ def fields_of(wrapper: Sequence[Item], page: Sequence[tuple[str, bool]]) -> list
 
 def wrapper_of(streams: Sequence[Sequence[tuple[str, bool]]]) -> list[Item]:
     """Align streams one after the other."""
-    wrapper: list[Item] = []
-    for k, stream in enumerate(streams):
-        wrapper = [(g, r, False) for g, r in stream] if k == 0 else align(wrapper, stream)
-    return wrapper
+    return joined_wrappers([[(group, repeated, False) for group, repeated in stream] for stream in streams])
+
+
+def joined_wrappers(wrappers: Sequence[list[Item]]) -> list[Item]:
+    """One wrapper that takes what any of some takes."""
+    out = list(wrappers[0]) if wrappers else []
+    for wrapper in wrappers[1:]:
+        out = align(out, wrapper)
+    return out
+
+
+def written_out(wrapper: Sequence[Item]) -> str:
+    """A wrapper as text: a line for each group, after a mark for repeated and one for optional."""
+    return "\n".join(f"{'+' if r else '.'}{'?' if o else '!'}{g}" for g, r, o in wrapper)
+
+
+def read_in(wrapper: str) -> list[Item]:
+    return [(line[2:], line[0] == "+", line[1] == "?") for line in wrapper.split("\n")] if wrapper else []
 
 
 def expression(wrapper: Sequence[Item]) -> str:
@@ -309,26 +333,60 @@ def cut_up(pages: DataFrame) -> DataFrame:
     )
 
 
-def fields(seen: DataFrame) -> DataFrame:
-    """For each host and stream the groups, each with its field: the place in the wrapper, inferred from all streams of the host."""
-    streams = seen.where("stream <> ''").groupBy("host", "kind").agg(F.first("stream").alias("stream"), F.count("*").alias("n"))
-
-    def infer(key: tuple, group: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("n", "stream", "kind")), strict=True), key=lambda r: (-r[0], r[1]))
-        parsed = [[(x[1:], x[0] == "+") for x in stream.split("\n")] for _, stream, _ in rows]
-        wrapper = wrapper_of(parsed)
-        found = [(kind, i, f) for (_, _, kind), page in zip(rows, parsed, strict=True) for i, f in enumerate(fields_of(wrapper, page)) if f >= 0]
-        kinds, items, places = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table(
-            {
-                "host": pa.array([key[0].as_py()] * len(found), pa.string()),
-                "kind": pa.array(kinds, pa.int64()),
-                "item": pa.array(items, pa.int32()),
-                "field": pa.array(places, pa.int32()),
-            }
-        )
+def _stream_items(stream: str) -> list[tuple[str, bool]]:
+    return [(line[1:], line[0] == "+") for line in stream.split("\n")]
 
-    return streams.groupBy("host").applyInArrow(infer, "host string, kind bigint, item int, field int")
+
+def wrappers(streams: DataFrame) -> DataFrame:
+    """host and wrapper, inferred from all streams of the host; as a written table.
+
+    Streams are dealt to parts of a bounded size; each part gives a partial wrapper, and these are aligned in
+    rounds until each host has one. A host of very many different streams is many tasks.
+    """
+
+    def infer(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("n", "stream")), strict=True), key=lambda r: (-r[0], r[1]))
+        return _one(group, wrapper_of([_stream_items(stream) for _, stream in rows]))
+
+    def join(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("old", "wrapper")), strict=True))
+        return _one(group, joined_wrappers([read_in(wrapper) for _, wrapper in rows]))
+
+    def _one(group: pa.Table, wrapper: list[Item]) -> pa.Table:
+        return group.slice(0, 1).select(["host", "part"]).append_column("wrapper", pa.array([written_out(wrapper)], pa.string()))
+
+    schema = "host string, part bigint, wrapper string"
+    parts = streams.groupBy("host").agg(F.ceil(F.count("*") / PART_STREAMS).alias("parts"))
+    dealt = streams.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("kind"), "parts"))
+    now = written(dealt.select("host", "part", "n", "stream").groupBy("host", "part").applyInArrow(infer, schema))
+    while (now.agg(F.max("part")).first()[0] or 0) > 0:
+        wider = now.select("host", F.col("part").alias("old"), F.floor(F.col("part") / PART_WRAPPERS).alias("part"), "wrapper")
+        now = written(wider.groupBy("host", "part").applyInArrow(join, schema))
+    return now.select("host", "wrapper")
+
+
+def _fields_udf():
+    @arrow_udf("array<int>")
+    def places(streams: pa.Array, wrappers: pa.Array) -> pa.Array:
+        known: dict[str, list[Item]] = {}
+        out = []
+        for stream, wrapper in zip(streams.to_pylist(), wrappers.to_pylist(), strict=True):
+            if wrapper not in known:
+                known = {wrapper: read_in(wrapper)}
+            out.append(fields_of(known[wrapper], _stream_items(stream)))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return places.asNondeterministic()
+
+
+def fields(seen: DataFrame) -> DataFrame:
+    """For each host and stream the groups, each with its field: the place in the wrapper of the host."""
+    streams = written(
+        seen.where("stream <> ''").groupBy("host", "kind").agg(F.first("stream").alias("stream"), F.count("*").alias("n"))
+    )
+    placed = streams.join(wrappers(streams), "host").select("host", "kind", _fields_udf()("stream", "wrapper").alias("fields"))
+    each = placed.select("host", "kind", F.posexplode("fields").alias("item", "field"))
+    return written(each.where("field >= 0"))
 
 
 def template(seen: DataFrame) -> DataFrame:
@@ -366,7 +424,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     cut = cut_up(pages)
     marks = F.transform("main", lambda b: F.struct(b["item"].alias("item"), b["part"].alias("part"), F.xxhash64(b["text"]).alias("text_hash")))
     seen = written(cut.select("host", "kind", "stream", marks.alias("marks")).withColumn("body", F.xxhash64(F.transform("marks", lambda m: m["text_hash"]))))
-    joined = cut.drop("stream").join(template(seen), ["host", "kind"], "left")
+    # As a table, whose size is known: it goes to the pages where it is small, and else their hot streams are split.
+    joined = cut.drop("stream").join(written(template(seen)), ["host", "kind"], "left")
     own = F.coalesce("template", F.array().cast("array<struct<item: int, part: int>>"))
     left = F.filter("main", lambda b: ~F.array_contains(own, F.struct(b["item"].alias("item"), b["part"].alias("part"))))
     # Near copies of a page look like template: of such pages hardly anything would be left.
