@@ -30,7 +30,7 @@ END_ID = 1
 #: Documents of a shard.
 SHARD_DOCS = 4096
 #: Words whose ids a worker remembers.
-MEMORY = 2_000_000
+MEMORY = 1_000_000
 #: Units encoded in one run.
 RUN_UNITS = 20_000
 
@@ -227,7 +227,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
         encode = encoder(path)
         for batch in batches:
             doc_id = batch.column(0)
-            for chunk in W.chunks(batch.column(1), 2 * W.CHUNK_BYTES):
+            for chunk in W.chunks(batch.column(1)):
                 rows, values = [], []
                 for row, ids in enumerate(encode.chunk(chunk)):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")

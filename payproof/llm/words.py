@@ -5,6 +5,7 @@ Every function works on a chunk of whole texts of a few MB, so that memory is bo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +14,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 21
+
+
+def _give_back(least: int = 1 << 22) -> None:
+    """Let arrays of so many bytes go back to the system when they are freed.
+
+    Workers outlive their tasks. By default both the C library and Arrow keep what was freed, so each worker would hold the
+    most that any of its tasks needed, while the next stage needs it elsewhere.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:  # the GNU C library: M_MMAP_THRESHOLD
+        mallopt(-3, least)
+
+
+_give_back()
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 _SPACES = frozenset(b" \t\n\x0b\x0c\r")
