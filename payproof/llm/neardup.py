@@ -174,15 +174,24 @@ def levels(keys: np.ndarray, times: np.ndarray, idf_of: np.ndarray) -> np.ndarra
 
 
 @functools.cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each level and pool entry the part of a sample's logarithm that depends on the weight, and the integer t."""
+def _pools() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The random numbers of samples: r, beta, the logarithm of c, and the multipliers of hashes."""
     random = np.random.default_rng(7)
     r, beta = random.gamma(2, 1, POOL), random.uniform(0, 1, POOL)
-    log_s = (np.arange(LEVELS) * STEP)[:, None]
-    t = np.floor(log_s / r + beta)
-    part = -r * (t - beta) - r
     multipliers = random.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return part.astype(np.float32).ravel(), t.astype(np.int32).ravel(), np.log(random.gamma(2, 1, POOL_C)).astype(np.float32), multipliers
+    return r, beta, np.log(random.gamma(2, 1, POOL_C)).astype(np.float32), multipliers
+
+
+def _parts(used: np.ndarray) -> np.ndarray:
+    """For each of some levels and each pool entry the part of a sample's logarithm that depends on the weight.
+
+    Few levels occur in a chunk, and all of them together would stay in every worker.
+    """
+    r, beta, *_ = _pools()
+    out = np.empty((len(used), POOL), np.float32)
+    for row, level in zip(out, used, strict=True):
+        row[:] = -r * (np.floor(level * STEP / r + beta) - beta) - r
+    return out.ravel()
 
 
 def bands(keys: np.ndarray, owner: np.ndarray, level: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,11 +199,14 @@ def bands(keys: np.ndarray, owner: np.ndarray, level: np.ndarray, n: int) -> tup
     starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
     texts = owner[starts]
     sizes = np.diff(np.append(starts, len(owner)))
-    part, t, log_c, multipliers = _tables()
+    r, beta, log_c, multipliers = _pools()
     out = np.zeros((len(texts), BANDS), np.uint64)
     if len(texts) == 0:
         return out, texts
-    base = level * POOL
+    used = np.flatnonzero(np.bincount(level, minlength=LEVELS))
+    part, row = _parts(used), np.zeros(LEVELS, np.int64)
+    row[used] = np.arange(len(used))
+    base = row[level] * POOL
     for k, multiplier in enumerate(multipliers):
         x = keys * multiplier
         entry = base + (x >> np.uint64(65 - POOL.bit_length())).astype(np.int64)
@@ -202,7 +214,9 @@ def bands(keys: np.ndarray, owner: np.ndarray, level: np.ndarray, n: int) -> tup
         a += log_c[((x >> np.uint64(32)) & np.uint64(POOL_C - 1)).astype(np.int64)]
         least = np.repeat(np.minimum.reduceat(a, starts), sizes)
         at = np.flatnonzero(a == least)
-        sample = W.mix(keys[at] + W.mix(t[entry[at]].astype(np.int64).astype(np.uint64) + W.MIX_A))
+        pool = entry[at] - base[at]
+        t = np.floor(level[at] * STEP / r[pool] + beta[pool])
+        sample = W.mix(keys[at] + W.mix(t.astype(np.int64).astype(np.uint64) + W.MIX_A))
         first = np.searchsorted(at, starts)
         band = k // ROWS
         out[:, band] = W.mix(out[:, band] + np.minimum.reduceat(sample, first) + np.uint64((band + 1) * 0x9E3779B97F4A7C15 % 2**64))

@@ -115,6 +115,13 @@ def _text_words(chunk: W.Chunk, row: int) -> list[bytes]:
     return chunk.data[chunk.offsets[row] : chunk.offsets[row + 1]].tobytes().split()
 
 
+def _whole_hashes(chunk: W.Chunk) -> tuple[list[int], list[int]]:
+    """The two hashes for all the words of each text."""
+    found = W.words(chunk)
+    one, two = (whole_hash(found, seed).view(np.int64).tolist() for seed in (W.MIX_A, W.MIX_B))
+    return one, two
+
+
 def _longs(values: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     flat = np.concatenate([np.empty(0, np.int64), *(v.view(np.int64) for v in values)])
@@ -172,16 +179,19 @@ def _windows_udf(window: int):
 
 @functools.cache
 def _cut_udf():
-    """Words from lo to hi of a text, joined by one space."""
+    """Words from lo to hi of a text, joined by one space, and the hashes of all its words."""
 
-    @arrow_udf("string")
+    @arrow_udf("struct<part: string, h1: bigint, h2: bigint>")
     def cut(texts: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
-        out = []
+        out, ones, twos = [], [], []
         for chunk in W.chunks(texts):
+            for hashes, more in zip((ones, twos), _whole_hashes(chunk), strict=True):
+                hashes += more
             for i in range(chunk.n):
                 a, b = lo[chunk.first + i].as_py(), hi[chunk.first + i].as_py()
                 out.append(b" ".join(_text_words(chunk, i)[a:b]).decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        columns = [pa.array(out, pa.string()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())]
+        return pa.StructArray.from_arrays(columns, names=["part", "h1", "h2"])
 
     return cut.asNondeterministic()
 
@@ -196,21 +206,37 @@ def _left(words: list[bytes], spans: list[dict]) -> tuple[list[bytes], int]:
 
 @functools.cache
 def _removed_udf():
-    @arrow_udf("struct<text: string, n_removed: bigint, sha: string>")
+    @arrow_udf("struct<n_removed: bigint, sha: string>")
     def removed(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out, counts, digests = [], [], []
+        counts, digests = [], []
         for chunk in W.chunks(texts):
             for i in range(chunk.n):
                 kept, n = _left(_text_words(chunk, i), spans[chunk.first + i].as_py() or [])
-                out.append(b" ".join(kept).decode("utf-8", "replace"))
                 counts.append(n)
                 digests.append(_digest(kept))
-        columns = [pa.array(out, pa.string()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())]
-        return pa.StructArray.from_arrays(columns, names=["text", "n_removed", "sha"])
+        columns = [pa.array(counts, pa.int64()), pa.array(digests, pa.string())]
+        return pa.StructArray.from_arrays(columns, names=["n_removed", "sha"])
 
     return removed.asNondeterministic()
 
 
+@functools.cache
+def _kept_udf():
+    """A text without those of the spans that are given for its words; null if there are none."""
+
+    @arrow_udf("string")
+    def kept(texts: pa.Array, given: pa.Array) -> pa.Array:
+        out = []
+        for chunk in W.chunks(texts):
+            for i, own in enumerate(zip(*_whole_hashes(chunk), strict=True)):
+                lists = given[chunk.first + i].as_py() or []
+                spans = [s for g in lists if (g["h1"], g["h2"]) == own for s in g["spans"]]
+                out.append(b" ".join(_left(_text_words(chunk, i), spans)[0]).decode("utf-8", "replace") if spans else None)
+        return pa.array(out, pa.string())
+
+    return kept.asNondeterministic()
+
+
 STREAMED = "id bigint, h1 bigint, h2 bigint, spans array<struct<s: int, e: int>>"
 
 
@@ -274,8 +300,7 @@ def matched(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     salts = pairs.groupBy("owner").agg(F.ceil(F.count("*") / STREAMS).cast("int").alias("salts"))
     parts = (
         pairs.join(texts.select("id", "text"), "id")
-        .withColumn("part", _cut_udf()("text", "lo", "hi"))
-        .withColumn("h", _summary_udf(window)("text"))
+        .withColumn("cut", _cut_udf()("text", "lo", "hi"))  # one function: each one of a step has a worker of its own
         .join(salts, "owner")
         .select(
             "owner",
@@ -286,10 +311,10 @@ def matched(texts: DataFrame, window: int = WINDOW) -> DataFrame:
             ).alias("salt"),
             F.when(F.col("id") == F.col("owner"), 0).otherwise(1).alias("kind"),
             "id",
-            "h.h1",
-            "h.h2",
+            "cut.h1",
+            "cut.h2",
             "lo",
-            "part",
+            "cut.part",
         )
     )
     dealt = parts.repartition("owner", "salt").sortWithinPartitions("owner", "salt", "kind", "id")
@@ -324,9 +349,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     gone = spans.unionByName(copies.select("id", "h1", "h2", everything))
     by_id = gone.groupBy(F.col("id").alias("gone_id")).agg(F.collect_list(F.struct("h1", "h2", "spans")).alias("gone"))
     joined = docs.join(by_id, F.col("doc_id") == F.col("gone_id"), "left")
-    own = F.when(F.col("gone").isNotNull(), _summary_udf(window)("text"))
-    joined = joined.withColumn("own", own)
-    mine = F.filter("gone", lambda g: (g["h1"] == F.col("own.h1")) & (g["h2"] == F.col("own.h2")))
-    joined = joined.withColumn("mine", F.flatten(F.transform(mine, lambda g: g["spans"])))
-    text = F.when(F.size("mine") > 0, _removed_udf()("text", "mine")["text"]).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    left = _kept_udf()(F.when(F.col("gone").isNotNull(), F.col("text")), "gone")
+    return joined.withColumn("text", F.coalesce(left, "text")).select(*docs.columns)

@@ -43,7 +43,8 @@ _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uin
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POSITION = _random.integers(1, 2**63, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
+#: Powers are products of one below this number and a multiple of it, so that no table grows with the texts.
+_LOW = 1 << 11
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,17 +54,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers_of(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, (1 if n <= CHUNK_BYTES + 1 else 2) * CHUNK_BYTES + 1)
-        out = np.full(size, base & (2**64 - 1), dtype=np.uint64)
-        out[0] = 1
-        out = np.cumprod(out)
-        if size > 2 * CHUNK_BYTES + 1:  # one very long text: not worth keeping
-            return out
-        _powers[base] = have = out
-    return have
+def _first_powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base & (2**64 - 1), dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two factors of the powers up to n: that of i has i % _LOW in the first and i // _LOW in the second."""
+    return _first_powers(base, _LOW), _first_powers(pow(base, _LOW, 1 << 64), n // _LOW + 1)
 
 
 @dataclass
@@ -134,15 +133,25 @@ def spans(chunk: Chunk, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Polynomial prefix hashes: entry i covers the first i bytes."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _powers_of(_BASE, len(data))[: len(data)], out=out[1:])
+    n = len(data)
+    out = np.zeros(n + 1, dtype=np.uint64)
+    terms = out[1:]
+    np.take(_BYTE, data, out=terms, mode="clip")
+    low, high = _powers(_BASE, n)
+    whole = n - n % _LOW
+    blocks = terms[:whole].reshape(-1, _LOW)
+    blocks *= low
+    blocks *= high[:-1, None]
+    terms[whole:] *= low[: n - whole] * high[-1]
+    np.cumsum(terms, out=terms)
     return out
 
 
 def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each byte range, the same wherever the bytes stand."""
-    shift = _powers_of(_INVERSE, len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * shift[starts] + (ends - starts).astype(np.uint64) * MIX_A)
+    low, high = _powers(_INVERSE, len(prefix))
+    shift = low[starts % _LOW] * high[starts // _LOW]
+    return mix((prefix[ends] - prefix[starts]) * shift + (ends - starts).astype(np.uint64) * MIX_A)
 
 
 def words(chunk: Chunk, kind: np.ndarray = PLAIN, lower: bool = False) -> Words:
