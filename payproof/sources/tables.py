@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from payproof.schemas import DECLARATIONS
 
 BYTE_ORDER_MARK = "\ufeff"
+#: Between the declarations of one file: a record separator, which no XML text can hold.
+SEPARATOR = "\x1e"
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -58,8 +60,8 @@ def read_headed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_declarations(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ``*.xml`` declaration of a folder."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.xml")
+    """One row per declaration in the ``*.xml`` files of a folder; a file holds one, or several set apart by ``SEPARATOR``."""
+    files = spark.read.text(path, lineSep=SEPARATOR, pathGlobFilter="*.xml")
     return files.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.ltrim(F.col("value"), F.lit(BYTE_ORDER_MARK)).alias("xml"),

@@ -262,6 +262,18 @@ def test_incomplete_dependant_fails(spark):
         declarations.f572_dependants(df).collect()
 
 
+def test_a_file_of_several_declarations(spark, tmp_path):
+    a, b = (
+        f"<d>\n<empleado><cuit>{i}</cuit></empleado><deduccion tipo='2'><montoTotal>{i}</montoTotal></deduccion></d>"
+        for i in (1, 2)
+    )
+    (tmp_path / "x.xml").write_text(f"\ufeff{a}{tables.SEPARATOR}\ufeff{b}", encoding="utf-8")
+    assert rows(declarations.f572_deductions(tables.read_declarations(spark, str(tmp_path)))) == [
+        ("1", 2, D("1.00")),
+        ("2", 2, D("2.00")),
+    ]
+
+
 def test_declarations_round_trip(spark, tmp_path):
     """Files written from the derived declarations read back as the rows of the column."""
     from workload import mapping

@@ -11,10 +11,12 @@ from test_plans import conf, plan  # noqa: F401
 
 from payproof import PayrollAudit, RunParams
 from payproof.functions.bounds import interval_of, with_intervals
+from payproof.sources.tables import SEPARATOR
 from payproof.store import bucketed
 from payproof.store.declaration_store import DeclarationStore
 from payproof.store.manifest import Manifest
 from payproof.store.payroll_store import PayrollStore, bit_is_set, in_bitmaps, settled_bitmaps
+from workload import mapping, queries
 
 
 def rows(df):
@@ -211,6 +213,53 @@ def test_only_new_and_changed_declarations_are_parsed(spark, tmp_path):
     assert store.entries().where("kinship is not null").count() == 2
 
 
+def test_a_file_of_several_declarations(spark, tmp_path):
+    folder, now = tmp_path / "xml", 1_700_000_000
+    folder.mkdir()
+    store = DeclarationStore(spark, str(folder), str(tmp_path / "parsed"))
+    several = [xml(f"20{i:02d}", amount=f"{i}.00\n") for i in range(30)]
+    put(folder, "a+b %20é.xml", "\ufeff" + f"{SEPARATOR}\ufeff".join(several) + SEPARATOR, now)
+    put(folder, "one.xml", xml("2099", amount="99.00"), now)
+    assert store.ingest() == 2 and store.ingest() == 0
+    amounts = lambda: sorted((r.tax_id, r.amount) for r in store.entries().where("code is not null").collect())
+    assert amounts() == [(f"20{i:02d}", D(i)) for i in (*range(30), 99)]
+    # One of them changed and another gone: the file is parsed again, and what it held before drops out.
+    put(folder, "a+b %20é.xml", SEPARATOR.join([*several[:28], xml("2028", amount="7.00")]), now + 5)
+    assert store.ingest() == 1
+    assert amounts() == [(f"20{i:02d}", D(i)) for i in range(28)] + [("2028", D("7.00")), ("2099", D("99.00"))]
+    put(folder, "bad.xml", SEPARATOR.join([several[0], "<d><deduccion tipo='2'></deduccion></d>"]), now)
+    with pytest.raises(Exception, match="declaration without"):
+        store.ingest()
+
+
+def test_small_files_are_read_many_to_a_task(spark, tmp_path, conf):  # noqa: F811
+    folder, tasks = tmp_path / "xml", 4 * spark.sparkContext.defaultParallelism
+    folder.mkdir()
+    conf(files__openCostInBytes="1g", shuffle__partitions="2")  # as if Spark dealt each task one file
+    for i in range(2 * tasks):
+        put(folder, f"{i}.xml", xml(f"2{i:03d}"), 1_700_000_000 + i)
+    store = DeclarationStore(spark, str(folder), str(tmp_path / "parsed"))
+    assert store.ingest() == 2 * tasks and store.ingest() == 0
+    assert store.entries().select("tax_id").distinct().count() == 2 * tasks
+    # As many files as tasks wrote them, both for a listing that meets nothing landed and for the documents.
+    for written in tmp_path.glob("parsed/data/*/*"):
+        assert len(list(written.glob("part-*"))) <= tasks
+
+
+def test_the_ingested_query_writes_few_files(spark, tmp_path, monkeypatch):
+    spark.range(600).selectExpr(
+        "id AS c_custkey", "'n' AS c_name", "1 AS c_nationkey", "CAST(id % 7 AS DOUBLE) AS c_acctbal", "'s' AS c_mktsegment"
+    ).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([], mapping.FILES["orders"]).write.parquet(str(tmp_path / "orders.parquet"))
+    numbers = iter(range(9))
+    monkeypatch.setattr(queries, "scratch_folder", lambda spark: str(tmp_path / f"scratch{next(numbers)}"))
+    ingested = queries.queries()["f572_deductions_ingested"](spark, str(tmp_path))
+    expected = queries.queries()["f572_deductions"](spark, str(tmp_path))
+    assert rows(ingested) == rows(expected) and expected.count() > 514
+    # 514 declarations, in a file for each task that wrote some.
+    assert len(list(tmp_path.glob("scratch*/*.txt"))) <= spark.sparkContext.defaultParallelism
+
+
 def test_a_bad_declaration_keeps_nothing_of_its_batch(spark, tmp_path):
     folder = tmp_path / "xml"
     folder.mkdir()

@@ -16,10 +16,14 @@ from payproof import PayrollAudit, RunParams
 from payproof.operators import income_tax, withholding
 from payproof.sinks import exports
 from payproof.sources import payroll
+from payproof.sources.tables import SEPARATOR
 from payproof.store.declaration_store import DeclarationStore
 from payproof.store.payroll_store import PayrollStore
 from workload.mapping import APRIL, JULY, audit, settlements
 
+#: Declarations of one file, some 8 MB.
+FILE_DOCUMENTS = 10_000
+
 SHIPBOARD_JULY = replace(JULY, settlement_type="Emb")
 
 # Income-tax options: suffix of the query name, run.
@@ -133,10 +137,10 @@ def _relanded(spark: SparkSession, sf: str) -> PayrollAudit:
 
 
 def _ingested(spark: SparkSession, sf: str) -> DeclarationStore:
-    """The declarations as files, one a document, parsed into a store."""
+    """The declarations as files of up to ``FILE_DOCUMENTS`` documents, parsed into a store."""
     folder = scratch_folder(spark)
     documents = audit(spark, sf).tables.declarations
-    documents.select("xml").write.option("maxRecordsPerFile", 1).text(folder)
+    documents.select("xml").write.option("maxRecordsPerFile", FILE_DOCUMENTS).option("lineSep", SEPARATOR).text(folder)
     store = DeclarationStore(spark, folder, scratch_folder(spark), pattern="*.txt")
     store.ingest()
     store.ingest()  # finds nothing new
