@@ -290,6 +290,22 @@ def test_reports_read_parsed_declarations(spark, tmp_path):
     assert "from_xml" not in plan(b.income_tax_control)
 
 
+def test_the_income_tax_from_one_file_of_all_declarations(spark, tmp_path):
+    p = Payroll()
+    for key in range(1, 6):
+        p.employee(key).pay(key, 7, (1, f"{key}00000.00", None)).deduct(key, c2=f"{key}0.00", c22="50.00")
+    a = p.audit(spark)
+    folder = tmp_path / "xml"
+    folder.mkdir()
+    (folder / "all.xml").write_text(SEPARATOR.join(text for _, text in p.declared))
+    parsed = DeclarationStore(spark, str(folder), str(tmp_path / "parsed"))
+    assert parsed.ingest() == 1
+    store = PayrollStore(spark, str(tmp_path / "store"), buckets=2)
+    a.land_in(store)
+    stored = a.on_store(store).on_entries(parsed.entries()).income_tax_control
+    assert rows(stored) == rows(a.income_tax_control) and stored.where("rent_40 <> 0").count() == 5
+
+
 # Manifest
 
 
